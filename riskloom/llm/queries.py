@@ -6,19 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import license_scan, minhash_dedup, url_filter
 from .shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), url_filter.rules_table(spark, url_filter.CONTRACT_RULES))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), minhash_dedup.OP7_RULE)
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_minhash_dedup,)}
+    return {f.__name__: f for f in (op1_url_filter, op7_minhash_dedup, op8_license_scan)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op8_license_scan": license_scan.OP8_SQL}
