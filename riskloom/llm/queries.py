@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import license_scan, minhash_dedup, url_filter
+from . import decontaminate, license_scan, minhash_dedup, token_counts, url_filter
 from .shared import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,12 +22,21 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), minhash_dedup.OP7_RULE)
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op7_minhash_dedup, op8_license_scan)}
+    return {f.__name__: f for f in (op1_url_filter, op3_token_counts, op6_decontamination, op7_minhash_dedup, op8_license_scan)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
