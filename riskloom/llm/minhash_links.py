@@ -2,8 +2,8 @@
 
 Sets are rows keyed by a 16-byte digest of their content, so equal sets are one row. A band that many sets share is
 not expanded into all pairs: in each round every band compares its members with one pivot, and only members that no
-link connects with the pivot yet. Bands that still hold several components after the pivot rounds compare all members
-of different components, so that no connection is lost.
+link connects with the pivot yet. Bands that still hold several components after the pivot rounds are settled exactly: two sets beside one pivot can
+only be similar if they share shingles that the pivot lacks, or almost all of those that it has.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from .textkernel import mix
 
 @dataclass(frozen=True)
 class NearRule:
-    """words: of a shingle. percent: least 100 * intersection / union. Bands of rows minima; pivots: rounds before members are compared one by one."""
+    """words: of a shingle. percent: least 100 * intersection / union. Bands of rows minima; pivots: rounds before the exact rest."""
 
     words: int = 5
     percent: int = 80
     bands: int = 28
     rows: int = 5
-    pivots: int = 3
+    pivots: int = 2
     seed: int = 7
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -139,29 +139,116 @@ def near_links(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: N
         whole = likely.join(full.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a").join(full.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b")
         return materialise(whole.select("a", "b", "set_a", "set_b").mapInArrow(_set_check(rule), schema), "links")
 
+    def union() -> DataFrame:
+        out = found[0]
+        for t in found[1:]:
+            out = out.unionByName(t)
+        return out
+
     for turn in range(rule.pivots + 1):
         if turn:
-            of = materialise(components(links).select(F.col("node").alias("key"), "component"), "component")
-            now = members.join(of, "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("c"))
+            links = union()
+            ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").count()
+            of = components(links).withColumnRenamed("node", "key").join(ends.withColumnRenamed("count", "degree"), "key")
+            now = members.join(materialise(of, "component"), "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
         else:
-            now = members.select("band", "key", "n", F.col("key").alias("c"))
+            now = members.select("band", "key", "n", F.col("key").alias("c"), F.lit(0).cast("bigint").alias("degree"))
         now = materialise(now, "state")
-        chosen = F.min(F.struct(F.xxhash64("key", "band", F.lit(turn)).alias("h"), "key", "n", "c")).alias("p")
-        open_bands = now.groupBy("band").agg(chosen, F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("key", F.lit(turn) if turn else "band").alias("h"), "key", "n", "c")
+        open_bands = now.groupBy("band").agg(F.min(order).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
         if turn:
             open_bands = open_bands.where("size > 2")
         open_bands = materialise(open_bands.select("band", "p.key", "p.n", "p.c").toDF("band", "pivot", "pivot_n", "pivot_c"), "open")
         if open_bands.isEmpty():
             break
+        met = now.join(open_bands, "band")
         if turn < rule.pivots:
-            pairs = now.join(open_bands, "band").where(F.col("c") != F.col("pivot_c")).where(_sized(rule, F.col("n"), F.col("pivot_n"))).select(F.col("key").alias("x"), F.col("pivot").alias("y"))
+            pairs = met.where(F.col("c") != F.col("pivot_c")).where(_sized(rule, F.col("n"), F.col("pivot_n"))).select(F.col("key").alias("x"), F.col("pivot").alias("y"))
         else:
-            left = now.join(open_bands.select("band"), "band").select("band", F.col("key").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
-            right = now.select("band", F.col("key").alias("y"), F.col("n").alias("y_n"), F.col("c").alias("y_c"))
-            pairs = left.join(right, "band").where("x_c < y_c").where(_sized(rule, F.col("x_n"), F.col("y_n"))).select("x", "y")
+            pairs = _left_pairs(met.select("key", "c", "pivot", "pivot_c").distinct(), full, rule)
         found.append(confirm(pairs))
-        links = found[0]
-        for t in found[1:]:
-            links = links.unionByName(t)
         drop_table(now)
-    return links
+    return union() if found else links
+
+
+def _beside_pivot(batches):
+    """Of each set and its pivot: common shingles, sizes, and the set's shingles that the pivot lacks."""
+    for batch in batches:
+        rows: dict[str, list] = {"common": [], "size": [], "new": []}
+        for x, y in zip(batch.column("set_x"), batch.column("set_p"), strict=True):
+            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            new = np.setdiff1d(x, y, assume_unique=True)
+            rows["common"].append(len(x) - len(new))
+            rows["size"].append(len(x))
+            rows["new"].append(new.tobytes())
+        out = {k: batch.column(k) for k in ("key", "c", "pivot", "pivot_c")}
+        yield pa.RecordBatch.from_pydict(out | {"common": pa.array(rows["common"], pa.int32()), "size": pa.array(rows["size"], pa.int32()), "new": pa.array(rows["new"], pa.binary())})
+
+
+#: Bits of the filter of new shingles that every task gets: 2 MB, whatever the input.
+_FILTER_BITS = 24
+
+
+def _new_slots(new: bytes, pivot: bytes) -> tuple[np.ndarray, np.ndarray]:
+    values = mix(np.frombuffer(new, np.uint64) ^ np.frombuffer(pivot[:8], np.uint64))
+    return values, (values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+
+
+def _filter_words(batches):
+    """The words of a bit field that hold the new shingles of a task's rows."""
+    bits: np.ndarray = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
+    for batch in batches:
+        for new, pivot in zip(batch.column("new").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
+            _, slot = _new_slots(new, pivot)
+            np.bitwise_or.at(bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
+    at = np.flatnonzero(bits)
+    yield pa.RecordBatch.from_pydict({"at": pa.array(at), "bits": pa.array(bits[at].view(np.int64))})
+
+
+def _filtered_new(bits: bytes):
+    """(at, key) rows: a set and a mixed new shingle that the bit field admits."""
+
+    def run(batches):
+        table = np.frombuffer(bits, np.uint64)
+        for batch in batches:
+            at, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            for i, (new, pivot) in enumerate(zip(batch.column("new").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
+                values, slot = _new_slots(new, pivot)
+                values = values[(table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0]
+                at.append(values)
+                rows.append(np.full(len(values), i))
+            rows_at = pa.array(np.concatenate(rows))
+            out = {k: batch.column(k).take(rows_at) for k in ("key", "c", "pivot", "pivot_c", "common", "size")}
+            yield pa.RecordBatch.from_pydict(out | {"at": pa.array(np.concatenate(at).view(np.int64))})
+
+    return run
+
+
+def _left_pairs(star: DataFrame, full: DataFrame, rule: NearRule) -> DataFrame:
+    """Pairs (x, y) of sets in different components that may be similar, from star(key, c, pivot, pivot_c).
+
+    Both sets of a pair share a pivot p. They have at most min(|x & p|, |y & p|) shingles of p in common, so either
+    that alone is enough for the threshold, or they share shingles that p lacks, and enough of them. Each pair has a
+    set outside the pivot's component; all other pairs that share p are in one component already.
+    """
+    kind = "key binary, c binary, pivot binary, pivot_c binary, common int, size int"
+    beside = star.join(full.select("key", F.col("shingles").alias("set_x")), "key").join(full.select(F.col("key").alias("pivot"), F.col("shingles").alias("set_p")), "pivot")
+    beside = materialise(beside.mapInArrow(_beside_pivot, kind + ", new binary"), "beside")
+    outside = beside.where("c <> pivot_c")
+    words = outside.select("pivot", "new").mapInArrow(_filter_words, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
+    bits = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
+    for at, word in words.toLocalIterator():
+        bits[at] = word
+    new = beside.mapInArrow(_filtered_new(bits.tobytes()), kind + ", at bigint")
+    mixed = new.groupBy("pivot", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("pivot", "at")
+    new = materialise(new.join(materialise(mixed, "mixed"), ["pivot", "at"]), "new")
+
+    def named(df: DataFrame, to: str) -> DataFrame:
+        return df.select("pivot", *[F.col(k).alias(f"{to}_{k}") for k in ("key", "c", "common", "size")], *(["at"] if "at" in df.columns else []))
+
+    enough = lambda extra: (F.least("x_common", "y_common") + extra) * (100 + rule.percent) >= (F.col("x_size") + F.col("y_size")) * rule.percent
+    other = (F.col("x_c") != F.col("y_c")) & _sized(rule, F.col("x_size"), F.col("y_size"))
+    by_new = named(new.where("c <> pivot_c"), "x").join(named(new, "y"), ["pivot", "at"]).where(other)
+    by_new = by_new.groupBy("pivot", "x_key", "y_key", "x_common", "y_common", "x_size", "y_size").count().where(enough(F.col("count")))
+    by_pivot = named(outside, "x").join(named(beside, "y"), "pivot").where(other & enough(F.lit(0)))
+    return by_new.select(F.col("x_key").alias("x"), F.col("y_key").alias("y")).unionByName(by_pivot.select(F.col("x_key").alias("x"), F.col("y_key").alias("y")))

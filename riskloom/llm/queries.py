@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, token_counts, url_filter
-from .shared import read_table
+from . import decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, repair_files, token_counts, url_filter
+from .shared import read_table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,12 +40,18 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), minhash_dedup.OP7_RULE)
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{work_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    repair_files.write_ids(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 50256, out)
+    return repair_files.read_documents(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op6_decontamination, op7_minhash_dedup, op8_license_scan, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
