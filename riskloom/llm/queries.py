@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, repair_files, token_counts, url_filter
+from . import decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, repair_files, substring_dedup, token_counts, url_filter
 from .shared import read_table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans_table(substring_dedup.repeated_passages(read_table(spark, sf_dir, "documents")))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 49406)
 
@@ -55,7 +59,7 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op5_best_fit_packing, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
