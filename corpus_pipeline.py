@@ -1,20 +1,66 @@
-"""A corpus pipeline over the table documents: near copies go."""
+"""A corpus pipeline over the table documents: language, near copies, repeated passages, benchmark leaks, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame that is
+written as Parquet and read again. All but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskloom.llm import minhash_dedup
+from riskloom.llm import decontaminate, language_id, minhash_dedup, packing, substring_dedup
 from riskloom.llm.shared import materialise, read_table
 
 
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can't be told go: those with a null text or without a letter."""
+    known = language_id.classify(docs).where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct()
+    return docs.where("text is not null").join(known, "doc_id", "left_anti")
+
+
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    """One document of each group of near copies stays: the one with the smallest doc_id, and of repeated rows one."""
+    found = materialise(minhash_dedup.near_duplicates(docs), "near-copies")
+    gone = found.where("not kept").select("doc_id").distinct()
+    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    docs = docs.join(gone, "doc_id", "left_anti")
+    if repeated.isEmpty():
+        return docs
+    twice = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return docs.join(repeated, "doc_id", "left_anti").unionByName(twice)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that an earlier document holds are cut out; a document of which no word is left goes."""
+    found = substring_dedup.repeated_passages(docs).select("doc_id", "text_key", "kept_text")
+    found = materialise(found.dropDuplicates(["doc_id", "text_key"]), "cut-texts")
+    joined = docs.withColumn("text_key", F.xxhash64("text")).join(found, ["doc_id", "text_key"], "left")
+    text = F.coalesce("kept_text", "text")
+    joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("bigint"))).withColumn("text", text)
+    return joined.where(F.col("kept_text").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten following words of a benchmark item, or a whole shorter item, go."""
+    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that are left, with their sequence and place."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 49406)
 
 
-STAGES = [("minhash_dedup", minhash_stage)]
+STAGES = [
+    ("language_id", language_stage),
+    ("minhash_dedup", minhash_stage),
+    ("substring_dedup", substring_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
+#: SQL has no form of the language, packing and tokenizer stages.
 ORACLE_SQL = None
 
 
