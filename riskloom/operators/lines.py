@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import risk
@@ -40,9 +40,19 @@ def snippet(line: Column) -> Column:
     return F.when(F.octet_length(s) > 100, F.concat(F.left(s, F.lit(99)), F.lit("…"))).otherwise(s)
 
 
-def _matches(line: Column, rules: list[tuple[int, str]]) -> Column:
-    """The numbers of the rules whose literal pattern a line matches."""
-    return F.array_compact(F.array(*[F.when(F.rlike(line, F.lit(to_java(p))), F.lit(k)) for k, p in rules]))
+def sql_text(text: str) -> str:
+    """A Spark SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _matches(rules: list[tuple[int, str, str]]) -> Column:
+    """The numbers of the rules (number, condition, pattern) that hold for a row with a column line."""
+    tests = ", ".join(f"CASE WHEN {when} AND line RLIKE {sql_text(to_java(p))} THEN {k} END" for k, when, p in rules)
+    return F.expr(f"filter(array({tests}), k -> k IS NOT NULL)")
+
+
+def _rule_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return F.broadcast(spark.createDataFrame(rows, schema))
 
 
 def code_findings(lines: DataFrame, extra: list[tuple] = ()) -> DataFrame:
@@ -57,14 +67,10 @@ def code_findings(lines: DataFrame, extra: list[tuple] = ()) -> DataFrame:
     rows = lines.select("path", "line_no", "line", lang.alias("lang")).where("lang is not null")
     guarded = rows.where((F.col("lang") == "cs") & F.contains("line", F.lit(GLOBAL_ANTIFORGERY))).agg((F.count("*") > 0).alias("checked_globally"))
     rows = rows.where((F.octet_length("line") <= LONGEST_LINE) & ~is_comment(F.col("line"), F.col("lang")))
-    found = F.lit(None).cast("array<int>")
-    for name in ENDINGS:
-        own = [(k, r[4]) for k, r in enumerate(rules) if name in r[3].split()]
-        found = F.when(F.col("lang") == name, _matches(F.col("line"), own)).otherwise(found)
-    hits = rows.select("path", "line_no", "line", F.explode(found).alias("k"))
-    table = F.array(*[F.struct(F.lit(r[0]).alias("rule"), risk.severity_level(F.lit(r[1])).alias("severity"), F.lit(r[2]).alias("cwe")) for r in rules])
-    hits = hits.select("path", "line_no", F.element_at(table, F.col("k") + 1).alias("r"), snippet(F.col("line")).alias("snippet"))
-    hits = hits.select("path", "line_no", "r.rule", "r.severity", "r.cwe", "snippet").crossJoin(F.broadcast(guarded))
+    spoken = lambda langs: "lang IN (" + ", ".join(map(sql_text, langs.split())) + ")"
+    hits = rows.select("path", "line_no", "line", F.explode(_matches([(k, spoken(r[3]), r[4]) for k, r in enumerate(rules)])).alias("k"))
+    table = _rule_table(lines.sparkSession, [(k, r[0], risk.SEVERITIES.index(r[1]), r[2]) for k, r in enumerate(rules)], "k int, rule string, severity int, cwe string")
+    hits = hits.join(table, "k").select("path", "line_no", "rule", "severity", "cwe", snippet(F.col("line")).alias("snippet")).crossJoin(F.broadcast(guarded))
     hits = hits.where((F.col("rule") != "cs-csrf-disabled") | F.col("checked_globally")).drop("checked_globally")
     return hits.unionByName(unowned_lookups(lines))
 
@@ -95,13 +101,13 @@ def secrets(texts: DataFrame, entropy: bool = True) -> DataFrame:
 
     The secret column is raw; sinks take risk.redact of it.
     """
-    rows = [F.transform(F.regexp_extract_all("text", F.lit(to_java(p)), F.lit(0)), lambda s, r=r, sev=sev: F.struct(F.lit(r).alias("rule"), F.lit(sev).alias("level"), s.alias("secret"))) for r, _, sev, p, _ in SECRET_RULES]
-    found = texts.select("key", F.inline(F.concat(*rows)))
+    each = ", ".join(f"transform(regexp_extract_all(text, {sql_text(to_java(p))}, 0), s -> named_struct('rule', {sql_text(r)}, 'level', {sql_text(sev)}, 'secret', s))" for r, _, sev, p, _ in SECRET_RULES)
+    found = texts.select("key", F.expr(f"inline(concat({each}))"))
     if entropy:
         likely = texts.select("key", F.explode(F.regexp_extract_all("text", F.lit(to_java(ASSIGNMENT)), F.lit(2))).alias("secret"))
         low = F.lower("secret")
         likely = likely.where((F.octet_length("secret") >= 12) & ~_any([F.contains(low, F.lit(h)) for h in HINTS]) & (risk.entropy(F.col("secret")) >= LEAST_ENTROPY))
-        likely = likely.where(~_any([F.rlike("secret", F.lit(to_java(r[3]))) for r in SECRET_RULES]))
+        likely = likely.where(F.expr("NOT (" + " OR ".join(f"secret RLIKE {sql_text(to_java(r[3]))}" for r in SECRET_RULES) + ")"))
         found = found.unionByName(likely.select("key", F.lit("generic-high-entropy").alias("rule"), F.lit("MEDIUM").alias("level"), "secret"))
     return found.select("key", "rule", risk.severity_level(F.col("level")).alias("severity"), "secret", is_placeholder(F.col("secret")).alias("placeholder"))
 
@@ -120,12 +126,9 @@ def config_findings(lines: DataFrame) -> DataFrame:
     files = lines.groupBy("path").agg((starts("apiVersion:") & starts("kind:")).alias("kubernetes"))
     files = files.select("path", config_kind(F.col("path"), F.col("kubernetes")).alias("kind")).where("kind is not null")
     rows = lines.join(files, "path")
-    found = F.lit(None).cast("array<int>")
-    for kind in sorted({r[2] for r in CONFIG_RULES}):
-        found = F.when(F.col("kind") == kind, _matches(F.col("line"), [(k, r[3]) for k, r in enumerate(CONFIG_RULES) if r[2] == kind])).otherwise(found)
-    hits = rows.select("path", "line_no", "line", "kind", F.explode(found).alias("k"))
-    table = F.array(*[F.struct(F.lit(r[0]).alias("rule"), risk.severity_level(F.lit(r[1])).alias("severity")) for r in CONFIG_RULES])
-    hits = hits.select("path", "line_no", "line", "kind", F.element_at(table, F.col("k") + 1).alias("r")).select("path", "line_no", "r.rule", "r.severity", "kind", "line")
+    hits = rows.select("path", "line_no", "line", "kind", F.explode(_matches([(k, f"kind = {sql_text(r[2])}", r[3]) for k, r in enumerate(CONFIG_RULES)])).alias("k"))
+    table = _rule_table(lines.sparkSession, [(k, r[0], risk.SEVERITIES.index(r[1])) for k, r in enumerate(CONFIG_RULES)], "k int, rule string, severity int")
+    hits = hits.join(table, "k").select("path", "line_no", "rule", "severity", "kind", "line")
     name = F.lower(F.regexp_extract("line", to_java(SAFE_ASSIGNMENT), 1))
     safe = F.rlike("line", F.lit(to_java(SAFE_ASSIGNMENT))) & (name != "run")
     return hits.where(~((F.col("rule") == "gha-script-injection") & safe)).withColumn("snippet", snippet(F.col("line"))).drop("line")

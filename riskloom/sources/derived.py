@@ -47,10 +47,10 @@ def values(rows: list[tuple]) -> str:
 #: The same lines in DuckDB, as common table expressions.
 CODE_LINES_SQL = f"""
 kinds(kind, head, tail, n) as (values {values([(k, h, t, len(x)) for k, (h, t, x) in enumerate(KINDS)])}),
-texts(kind, idx, text) as (values {values([(k, i, x) for k, (_, _, lines) in enumerate(KINDS) for i, x in enumerate(lines)])}),
+line_texts(kind, idx, text) as (values {values([(k, i, x) for k, (_, _, lines) in enumerate(KINDS) for i, x in enumerate(lines)])}),
 keyed as (select o_orderkey as k, o_orderkey // {LINES_A_FILE} as file, (o_orderkey % {LINES_A_FILE} + 1)::int as line_no from orders),
 placed as (select *, case when line_no = 1 then 0 else 1 + (k * 31 + file * 17) % (n - 1) end as idx from keyed join kinds on kind = file % {len(KINDS)}),
-code_lines as (select case when file % 7 = 3 then 'tests/' else 'src/' end || head || file || tail as path, line_no,
+code_lines as materialized (select case when file % 7 = 3 then 'tests/' else 'src/' end || head || file || tail as path, line_no,
   replace(replace(replace(text, '@K@', k::varchar), '@M@', (k % 50)::varchar), '@H@', md5(k::varchar)) as line
-  from placed join texts using (kind, idx))
+  from placed join line_texts using (kind, idx))
 """
