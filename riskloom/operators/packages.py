@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import checkpointed
 from ..functions import risk
 
 #: Licence names that are permissive wherever they occur, and the package-url type of each ecosystem.
@@ -102,8 +103,8 @@ def reachable_packages(imports: DataFrame, dependencies: DataFrame, most: int =
     edge = found
     for _ in range(most):
         step = edge.join(dependencies, edge["name"] == dependencies["parent"]).select(F.col("child").alias("name")).distinct()
-        edge = step.join(found, "name", "left_anti").checkpoint()
+        edge = checkpointed(step.join(found, "name", "left_anti"))
         if edge.isEmpty():
             break
-        found = found.unionByName(edge).checkpoint()
+        found = checkpointed(found.unionByName(edge))
     return found

@@ -9,9 +9,11 @@ from ..functions import risk
 from ..functions.secret_patterns import SERVICES
 from ..operators import audit as A
 from ..operators import compare as C
+from ..operators import dotnet as N
 from ..operators import lines as L
 from ..operators import packages as P
 from ..operators import routes as R
+from ..operators import taint as T
 from ..sources.derived import code_lines, quoted
 from .queries import _BASE, _CODE, _CONFIG, _ROUTES, _TEST, query, table
 
@@ -215,3 +217,16 @@ def vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     adv = table(spark, sf_dir, "supplier").select(F.concat(F.lit("pkg"), (key % 61).cast("string")).alias("name"), F.concat(F.lit("1."), (key % 7).cast("string")).alias("version"), eco.alias("ecosystem"), F.concat(F.lit("ADV-"), key.cast("string")).alias("id"), F.when(key % 4 != 3, (key % 5).cast("int")).alias("severity"))
     imported = table(spark, sf_dir, "nation").select(F.concat(F.lit("pkg"), F.col("n_nationkey").cast("string")).alias("name"))
     return P.vulnerabilities(_packages(spark, sf_dir), adv, imported)
+
+
+@query()
+def tainted_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code findings with the user input that reaches them; order-dependent, so SQL has no form of it."""
+    rows = code_lines(spark, sf_dir)
+    return T.with_taint(L.code_findings(rows), T.taint(rows)).select("path", "line_no", "rule", "cwe", "user_input", "note")
+
+
+@query()
+def controller_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute-routed routes; order-dependent by file, so SQL has no form of it."""
+    return N.controller_routes(code_lines(spark, sf_dir))

@@ -15,6 +15,7 @@ KINDS = [
     ("page_", ".php", ["<?php // unit @K@", "Route::get('/report/@M@', 'C@index');", "Route::post('/upload_@M@', 'C@up')->middleware('auth');", "echo $_GET['name_@M@'];", "include($_GET['page']);", "unserialize($x@M@);", "$r = mysqli_query(\"select $id\");", "$y@M@ = 2;", "shell_exec($cmd);", "move_uploaded_file($f@M@);", "# eval($z);"]),
     ("main_", ".go", ["package main // unit @K@", "\tr.GET(\"/items/:id\", h@M@)", "\thttp.HandleFunc(\"/debug/@M@\", dbg)", "\texec.Command(\"sh\", \"-c\", q)", "\ttls.Config{InsecureSkipVerify: true}", "func f@M@() {", "\tid := c.Query(\"id_@M@\")", "}", "\ts := md5(x)", "\tr.POST(\"/token_@M@\", rateLimit, issue)", "\t// InsecureSkipVerify: true"]),
     ("Ctl_", ".cs", ["using System; // unit @K@", "  app.MapGet(\"/api/c@M@/{id}\", H);", "  app.MapPost(\"/api/pay@M@\", P).RequireAuthorization();", "  Process.Start(cmd@M@);", "  var c = new SqlCommand(\"select \" + id);", "  [IgnoreAntiforgeryToken]", "  return Redirect(url@M@);", "  cookie.Secure = false;", "  var d = MD5.Create();", "  ValidateIssuer = false,", "  new BinaryFormatter();", "  int n@M@ = 3;", "  options.Filters.Add(new AutoValidateAntiforgeryTokenAttribute());", "  // Process.Start(x)"]),
+    ("Api_", ".cs", ["[Route(\"api/[controller]\")] // unit @K@", "[Authorize(Roles = \"Admin@M@\")]", "public class C@M@Controller : Base@M@Controller {", "[HttpGet(\"{id:int}\")]", "[HttpPost]", "[AllowAnonymous]", "public IActionResult Run@M@([FromForm] string cmd, int n = 0) {", "  Process.Start(cmd);", "public class Base@M@Controller : ControllerBase {", "[HttpDelete(\"/all/{key?}\")]", "[Authorize]", "  svc.Handle@M@(cmd);", "}"]),
     ("svc_", ".Dockerfile", ["FROM base@M@:latest", "USER root", "RUN curl http://x/@M@ | sh", "ADD https://x/@M@ /a", "RUN chmod 777 /a", "COPY a@M@ b", "RUN echo @K@"]),
     (".github/workflows/ci_", ".yml", ["name: ci-@K@", "on: pull_request_target", "  - uses: act/x@M@@main", "  - run: echo ${{ github.event.issue.title }}", "    title: ${{ github.event.issue.title }}", "    run: ${{ github.head_ref }}", "  - uses: act/y@0a1b"]),
     ("infra_", ".tf", ["# unit @K@", "cidr_blocks = [\"0.0.0.0/0\"]", "acl = \"public-read\"", "encrypted = false", "password = \"hunter@M@hunter\"", "Action = \"*\"", "publicly_accessible = true", "name = \"n@M@\""]),
