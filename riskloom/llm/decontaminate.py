@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .shared import as_text, materialise, text_slices
 from .textkernel import ALNUM, Words, grams
 
@@ -124,6 +125,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Documents keep the windows whose fingerprint a fixed-size bit field admits; these are joined with the items'
     windows on fingerprint and words, copies of a text once, and the occurrences extended to spans.
     """
+    ship(docs.sparkSession)
     items = benchmark.where("item_id is not null").select("item_id", "text")
     kind = items.schema["item_id"].dataType.simpleString()
     items = materialise(items.mapInArrow(_item_windows, f"item_id {kind}, size int, print bigint, slot bigint, window string"), "item-windows")

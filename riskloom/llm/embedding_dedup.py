@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .components import components
 from .shared import materialise
 
@@ -108,6 +109,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.98, side: int = SIDE) -> D
     The nodes of a label are dealt into blocks of about `side`, whose number follows the label's size; every two
     blocks meet in a tile of bounded size. A tile returns link counts by node and a forest of its links, never all pairs.
     """
+    ship(vectors.sparkSession)
     own = vectors.select("vec_id", "embedding", "label")
     number = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("embedding") > 0)

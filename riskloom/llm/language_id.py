@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .shared import as_text, text_slices
 
 UNKNOWN = "und"
@@ -122,6 +123,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     score 0. Repeated rows get equal results; further columns are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
+    ship(spark)
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema["doc_id"].dataType.simpleString()
 

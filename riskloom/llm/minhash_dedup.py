@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .components import components
 from .minhash_links import NearRule, near_links, set_columns
 from .shared import as_text, materialise, text_slices
@@ -41,6 +42,7 @@ def near_duplicates(docs: DataFrame, rule: NearRule = DEFAULT) -> DataFrame:
     an empty result. A pair at exactly rule.percent is missed with a probability of about
     (1 - 0.8 ** rows) ** bands, 1.5e-5 by default; texts of any length are read whole.
     """
+    ship(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.mapInArrow(_document_sets(rule, True), f"doc_id {kind}, n int, key binary, bands array<bigint>")

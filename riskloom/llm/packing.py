@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .shared import as_text, binary_slices, materialise, text_slices, work_folder
 from .tokenpieces import ids_of, with_end
 
@@ -128,6 +129,7 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
 
 def token_pieces(docs: DataFrame, path: str, separator: int, room: int) -> DataFrame:
     """(doc_id, piece, start, length, ids): the ids of each text and its end id 0, cut into pieces of at most `room`."""
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .components import components
 from .minhash_links import NearRule, band_keys, near_links
 from .shared import as_text, binary_rows, binary_slices, materialise, text_slices
@@ -213,6 +214,7 @@ def repeated_passages(docs: DataFrame, rule: PassageRule = PassageRule()) -> Dat
     have several. Shorter repeats are left alone. Null and empty texts and rows with a null doc_id have no result; repeated rows
     keep and cut the same; further columns are ignored; an empty table gives an empty result.
     """
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     units = rows.mapInArrow(_unit_rows(rule), f"doc_id {kind}, text_key bigint, lines array<struct<no:int,key:binary,n:int,bands:array<bigint>>>, segments array<bigint>")

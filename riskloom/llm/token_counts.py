@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .bpe_merge import RankMerger
 from .shared import as_text, text_slices
 from .tokenpieces import MOST_PIECES, Pieces
@@ -99,6 +100,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048) -> DataFrame:
     ragged arrays. Very long texts and words go the same way; repeated rows give repeated results; further columns
     are ignored; an empty table gives an empty result. No shuffle; a worker remembers a bounded number of pieces.
     """
+    ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
