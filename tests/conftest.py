@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -34,5 +35,5 @@ def duck(sf_dir):
 def rows_of(frame):
     """Rows of a pandas frame, columns by name, as sorted tuples of text."""
     names = sorted(frame.columns)
-    text = lambda v: "" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    text = lambda v: "" if v is None or v is pd.NA or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
     return names, sorted(tuple(text(v) for v in r) for r in frame[names].astype(object).itertuples(index=False))
