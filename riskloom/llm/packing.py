@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -167,7 +169,7 @@ def pack(docs: DataFrame, path: str, separator: int, room: int = 2048, with_ids:
     """
     made = token_pieces(docs, path, separator, room)
     spark = docs.sparkSession
-    out = f"{work_folder(spark)}/pieces-{id(made)}-{np.random.default_rng().integers(1 << 62)}"
+    out = f"{work_folder(spark)}/pieces-{uuid.uuid4().hex}"
     made.write.option("compression", "zstd").parquet(out)
     pieces = spark.read.schema(made.schema).parquet(out)
     histogram = np.zeros(room + 1, np.int64)
