@@ -17,7 +17,8 @@ from riskloom.llm.shared import materialise, read_table
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told go: those with a null text or without a letter."""
     known = language_id.classify(docs).where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct()
-    return docs.where("text is not null").join(known, "doc_id", "left_anti")
+    kept = docs.where("text is not null").join(known, "doc_id", "left_anti")
+    return kept.where("doc_id is not null or text rlike '\\\\p{L}'")
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
