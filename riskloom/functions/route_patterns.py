@@ -36,3 +36,10 @@ PARAMETERS = [
     r"params\[:?(\w+)\]",
     r'c\.(?:Query|Param|PostForm)\(\s*"(\w+)"',
 ]
+#: Fields of GraphQL operations; marks, paths and methods of OpenAPI files, and the lines that may hold a mark.
+GRAPHQL_TYPE = r"^\s*type\s+(Query|Mutation)\b"
+GRAPHQL_FIELD = r"^\s*(\w+)\s*(?:\([^)]*\))?\s*:"
+OPENAPI_PATH = r"""^\s{2,}(/[^\s:"]*)\s*:"""
+OPENAPI_METHOD = r"^\s{4,}(get|post|put|patch|delete)\s*:"
+OPENAPI_MARK = r"""^\s*(?:openapi:|swagger:)|"openapi"|"swagger\""""
+OPENAPI_LINES = 31

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions import risk
 from ..functions.code_patterns import CODE_RULES, ENDINGS, GLOBAL_ANTIFORGERY, LOOKUP, OWNERSHIP, PATCHES
 from ..functions.config_patterns import CONFIG_RULES, SAFE_ASSIGNMENT
-from ..functions.route_patterns import GUARD, ID_LIKE, INTERNAL_HOST, OWNED, PARAMETERS, PATH_PARAM, PRIVATE_IP, RATE_LIMIT, RESOURCES, ROUTE_INPUT, ROUTE_RULES, SENSITIVE
+from ..functions.route_patterns import GRAPHQL_FIELD, GRAPHQL_TYPE, GUARD, ID_LIKE, INTERNAL_HOST, OPENAPI_MARK, OPENAPI_METHOD, OPENAPI_PATH, OWNED, PARAMETERS, PATH_PARAM, PRIVATE_IP, RATE_LIMIT, RESOURCES, ROUTE_INPUT, ROUTE_RULES, SENSITIVE
 from ..functions.secret_patterns import ASSIGNMENT, HINTS, LEAST_ENTROPY, PLACEHOLDER, SECRET_RULES
 from ..operators import lines as L
 from ..operators import routes as R
+from ..operators import specs as S
 from ..sources.derived import CODE_LINES_SQL, code_lines, quoted
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -234,3 +235,23 @@ def request_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wordlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = code_lines(spark, sf_dir)
     return R.wordlist(R.routes(rows), R.parameters(rows))
+
+
+_SO_FAR = "over (partition by path order by line_no rows between unbounded preceding and current row)"
+
+
+@query(f"""with {CODE_LINES_SQL}, t as (select *, regexp_matches(line, {quoted(GRAPHQL_TYPE)}) as opens from code_lines where ends_with(path, '.graphql') or ends_with(path, '.gql')),
+p as (select *, count_if(opens) {_SO_FAR} as part, last_value(case when opens then upper(regexp_extract(line, {quoted(GRAPHQL_TYPE)}, 1)) end ignore nulls) {_SO_FAR} as op from t),
+d as (select *, sum(length(replace(line, '}}', '')) - length(replace(line, '{{', ''))) over (partition by path, part order by line_no rows between unbounded preceding and current row) as depth from p where part > 0 and not opens),
+c as (select *, count_if(contains(line, '}}') and depth <= 0) over (partition by path, part order by line_no rows between unbounded preceding and current row) as closed from d)
+select op as method, '/graphql#' || regexp_extract(line, {quoted(GRAPHQL_FIELD)}, 1) as route, path, line_no from c where closed = 0 and regexp_matches(line, {quoted(GRAPHQL_FIELD)}) and regexp_extract(line, {quoted(GRAPHQL_FIELD)}, 1) <> 'type'""")
+def graphql_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.graphql_routes(code_lines(spark, sf_dir))
+
+
+@query(f"""with {CODE_LINES_SQL}, f as (select * from code_lines where regexp_extract(path, '\\.[A-Za-z0-9]+$') in ('.yaml', '.yml', '.json')),
+m as (select distinct path from f where line_no <= 31 and regexp_matches(line, {quoted(OPENAPI_MARK)})),
+r as (select *, regexp_matches(line, {quoted(OPENAPI_PATH)}) as is_path, last_value(case when regexp_matches(line, {quoted(OPENAPI_PATH)}) then regexp_extract(line, {quoted(OPENAPI_PATH)}, 1) end ignore nulls) {_SO_FAR} as route from f where path in (select path from m))
+select upper(regexp_extract(line, {quoted(OPENAPI_METHOD)}, 1)) as method, route, path, line_no from r where not is_path and route is not null and regexp_matches(line, {quoted(OPENAPI_METHOD)})""")
+def openapi_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.openapi_routes(code_lines(spark, sf_dir))

@@ -20,6 +20,8 @@ KINDS = [
     (".github/workflows/ci_", ".yml", ["name: ci-@K@", "on: pull_request_target", "  - uses: act/x@M@@main", "  - run: echo ${{ github.event.issue.title }}", "    title: ${{ github.event.issue.title }}", "    run: ${{ github.head_ref }}", "  - uses: act/y@0a1b"]),
     ("infra_", ".tf", ["# unit @K@", "cidr_blocks = [\"0.0.0.0/0\"]", "acl = \"public-read\"", "encrypted = false", "password = \"hunter@M@hunter\"", "Action = \"*\"", "publicly_accessible = true", "name = \"n@M@\""]),
     ("deploy_", ".yaml", ["apiVersion: v1 # @K@", "kind: Pod", "  privileged: true", "  runAsNonRoot: false", "  hostNetwork: true", "  allowPrivilegeEscalation: true", "  image: x@M@"]),
+    ("schema_", ".graphql", ["# unit @K@", "type Query {", "  users_@M@(id: ID): User", "  total@M@: Int", "}", "type User {", "type Mutation {", "  pay@M@(x: Int): Bool", "  # note"]),
+    ("spec_", ".yml", ["openapi: 3.0.0 # unit @K@", "  /api/x@M@:", "    get:", "    post:", "      summary: s@M@", "  /users/{id}:", "    delete:", "paths:"]),
     ("config_", ".env", ["# unit @K@", "URL=postgres://u@M@:pw@M@secret@db.internal/x", "TOKEN=ghp_@H@abcd", "KEY=AKIA@M@ABCDEFGHIJKLMNOP", "MAIL=key-@H@", "HOST=10.0.@M@.7", "mailchimp=@H@-us12", "SHOP=shpat_@H@", "plain=@M@"]),
 ]
 
