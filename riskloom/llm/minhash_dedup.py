@@ -9,8 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .components import components
-from .minhash_links import NearRule, near_links, set_columns
+from .minhash_links import NearRule, near_groups, set_columns
 from .shared import as_text, materialise, text_slices
 from .textkernel import NOT_SPACE, Words, shingle_set
 
@@ -58,9 +57,7 @@ def near_duplicates(docs: DataFrame, rule: NearRule = DEFAULT) -> DataFrame:
         made = texts.mapInArrow(_document_sets(rule, False), f"doc_id {kind}, n int, key binary, sig binary, shingles binary")
         return made.drop("doc_id", "n").where("key is not null")
 
-    links = near_links(classes.select("key", "n", "bands"), fetch, rule)
-    groups = components(links).select(F.col("node").alias("key"), "component")
-    groups = materialise(groups, "groups")
+    groups = near_groups(classes.select("key", "n", "bands"), fetch, rule)
     least = groups.join(classes.select("key", "first_id"), "key").groupBy("component").agg(F.min("first_id").alias("least_id"))
     of_class = groups.join(materialise(least, "least"), "component").select("key", "least_id")
     of_class = classes.select("key", "first_id").join(of_class, "key", "left").select("key", F.coalesce("least_id", "first_id").alias("component_id"))

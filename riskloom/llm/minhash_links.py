@@ -2,8 +2,8 @@
 
 Sets are rows keyed by a 16-byte digest of their content, so equal sets are one row. A band that many sets share is
 not expanded into all pairs: in each round every band compares its members with one pivot, and only members that no
-link connects with the pivot yet. Bands that still hold several components after the pivot rounds are settled exactly: two sets beside one pivot can
-only be similar if they share shingles that the pivot lacks, or almost all of those that it has.
+link connects with the pivot yet. Bands that still hold several components after the pivot rounds are settled exactly, in
+tiles of what each set has beside, and lacks of, the band's pivot.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, materialise
+from .shared import drop_table, materialise, ragged
 from .textkernel import mix
 
 
@@ -30,7 +31,7 @@ class NearRule:
     percent: int = 80
     bands: int = 28
     rows: int = 5
-    pivots: int = 2
+    pivots: int = 1
     seed: int = 7
 
     def multipliers(self) -> tuple[np.ndarray, np.ndarray]:
@@ -113,20 +114,20 @@ def _sized(rule: NearRule, one, other):
     return F.least(one, other) * 100 >= F.greatest(one, other) * rule.percent
 
 
-def near_links(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: NearRule) -> DataFrame:
-    """Links (a, b) between the keys of sets(key, n, bands) that connect all sets with a similar enough partner.
+def near_groups(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: NearRule) -> DataFrame:
+    """(key, component) of the keys of sets(key, n, bands) that have a similar enough partner; component is one key of the group.
 
-    fetch(keys) gives (key, sig, shingles) of the asked keys. A link is kept only after the comparison of full sets.
+    fetch(keys) gives (key, sig, shingles) of the asked keys. A link counts only after the comparison of full sets.
     Every two sets that share a band and are similar enough are linked directly or through other links.
     """
+    spark = sets.sparkSession
     members = sets.select("key", "n", F.explode("bands").alias("band"))
     shared = materialise(members.groupBy("band").count().where("count > 1").select("band"), "bands")
     members = materialise(members.join(shared, "band"), "members")
     drop_table(shared)
     full = materialise(fetch(members.select("key").distinct()).dropDuplicates(["key"]), "sets")
     schema = "a binary, b binary"
-    links = members.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
-    tested, found = [], []
+    tested, links = [], spark.createDataFrame([], schema)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -135,120 +136,128 @@ def near_links(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: N
         pairs = materialise(pairs, "pairs")
         tested.append(pairs)
         sig = pairs.join(full.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(full.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
-        likely = materialise(sig.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(rule), schema), "likely")
+        likely = sig.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(rule), schema)
         whole = likely.join(full.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a").join(full.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b")
         return materialise(whole.select("a", "b", "set_a", "set_b").mapInArrow(_set_check(rule), schema), "links")
 
-    def union() -> DataFrame:
-        out = found[0]
-        for t in found[1:]:
-            out = out.unionByName(t)
-        return out
-
-    for turn in range(rule.pivots + 1):
-        if turn:
-            links = union()
-            ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key"))).groupBy("key").count()
-            of = components(links).withColumnRenamed("node", "key").join(ends.withColumnRenamed("count", "degree"), "key")
-            now = members.join(materialise(of, "component"), "key", "left").select("band", "key", "n", F.coalesce("component", "key").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
-        else:
-            now = members.select("band", "key", "n", F.col("key").alias("c"), F.lit(0).cast("bigint").alias("degree"))
-        now = materialise(now, "state")
+    def open_bands(now: DataFrame, turn: int) -> DataFrame:
+        """Bands that hold several components, each with its pivot: the member with the most links, or at first any."""
         order = F.struct((-F.col("degree")).alias("d"), F.xxhash64("key", F.lit(turn) if turn else "band").alias("h"), "key", "n", "c")
-        open_bands = now.groupBy("band").agg(F.min(order).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
-        if turn:
-            open_bands = open_bands.where("size > 2")
-        open_bands = materialise(open_bands.select("band", "p.key", "p.n", "p.c").toDF("band", "pivot", "pivot_n", "pivot_c"), "open")
-        if open_bands.isEmpty():
-            break
-        met = now.join(open_bands, "band")
-        if turn < rule.pivots:
-            pairs = met.where(F.col("c") != F.col("pivot_c")).where(_sized(rule, F.col("n"), F.col("pivot_n"))).select(F.col("key").alias("x"), F.col("pivot").alias("y"))
-        else:
-            pairs = _left_pairs(met.select("key", "c", "pivot", "pivot_c").distinct(), full, rule)
-        found.append(confirm(pairs))
-        drop_table(now)
-    return union() if found else links
+        rows = now.groupBy("band").agg(F.min(order).alias("p"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size")).where("lo <> hi")
+        rows = rows.where("size > 2") if turn else rows
+        return materialise(rows.select("band", "p.key", "p.n", "p.c").toDF("band", "pivot", "pivot_n", "pivot_c"), "open")
+
+    def labelled(of: DataFrame) -> DataFrame:
+        rows = members.join(of, "key", "left").select("band", "key", "n", F.coalesce("label", "key").alias("c"), F.coalesce("degree", F.lit(0)).alias("degree"))
+        return materialise(rows, "state")
+
+    for turn in range(rule.pivots):
+        now = labelled(_labels(links)) if turn else members.select("band", "key", "n", F.col("key").alias("c"), F.lit(0).cast("bigint").alias("degree"))
+        met = now.join(open_bands(now, turn), "band").where(F.col("c") != F.col("pivot_c")).where(_sized(rule, F.col("n"), F.col("pivot_n")))
+        links = links.unionByName(confirm(met.select(F.col("key").alias("x"), F.col("pivot").alias("y"))))
+    groups = _groups(links)
+    now = labelled(groups)
+    rest = open_bands(now, rule.pivots)
+    if not rest.isEmpty():
+        star = now.join(rest, "band").select("key", "c", "pivot", "pivot_c").distinct()
+        more = _left_links(star, full, rule)
+        name = groups.select("key", "label")
+        ends = more.join(name.toDF("a", "x"), "a", "left").join(name.toDF("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b"))
+        joined = components(ends.where("a <> b"))
+        every = groups.select("key", "label").unionByName(more.select(F.col("a").alias("key"), F.col("a").alias("label"))).unionByName(more.select(F.col("b").alias("key"), F.col("b").alias("label")))
+        every = every.join(groups.select("key", F.col("label").alias("known")), "key", "left").select("key", F.coalesce("known", "label").alias("label")).distinct()
+        out = every.join(joined.toDF("label", "joined"), "label", "left").select("key", F.coalesce("joined", "label").alias("component"))
+    else:
+        out = groups.select("key", F.col("label").alias("component"))
+    out = materialise(out, "groups")
+    for t in (members, full, *tested):
+        drop_table(t)
+    return out
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(key, label, degree): the set of the highest degree among a set and those it is linked with. Sets with one label are connected."""
+    ends = links.select(F.col("a").alias("key"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("key"), F.col("a").alias("other")))
+    degree = materialise(ends.groupBy("key").count().withColumnRenamed("count", "degree"), "degree")
+    around = ends.join(degree.select(F.col("key").alias("other"), "degree"), "other").select("key", "other", "degree")
+    around = around.unionByName(degree.select("key", F.col("key").alias("other"), "degree"))
+    best = around.groupBy("key").agg(F.min_by("other", F.struct(-F.col("degree"), "other")).alias("label"), F.max(F.when(F.col("key") == F.col("other"), F.col("degree"))).alias("degree"))
+    return materialise(best, "labels")
+
+
+def _groups(links: DataFrame) -> DataFrame:
+    """(key, label, degree) with one label for each connected component: components of the labels that links join."""
+    of = _labels(links)
+    name = of.select("key", "label")
+    across = links.join(name.toDF("a", "x"), "a").join(name.toDF("b", "y"), "b").where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    joined = components(across)
+    return materialise(of.join(joined.toDF("label", "component"), "label", "left").select("key", F.coalesce("component", "label").alias("label"), "degree"), "named")
 
 
 def _beside_pivot(batches):
-    """Of each set and its pivot: common shingles, sizes, and the set's shingles that the pivot lacks."""
+    """Of each set and its pivot: the pivot's size, the set's shingles that it lacks, and its shingles that the set lacks."""
     for batch in batches:
-        rows: dict[str, list] = {"common": [], "size": [], "new": []}
-        for x, y in zip(batch.column("set_x"), batch.column("set_p"), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            new = np.setdiff1d(x, y, assume_unique=True)
-            rows["common"].append(len(x) - len(new))
-            rows["size"].append(len(x))
-            rows["new"].append(new.tobytes())
+        rows: dict[str, list] = {"size": [], "new": [], "gone": []}
+        for x, p in zip(batch.column("set_x"), batch.column("set_p"), strict=True):
+            x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
+            rows["size"].append(len(p))
+            rows["new"].append(np.setdiff1d(x, p, assume_unique=True).tobytes())
+            rows["gone"].append(np.setdiff1d(p, x, assume_unique=True).tobytes())
         out = {k: batch.column(k) for k in ("key", "c", "pivot", "pivot_c")}
-        yield pa.RecordBatch.from_pydict(out | {"common": pa.array(rows["common"], pa.int32()), "size": pa.array(rows["size"], pa.int32()), "new": pa.array(rows["new"], pa.binary())})
+        yield pa.RecordBatch.from_pydict(out | {"size": pa.array(rows["size"], pa.int32()), "new": pa.array(rows["new"], pa.binary()), "gone": pa.array(rows["gone"], pa.binary())})
 
 
-#: Bits of the filter of new shingles that every task gets: 2 MB, whatever the input.
-_FILTER_BITS = 24
+#: Sets of a tile's side, on average.
+TILE = 256
 
 
-def _new_slots(new: bytes, pivot: bytes) -> tuple[np.ndarray, np.ndarray]:
-    values = mix(np.frombuffer(new, np.uint64) ^ np.frombuffer(pivot[:8], np.uint64))
-    return values, (values >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
+def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many values each array of x has in common with each of y; no array holds a value twice."""
+    owner = [np.repeat(np.arange(len(v)), [len(w) for w in v]) for v in (x, y)]
+    flat = [np.concatenate(v) for v in (x, y)]
+    order = np.argsort(flat[1], kind="stable")
+    lo, hi = (np.searchsorted(flat[1][order], flat[0], side=s) for s in ("left", "right"))
+    pair = np.repeat(owner[0], hi - lo) * len(y) + owner[1][order[ragged(lo, hi - lo)]]
+    return np.bincount(pair, minlength=len(x) * len(y)).reshape(len(x), len(y))
 
 
-def _filter_words(batches):
-    """The words of a bit field that hold the new shingles of a task's rows."""
-    bits: np.ndarray = np.zeros(1 << (_FILTER_BITS - 6), np.uint64)
-    for batch in batches:
-        for new, pivot in zip(batch.column("new").to_pylist(), batch.column("pivot").to_pylist(), strict=True):
-            _, slot = _new_slots(new, pivot)
-            np.bitwise_or.at(bits, slot >> 6, np.uint64(1) << (slot & 63).astype(np.uint64))
-    at = np.flatnonzero(bits)
-    yield pa.RecordBatch.from_pydict({"at": pa.array(at), "bits": pa.array(bits[at].view(np.int64))})
-
-
-def _filtered_new(bits: bytes):
-    """(at, key) rows: a set and a mixed new shingle that the bit field admits."""
+def _tile_links(rule: NearRule):
+    """Links (a, b) of a tile between sets x outside the pivot's component and sets y, one for each x and component of y."""
 
-    def run(batches):
-        table = np.frombuffer(bits, np.uint64)
-        for batch in batches:
-            at, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, (new, pivot) in enumerate(zip(batch.column("new").to_pylist(), batch.column("pivot").to_pylist(), strict=True)):
-                values, slot = _new_slots(new, pivot)
-                values = values[(table[slot >> 6] >> (slot & 63).astype(np.uint64)) & np.uint64(1) > 0]
-                at.append(values)
-                rows.append(np.full(len(values), i))
-            rows_at = pa.array(np.concatenate(rows))
-            out = {k: batch.column(k).take(rows_at) for k in ("key", "c", "pivot", "pivot_c", "common", "size")}
-            yield pa.RecordBatch.from_pydict(out | {"at": pa.array(np.concatenate(at).view(np.int64))})
+    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
+        x, y = tile[tile["side"] == 0], tile[tile["side"] == 1]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        (new_x, gone_x), (new_y, gone_y) = ([[np.frombuffer(v, np.uint64) for v in part[c]] for c in ("new", "gone")] for part in (x, y))
+        size = int(x["size"].iloc[0])
+        count = lambda arrays: np.array([len(v) for v in arrays])
+        lost_x, lost_y = count(gone_x)[:, None], count(gone_y)[None, :]
+        common = size - lost_x - lost_y + _shared(gone_x, gone_y) + _shared(new_x, new_y)
+        union = (size - lost_x + count(new_x)[:, None]) + (size - lost_y + count(new_y)[None, :]) - common
+        fits = (100 * common >= rule.percent * union) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :])
+        i, j = np.nonzero(fits)
+        found = pd.DataFrame({"a": x["key"].to_numpy()[i], "b": y["key"].to_numpy()[j], "c": y["c"].to_numpy()[j]})
+        return found.drop_duplicates(["a", "c"])[["a", "b"]]
 
     return run
 
 
-def _left_pairs(star: DataFrame, full: DataFrame, rule: NearRule) -> DataFrame:
-    """Pairs (x, y) of sets in different components that may be similar, from star(key, c, pivot, pivot_c).
+def _left_links(star: DataFrame, full: DataFrame, rule: NearRule) -> DataFrame:
+    """Links (a, b) between similar sets of different components that share a pivot, from star(key, c, pivot, pivot_c).
 
-    Both sets of a pair share a pivot p. They have at most min(|x & p|, |y & p|) shingles of p in common, so either
-    that alone is enough for the threshold, or they share shingles that p lacks, and enough of them. Each pair has a
-    set outside the pivot's component; all other pairs that share p are in one component already.
+    Beside a pivot p a set is what it has new and what of p is gone from it, both short, and
+    |x & y| = |p| - |p-x| - |p-y| + |(p-x) & (p-y)| + |(x-p) & (y-p)|, so the comparison is one of full sets. Each pair
+    has a set outside the pivot's component; all others that share p are in one component already. The sets outside
+    meet the sets of the pivot in tiles of bounded size, and a tile returns one link for each set and component.
     """
-    kind = "key binary, c binary, pivot binary, pivot_c binary, common int, size int"
     beside = star.join(full.select("key", F.col("shingles").alias("set_x")), "key").join(full.select(F.col("key").alias("pivot"), F.col("shingles").alias("set_p")), "pivot")
-    beside = materialise(beside.mapInArrow(_beside_pivot, kind + ", new binary"), "beside")
-    outside = beside.where("c <> pivot_c")
-    words = outside.select("pivot", "new").mapInArrow(_filter_words, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    bits = np.zeros(1 << (_FILTER_BITS - 6), np.int64)
-    for at, word in words.toLocalIterator():
-        bits[at] = word
-    new = beside.mapInArrow(_filtered_new(bits.tobytes()), kind + ", at bigint")
-    mixed = new.groupBy("pivot", "at").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("pivot", "at")
-    new = materialise(new.join(materialise(mixed, "mixed"), ["pivot", "at"]), "new")
-
-    def named(df: DataFrame, to: str) -> DataFrame:
-        return df.select("pivot", *[F.col(k).alias(f"{to}_{k}") for k in ("key", "c", "common", "size")], *(["at"] if "at" in df.columns else []))
-
-    enough = lambda extra: (F.least("x_common", "y_common") + extra) * (100 + rule.percent) >= (F.col("x_size") + F.col("y_size")) * rule.percent
-    other = (F.col("x_c") != F.col("y_c")) & _sized(rule, F.col("x_size"), F.col("y_size"))
-    by_new = named(new.where("c <> pivot_c"), "x").join(named(new, "y"), ["pivot", "at"]).where(other)
-    by_new = by_new.groupBy("pivot", "x_key", "y_key", "x_common", "y_common", "x_size", "y_size").count().where(enough(F.col("count")))
-    by_pivot = named(outside, "x").join(named(beside, "y"), "pivot").where(other & enough(F.lit(0)))
-    return by_new.select(F.col("x_key").alias("x"), F.col("y_key").alias("y")).unionByName(by_pivot.select(F.col("x_key").alias("x"), F.col("y_key").alias("y")))
+    beside = materialise(beside.mapInArrow(_beside_pivot, "key binary, c binary, pivot binary, pivot_c binary, size int, new binary, gone binary"), "beside")
+    numbers = beside.groupBy("pivot").agg(F.count("*").alias("all"), F.count_if(F.col("c") != F.col("pivot_c")).alias("outside"))
+    numbers = materialise(numbers.where("outside > 0").select("pivot", F.ceil(F.col("all") / TILE).alias("all_blocks"), F.ceil(F.col("outside") / TILE).alias("blocks")), "blocks")
+    rows = beside.join(numbers, "pivot")
+    own = F.xxhash64("key", F.lit(5))
+    x = rows.where("c <> pivot_c").withColumns({"i": F.pmod(own, "blocks"), "j": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_blocks") - 1)), "side": F.lit(0)})
+    y = rows.withColumns({"i": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)), "j": F.pmod(own, "all_blocks"), "side": F.lit(1)})
+    columns = ["pivot", "i", "j", "side", "key", "c", "size", "new", "gone"]
+    tiles = x.select(*columns).unionByName(y.select(*columns)).groupBy("pivot", "i", "j").applyInPandas(_tile_links(rule), "a binary, b binary")
+    return materialise(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .components import components
-from .minhash_links import NearRule, band_keys, near_links
+from .minhash_links import NearRule, band_keys, near_groups
 from .shared import as_text, binary_rows, binary_slices, materialise, text_slices
 from .textkernel import NOT_SPACE, U, Words, grams, mix
 
@@ -231,8 +230,8 @@ def repeated_passages(docs: DataFrame, rule: PassageRule = PassageRule()) -> Dat
         made = texts.mapInArrow(_set_rows(rule), "key binary, sig binary, shingles binary")
         return made.join(F.broadcast(asked.select("key")) if few else asked.select("key"), "key", "left_semi")
 
-    groups = components(near_links(classes.select("key", "n", "bands"), fetch, rule.near))
-    named = classes.select("key", "first", "times").join(groups.withColumnRenamed("node", "key"), "key", "left").select("key", "first", "times", F.coalesce("component", "key").alias("component"), "component")
+    groups = near_groups(classes.select("key", "n", "bands"), fetch, rule.near)
+    named = classes.select("key", "first", "times").join(groups, "key", "left").select("key", "first", "times", F.coalesce("component", "key").alias("component"), "component")
     named = materialise(named.toDF("key", "first", "times", "component", "linked").where("linked is not null or times > 1"), "named")
     firsts = materialise(named.groupBy("component").agg(F.min("first").alias("first")), "firsts")
     clusters = materialise(named.select("key", "component").join(firsts, "component").select("key", "first"), "clusters")
