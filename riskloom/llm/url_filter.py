@@ -79,7 +79,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     order = F.struct(F.length("hit.rule"), F.length("owner"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("hit.rule", "hit.verdict"), order).alias("best"))
     best = materialise(best.select("host", "path", "best.rule", "best.verdict"), "best")
-    return parts.join(best, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
+    return parts.join(best.hint("merge"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(otherwise)).alias("verdict"))
 
 
 #: DuckDB's form of the contract.
