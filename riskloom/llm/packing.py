@@ -129,13 +129,13 @@ def _slots(made: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:
     return {"key": (table[:, 0] << 44) + table[:, 1], "first": table[:, 1], "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def token_pieces(docs: DataFrame, path: str, separator: int, room: int) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, room: int) -> DataFrame:
     """(doc_id, piece, start, length, ids): the ids of each text and its end id 0, cut into pieces of at most `room`."""
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
-        maker = ids_of(path, separator)
+        maker = ids_of(path)
         for batch in batches:
             for part in text_slices(batch, "text", 6_000_000):
                 ids, at = with_end(*maker.ids(as_text(part.column("text"))))
@@ -155,7 +155,7 @@ def token_pieces(docs: DataFrame, path: str, separator: int, room: int) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
 
 
-def pack(docs: DataFrame, path: str, separator: int, room: int = 2048, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, room: int = 2048, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), and ids, of every piece of docs(doc_id, text).
 
     Only documents longer than `room` ids, their end id included, are cut. A null or empty text is its end id alone.
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, path: str, separator: int, room: int = 2048, with_ids:
     `room` and not on the data. The n-th piece of a length takes the n-th place that the plan has for that length;
     pieces of a frequent length are counted in cells of bounded size.
     """
-    made = token_pieces(docs, path, separator, room)
+    made = token_pieces(docs, path, room)
     spark = docs.sparkSession
     out = f"{work_folder(spark)}/pieces-{uuid.uuid4().hex}"
     made.write.option("compression", "zstd").parquet(out)

@@ -23,9 +23,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .shared import as_text, binary_slices, ragged, text_slices
 from .tokenpieces import ids_of, load, with_end
 
@@ -142,7 +143,7 @@ def read_ids(row: dict, doc: int, start: int = 0, stop: int | None = None) -> np
     return decode_symbols(own[first : last + 1], table)[start - before : stop - before]
 
 
-def _encode(path: str, separator: int, rule: GrammarRule):
+def _encode(path: str, rule: GrammarRule):
     def block_row(number: int, doc_ids: list, ids: list[np.ndarray], sizes: list[np.ndarray]) -> pa.RecordBatch:
         tokens = np.concatenate(sizes)
         flat = np.concatenate(ids)
@@ -158,7 +159,7 @@ def _encode(path: str, separator: int, rule: GrammarRule):
 
     def run(batches):
         number, held, doc_ids, ids, sizes = 0, 0, [], [], []
-        maker = ids_of(path, separator)
+        maker = ids_of(path)
         for batch in batches:
             for part in text_slices(batch, "text", 6_000_000):
                 flat, at = with_end(*maker.ids(as_text(part.column("text"))))
@@ -175,7 +176,7 @@ def _encode(path: str, separator: int, rule: GrammarRule):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, separator: int, out: str, rule: GrammarRule = GrammarRule()) -> None:
+def write_ids(docs: DataFrame, path: str, out: str, rule: GrammarRule = GrammarRule()) -> None:
     """Writes the ids of docs(doc_id, text), by the library of the tokenizer file `path` and with id 0 after each
     document, to the folder `out`, in ascending doc_id order over shards and blocks.
 
@@ -183,8 +184,9 @@ def write_ids(docs: DataFrame, path: str, separator: int, out: str, rule: Gramma
     comes first; texts of any length are one document of one block; further columns are ignored; an empty table
     writes no block. Documents are dealt by ranges of doc_id, a shard each, and encoded block by block.
     """
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    rows.mapInArrow(_encode(path, separator, rule), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(out)
+    rows.mapInArrow(_encode(path, rule), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(out)
 
 
 def _decode(batches):
@@ -205,13 +207,18 @@ def _decode(batches):
                 })
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) from files of write_ids: ids as little-endian unsigned 32-bit, start the ids of all documents before."""
+def read_documents(spark: SparkSession, path: str, **derived: Column) -> DataFrame:
+    """(doc_id, start, n_tokens) and ids, or instead the named columns derived from ids, from files of write_ids.
+
+    ids are little-endian unsigned 32-bit; start is the number of ids of all documents before.
+    """
+    ship(spark)
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     sizes = blocks.select("shard", "block", F.aggregate("doc_tokens", F.lit(0).cast("bigint"), lambda a, n: a + n).alias("n"))
     in_shard = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     shards = sizes.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
     bases = sizes.withColumn("block_start", F.coalesce(F.sum("n").over(in_shard), F.lit(0))).join(shards, "shard").select("shard", "block", (F.col("shard_start") + F.col("block_start")).alias("base"))
     docs = blocks.mapInArrow(_decode, "shard int, block int, doc_id bigint, within bigint, n_tokens bigint, ids binary")
-    return docs.join(bases, ["shard", "block"]).select("doc_id", (F.col("base") + F.col("within")).alias("start"), "n_tokens", "ids")
+    docs = docs.select("shard", "block", "doc_id", "within", "n_tokens", *[c.alias(k) for k, c in (derived or {"ids": F.col("ids")}).items()])
+    return docs.join(bases, ["shard", "block"]).drop("shard", "block").withColumn("start", F.col("base") + F.col("within")).drop("base", "within")
 

@@ -13,13 +13,10 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .bpe_merge import RankMerger
 from .shared import as_text, text_slices
-from .tokenpieces import MOST_PIECES, Pieces
+from .tokenpieces import MOST_PIECES, PLAIN, WORD_PRETOKENS, Pieces
 
-#: The pre-token pattern and the added tokens of the word_bpe file.
-PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: The added tokens of the word_bpe file.
 ADDED = ["<|startoftext|>", "<|endoftext|>"]
-#: Texts of these characters only are cut by Arrow's pattern engine; the rest by the slower general way.
-_PLAIN = r"^[\x{21}-\x{7E}\x{C0}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]*$"
 _workers: dict[str, "PieceCounts"] = {}
 
 
@@ -27,7 +24,7 @@ def _general(piece: str) -> tuple[int, list[str]]:
     """The number of added tokens in a piece, and its other pre-tokens after normalisation."""
     import regex
 
-    pattern = regex.compile(PRETOKENS)
+    pattern = regex.compile(WORD_PRETOKENS)
     parts = regex.split("|".join(map(regex.escape, ADDED)), piece)
     out: list[str] = []
     for part in parts:
@@ -45,9 +42,9 @@ class PieceCounts:
 
     def learn(self, new: list[str]) -> None:
         words = pa.array(new, pa.string())
-        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
+        plain = pc.and_(pc.match_substring_regex(words, f"^{PLAIN}*$"), pc.invert(pc.match_substring(words, "<|"))).to_numpy(zero_copy_only=False)
         easy = words.filter(pa.array(plain))
-        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(easy), PRETOKENS, "\\0\x01"), "\x01")
+        cut = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(easy), WORD_PRETOKENS, "\\0\x01"), "\x01")
         lists, extra = [cut.flatten()], []
         sizes = np.zeros(len(new), np.int64)
         sizes[plain] = np.diff(cut.offsets.to_numpy())

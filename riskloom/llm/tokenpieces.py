@@ -8,11 +8,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .bpe_merge import byte_letters
 from .shared import ragged
 
 _loaded: dict[str, object] = {}
 #: Pieces that one worker remembers at most; beyond it starts again.
-MOST_PIECES = 700_000
+MOST_PIECES = 1_200_000
+#: The pre-token patterns of the files word_bpe and byte_bpe, the latter for pieces of Pieces.cut.
+WORD_PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BYTE_PRETOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+#: Characters whose pieces are cut into pre-tokens here: printable ASCII and Latin letters that lower-case to one letter.
+PLAIN = r"[\x{21}-\x{7E}\x{C0}-\x{12F}\x{131}-\x{148}\x{14A}-\x{17E}]"
 #: White space in the sense of the libraries' patterns.
 _SPACE = r"[\x{09}-\x{0D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
@@ -61,9 +67,10 @@ class Pieces:
 class TokenIds:
     """ids(texts): the ids of each text, by the library, as one array and the place where each text begins."""
 
-    def __init__(self, path: str, separator: int):
-        self.pieces, self.path, self.separator = Pieces(path), path, separator
-        self.word = load(path).id_to_token(separator)
+    def __init__(self, path: str):
+        self.pieces, self.path, self.letters = Pieces(path), path, byte_letters()
+        self.pattern = BYTE_PRETOKENS if self.pieces.keeps_space else WORD_PRETOKENS
+        self.plain = f"^ ?{PLAIN}*$|^\n$" if self.pieces.keeps_space else f"^{PLAIN}*$"
         self._clear()
 
     def _clear(self) -> None:
@@ -74,31 +81,38 @@ class TokenIds:
         self.used = 0
 
     def _learn(self, new: list[str]) -> None:
-        """Encodes new pieces in runs, parted by a special token, which the library never joins with its neighbours."""
-        for at in range(0, len(new), 20_000):
-            run = new[at : at + 20_000]
-            tied = [p for p in run if self.word not in p]
-            ids = np.array(load(self.path).encode(self.word.join(tied), add_special_tokens=False).ids if tied else [], np.uint32)
-            parts = np.split(ids, np.flatnonzero(ids == self.separator))
-            parts = [p[1:] if k else p for k, p in enumerate(parts)]
-            if len(tied) != len(parts) and tied:
-                parts = [np.array(e.ids, np.uint32) for e in load(self.path).encode_batch(tied, add_special_tokens=False)]
-            for p in (p for p in run if self.word in p):
-                tied.append(p)
-                parts.append(np.array(load(self.path).encode(p, add_special_tokens=False).ids, np.uint32))
-            n0, n = len(self.known), len(self.known) + len(tied)
-            while n > len(self.start):
-                self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            total = int(lengths.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if total:
-                self.flat[self.used : self.used + total] = np.concatenate(parts)
-            self.length[n0:n] = lengths
-            self.start[n0:n] = self.used + np.cumsum(lengths) - lengths
-            self.used += total
-            self.known.update(zip(tied, range(n0, n), strict=True))
+        """Encodes new pieces: plain ones as pre-tokens by the library's model, each pre-token once, the rest whole by the library."""
+        words = pa.array(new, pa.string())
+        plain = pc.and_(pc.match_substring_regex(words, self.plain), pc.invert(pc.match_substring(words, "<|")))
+        easy = words.filter(plain)
+        text = easy if self.pieces.keeps_space else pc.utf8_lower(easy)
+        cut = pc.split_pattern(pc.replace_substring_regex(text, self.pattern, "\\0\x01"), "\x01")
+        coded = pc.dictionary_encode(cut.flatten())
+        tokens, flat = load(self.path).model.tokenize, []
+        sizes = np.zeros(len(coded.dictionary), np.int64)
+        for k, part in enumerate(coded.dictionary.to_pylist()):
+            found = [t.id for t in tokens("".join(map(self.letters.__getitem__, part.encode())))] if part else []
+            sizes[k] = len(found)
+            flat += found
+        starts = np.cumsum(sizes) - sizes
+        code = coded.indices.to_numpy() if len(coded) else np.zeros(0, np.int64)
+        ids = np.array(flat, np.uint32)[ragged(starts[code], sizes[code])] if len(flat) else np.zeros(0, np.uint32)
+        at = np.concatenate([[0], np.cumsum(sizes[code])])[cut.offsets.to_numpy()]
+        self._keep(easy.to_pylist(), ids, at[:-1], at[1:])
+        for p in words.filter(pc.invert(plain)).to_pylist():
+            found = np.array(load(self.path).encode(p, add_special_tokens=False).ids, np.uint32)
+            self._keep([p], found, np.zeros(1, np.int64), np.array([len(found)]))
+
+    def _keep(self, pieces: list[str], found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        n0, n = len(self.known), len(self.known) + len(pieces)
+        while n > len(self.start):
+            self.start, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.length))
+        while self.used + len(found) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(found)] = found
+        self.start[n0:n], self.length[n0:n] = self.used + starts, ends - starts
+        self.used += len(found)
+        self.known.update(zip(pieces, range(n0, n), strict=True))
 
     def ids(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         flat, row_at, whole = self.pieces.cut(text)
@@ -118,11 +132,11 @@ class TokenIds:
         return self.flat[ragged(self.start[code], lengths)], sums[row_at]
 
 
-def ids_of(path: str, separator: int) -> TokenIds:
+def ids_of(path: str) -> TokenIds:
     """One TokenIds a worker and file, with what it has learnt."""
     key = f"ids {path}"
     if key not in _loaded:
-        _loaded[key] = TokenIds(path, separator)
+        _loaded[key] = TokenIds(path)
     return _loaded[key]
 
 

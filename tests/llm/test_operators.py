@@ -103,11 +103,11 @@ def check_packing(made, frame):
 
 
 def test_packing(spark, docs, odd):
-    made = packing.pack(docs, WORD, 49406).collect()
+    made = packing.pack(docs, WORD).collect()
     used = check_packing(made, docs)
     assert used <= 1.02 * -(-sum(r["length"] for r in made) // 2048) + 1
-    check_packing(packing.pack(odd, WORD, 49406).collect(), odd)
-    assert packing.pack(odd.where("false"), WORD, 49406).count() == 0
+    check_packing(packing.pack(odd, WORD).collect(), odd)
+    assert packing.pack(odd.where("false"), WORD).count() == 0
 
 
 def test_packing_plan_uses_every_piece():
@@ -125,7 +125,7 @@ def test_packing_plan_uses_every_piece():
 def test_files_round_trip(spark, docs, odd, tmp_path):
     for k, frame in enumerate((docs.limit(80), odd)):
         out = str(tmp_path / f"files{k}")
-        repair_files.write_ids(frame, BYTE, 50256, out, repair_files.GrammarRule(block_ids=5000))
+        repair_files.write_ids(frame, BYTE, out, repair_files.GrammarRule(block_ids=5000))
         made = sorted(repair_files.read_documents(spark, out).collect(), key=lambda r: r["start"])
         texts = collections.defaultdict(list)
         for r in frame.select("doc_id", "text").collect():
