@@ -106,3 +106,12 @@ def test_controllers():
 
 def test_dialect_keeps_python_readable():
     assert re.compile(to_java(r"[a\s]$").replace("(?d)", "").replace(r"\z", r"\Z"))
+
+
+def test_entry_points_need_no_session():
+    import subprocess
+    import sys
+
+    root = __file__.rsplit("/tests/", 1)[0]
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()) >= len(e.oracle_sql()) > 30)"], cwd=root, capture_output=True, text=True)
+    assert done.stdout.strip() == "True", done.stderr
