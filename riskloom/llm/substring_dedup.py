@@ -11,19 +11,22 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .minhash_links import NearRule, band_keys, near_groups
-from .shared import as_text, binary_rows, binary_slices, materialise, text_slices
-from .textkernel import NOT_SPACE, U, Words, grams, mix
+from .shared import as_text, binary_rows, binary_slices, materialise, ragged, text_slices
+from .textkernel import NOT_SPACE, U, Words, _powers_up_to, grams, mix
 
 
 @dataclass(frozen=True)
 class PassageRule:
     """near: the rule for paragraphs. least_words: of a paragraph. least_run: words of a run of equal segments. radius: a
-    segment ends at the least word pair within so many words, so its length is about twice that and at least one more."""
+    segment ends at the least word pair within so many words, so its length is about twice that and at least one more.
+    window: words from which every repeat is found, and found whole. gram: words whose hashes fingerprint a window."""
 
     near: NearRule = NearRule(words=5, percent=80, bands=8, rows=2)
     least_words: int = 25
     least_run: int = 14
     radius: int = 5
+    window: int = 50
+    gram: int = 10
 
 
 _SALT = U(0x2545F4914F6CDD1D)
@@ -105,6 +108,57 @@ class Passages:
         at = np.arange(len(h)) - np.repeat(start, size)
         return start, mix(np.add.reduceat(mix(h + at.astype(np.uint64) * _SALT), start) + size.astype(np.uint64))
 
+    def spans_hash(self, size: int) -> np.ndarray:
+        """Hashes of size following words, at each place of the batch that has so many."""
+        h = self.w.hash
+        power, inverse = _powers_up_to(len(h) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(h * power[: len(h)])])
+        return mix((sums[size:] - sums[: len(sums) - size]) * inverse[: len(sums) - size] + U(size))
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, hashes, heads) of all windows that lie in one row."""
+        size = self.rule.window
+        if len(self.w.hash) < size:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.row[: len(self.row) - size + 1] == self.row[size - 1 :])
+        own = self.spans_hash(size)[at]
+        return at, own, _heads(self.row[at], own, at - self.w.row_at[self.row[at]], size)
+
+    def runs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first words, windows, fingerprints, keys, heads) of runs of windows with one fingerprint, the least gram hash.
+
+        The key is a hash of all the words of the run, so runs of equal keys hold equal windows.
+        """
+        size, k = self.rule.window, self.rule.gram
+        if len(self.w.hash) < size:
+            return (*[np.zeros(0, np.int64)] * 2, *[np.zeros(0, np.uint64)] * 2, np.zeros(0, np.int64))
+        least, wide, left = self.spans_hash(k), 1, size - k + 1
+        while 2 * wide <= left:
+            least, wide = np.minimum(least[:-wide], least[wide:]), 2 * wide
+        least = np.minimum(least[: len(least) - (left - wide)], least[left - wide :])
+        at = np.flatnonzero(self.row[: len(self.row) - size + 1] == self.row[size - 1 :])
+        least = least[at]
+        new = np.ones(len(at), bool)
+        new[1:] = (least[1:] != least[:-1]) | (self.row[at[1:]] != self.row[at[:-1]])
+        first = np.flatnonzero(new)
+        n = np.diff(np.append(first, len(at)))
+        start = at[first]
+        power, inverse = _powers_up_to(len(self.w.hash) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.add.accumulate(self.w.hash * power[: len(self.w.hash)])])
+        key = mix((sums[start + n + size - 1] - sums[start]) * inverse[start] + n.astype(np.uint64) * _SALT)
+        return start, n, least[first], key, _heads(self.row[start], key, start - self.w.row_at[self.row[start]], size)
+
+
+def _heads(row: np.ndarray, value: np.ndarray, place: np.ndarray, size: int) -> np.ndarray:
+    """The place, in its row, of the occurrence that each belongs to: equal ones less than size words apart are one."""
+    order = np.lexsort((value, row))
+    r, v, p = row[order], value[order], place[order]
+    new = np.ones(len(r), bool)
+    new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1]) | (p[1:] - p[:-1] >= size)
+    out = np.zeros(len(r), np.int64)
+    out[order] = p[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))] if len(r) else p
+    return out
+
 
 def _lists(values: pa.Array, row: np.ndarray, rows: int) -> pa.Array:
     counts = np.bincount(row, minlength=rows) if rows else np.zeros(0, np.int64)
@@ -121,7 +175,10 @@ def _unit_rows(rule: PassageRule):
                 band_lists = pa.ListArray.from_arrays(pa.array((np.arange(len(sig) + 1) * rule.near.bands).astype(np.int32)), pa.array(bands.ravel()))
                 lines = pa.StructArray.from_arrays([pa.array(p.line[p.line_start].astype(np.int32)), key, n, band_lists], ["no", "key", "n", "bands"])
                 start, h = p.segments()
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "lines": _lists(lines, p.row[p.line_start], len(part)), "segments": _lists(pa.array(h.view(np.int64)), p.row[start], len(part))})
+                run_start, _, prints, run_key, head = p.runs()
+                own = run_start - p.w.row_at[p.row[run_start]] == head
+                runs = pa.StructArray.from_arrays([pa.array(prints[own].view(np.int64)), pa.array(run_key[own].view(np.int64)), pa.array(head[own].astype(np.int32))], ["print", "key", "no"])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "lines": _lists(lines, p.row[p.line_start], len(part)), "segments": _lists(pa.array(h.view(np.int64)), p.row[start], len(part)), "runs": _lists(runs, p.row[run_start[own]], len(part))})
 
     return run
 
@@ -138,8 +195,56 @@ def _set_rows(rule: PassageRule):
     return run
 
 
-def _spans(p: Passages, rows: int, lines: list, segments: list) -> list[list[tuple[int, int]]]:
-    """Of each row the word ranges to cut: flagged paragraphs, and runs of flagged segments of at least least_run words."""
+def _window_rows(rule: PassageRule):
+    """The windows of those runs whose heads are asked for, each head once."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text"):
+                p = Passages(as_text(part.column("text")), rule)
+                row, at, head = _flagged_windows(p, part.column("heads").to_pylist())
+                _, own, place = p.windows()
+                kept = np.unique(np.stack([row, place[at]], axis=1), axis=0, return_index=True)[1] if len(row) else np.zeros(0, np.int64)
+                row, at = row[kept], at[kept]
+                found = pa.StructArray.from_arrays([pa.array(own[at].view(np.int64)), pa.array(place[at].astype(np.int32))], ["hash", "no"])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "text_key": part.column("text_key"), "windows": _lists(found, row, len(part))})
+
+    return run
+
+
+def _flagged_windows(p: Passages, heads: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, numbers among the windows, first words) of the windows of the runs with these heads."""
+    start, n, _, _, head = p.runs()
+    at, _, _ = p.windows()
+    held = _among(p.row[start], head, heads)
+    number = ragged(np.searchsorted(at, start[held]), n[held])
+    return p.row[at[number]], number, at[number]
+
+
+def _among(row: np.ndarray, head: np.ndarray, heads: list) -> np.ndarray:
+    """Whether each head is in its row's list."""
+    asked = np.array([(r << 32) | v for r, own in enumerate(heads) for v in own], np.int64)
+    return np.isin((row.astype(np.int64) << 32) | head, asked)
+
+
+def _window_ranges(p: Passages, rows: int, runs: list, windows: list) -> list[list[tuple[int, int]]]:
+    """Of each row the word ranges that flagged windows cover."""
+    at, _, head = p.windows()
+    held = _among(p.row[at], head, windows)
+    held[_flagged_windows(p, runs)[1]] = True
+    at = at[held]
+    out: list[list[tuple[int, int]]] = [[] for _ in range(rows)]
+    if len(at):
+        first = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(p.row[at]) != 0)])
+        begin, last = at[first], at[np.append(np.flatnonzero(first)[1:], len(at)) - 1]
+        for r, a, b in zip(p.row[begin].tolist(), begin.tolist(), (last + p.rule.window).tolist(), strict=True):
+            out[r].append((a, b))
+    return out
+
+
+def _spans(p: Passages, rows: int, lines: list, segments: list, runs: list, windows: list) -> list[list[tuple[int, int]]]:
+    """Of each row the word ranges to cut: flagged paragraphs, windows, and runs of flagged segments of at least least_run words."""
+    covered = _window_ranges(p, rows, runs, windows)
     start, _ = p.segments()
     size = np.diff(np.append(start, len(p.w.hash)))
     seg_at = np.searchsorted(p.row[start], np.arange(rows + 1)) if len(start) else np.zeros(rows + 1, np.int64)
@@ -147,7 +252,7 @@ def _spans(p: Passages, rows: int, lines: list, segments: list) -> list[list[tup
     line_at = np.searchsorted(line_row, np.arange(rows + 1)) if len(line_row) else np.zeros(rows + 1, np.int64)
     out = []
     for r in range(rows):
-        ranges = []
+        ranges = covered[r]
         flagged = set(lines[r])
         for k in range(line_at[r], line_at[r + 1]):
             if int(line_no[k]) in flagged:
@@ -180,7 +285,7 @@ def _cut_rows(rule: PassageRule):
             for part in text_slices(batch, "text"):
                 text = as_text(part.column("text"))
                 p = Passages(text, rule)
-                spans = _spans(p, len(part), part.column("lines").to_pylist(), part.column("segments").to_pylist())
+                spans = _spans(p, len(part), part.column("lines").to_pylist(), part.column("segments").to_pylist(), part.column("runs").to_pylist(), part.column("windows").to_pylist())
                 raw, kept, found = p.w.raw.tobytes(), [], []
                 for r, ranges in enumerate(spans):
                     base, own, pieces, rows, at = int(p.w.offsets[r]), int(p.w.offsets[r + 1]), [], [], int(p.w.offsets[r])
@@ -201,22 +306,47 @@ def _cut_rows(rule: PassageRule):
     return run
 
 
+def _window_flags(rows: DataFrame, units: DataFrame, rule: PassageRule) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, kind, no, first doc_id) of runs (kind 2) and of single windows (kind 3) that an earlier place holds."""
+    here, kind = F.struct("doc_id", "text_key", "no"), rows.schema["doc_id"].dataType.simpleString()
+    runs = units.select("doc_id", "text_key", F.inline("runs"))
+    prints = runs.groupBy("print").agg(F.count("*").alias("times"), (F.min("key") != F.max("key")).alias("mixed")).where("times > 1")
+    found = materialise(runs.join(materialise(prints.select("print", "mixed"), "prints"), "print").drop("print"), "runs")
+    classes = materialise(found.groupBy("key", "mixed").agg(F.min(here).alias("first"), F.count("*").alias("times")), "run-classes")
+    run_flags = found.select("doc_id", "text_key", "no", "key").join(classes.where("times > 1").select("key", "first"), "key").where(here != F.col("first")).select("doc_id", "text_key", F.lit(2).alias("kind"), "no", "first.doc_id")
+    asked = materialise(classes.where("mixed").select("first.*").groupBy("doc_id", "text_key").agg(F.collect_set("no").alias("heads")), "asked-runs")
+    texts = rows.join(F.broadcast(asked) if asked.count() <= 500_000 else asked, ["doc_id", "text_key"])
+    made = texts.select("doc_id", "text_key", "text", "heads").mapInArrow(_window_rows(rule), f"doc_id {kind}, text_key bigint, windows array<struct<hash:bigint,no:int>>")
+    windows = materialise(made.select("doc_id", "text_key", F.inline("windows")), "windows")
+    again = windows.groupBy("hash").agg(F.min(here).alias("first"), F.count("*").alias("times")).where("times > 1")
+    again = materialise(again.select("hash", "first"), "window-firsts")
+    window_flags = windows.join(again, "hash").where(here != F.col("first")).select("doc_id", "text_key", F.lit(3).alias("kind"), "no", "first.doc_id")
+    return run_flags, window_flags
+
+
 def repeated_passages(docs: DataFrame, rule: PassageRule = PassageRule()) -> DataFrame:
     """(doc_id, text_key, kept_text, spans, first_ids) of each text of docs(doc_id, text) that has a passage to cut.
 
     A paragraph is a line of at least least_words words. Paragraphs whose sets of five-word shingles reach the near
     rule are linked, components of links are clusters, and all of a cluster but its first occurrence (the smallest
-    doc_id, then place) is cut. Passages inside longer lines are found by segments that end where the text itself
-    says, whatever stands around them: segments equal to an earlier one are cut when a run of them has at least
-    least_run words; a passage's first and last words, about two segments, may stay. spans are the cuts (start, end in characters, words), kept_text what is
+    doc_id, then place) is cut. So is every word of a window (window following words, whatever the lines) that an
+    earlier text, or an earlier place of the text, holds too: a repeat of at least window words goes whole, its first
+    and last words included. Equal windows of a text that overlap, as in a row of equal words, are one occurrence.
+    Shorter passages inside longer lines are found by segments that end where the text itself says, whatever stands
+    around them: segments equal to an earlier one are cut when a run of them has at least least_run words; the first
+    and last words of such a passage, about two segments, may stay. spans are the cuts (start, end in characters, words), kept_text what is
     left, first_ids the documents that keep the first occurrences. text_key is xxhash64 of the text, as a doc_id may
-    have several. Shorter repeats are left alone. Null and empty texts and rows with a null doc_id have no result; repeated rows
+    have several. Repeats of less than least_run words are left alone. Null and empty texts and rows with a null doc_id have no result; repeated rows
     keep and cut the same; further columns are ignored; an empty table gives an empty result.
+
+    Windows are found by their fingerprints, the least gram hash in them: equal windows have equal ones. Runs of windows
+    with one fingerprint are compared as wholes; where a fingerprint has unlike runs, the first of each are compared
+    window by window.
     """
     ship(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    units = rows.mapInArrow(_unit_rows(rule), f"doc_id {kind}, text_key bigint, lines array<struct<no:int,key:binary,n:int,bands:array<bigint>>>, segments array<bigint>")
+    units = rows.mapInArrow(_unit_rows(rule), f"doc_id {kind}, text_key bigint, lines array<struct<no:int,key:binary,n:int,bands:array<bigint>>>, segments array<bigint>, runs array<struct<print:bigint,key:bigint,no:int>>")
     units = materialise(units, "passage-units")
     lines = units.select("doc_id", "text_key", F.inline("lines"))
     here = F.struct("doc_id", "text_key", "no")
@@ -240,12 +370,12 @@ def repeated_passages(docs: DataFrame, rule: PassageRule = PassageRule()) -> Dat
     again = pieces.groupBy("hash").agg(F.min(here).alias("first"), F.count("*").alias("times")).where("times > 1")
     again = materialise(again.select("hash", "first"), "segments")
     segment_flags = pieces.join(again, "hash").where(here != F.col("first")).select("doc_id", "text_key", F.lit(1).alias("kind"), "no", "first.doc_id")
-    flags = line_flags.toDF("doc_id", "text_key", "kind", "no", "first_id").unionByName(segment_flags.toDF("doc_id", "text_key", "kind", "no", "first_id"))
-    by_text = flags.groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.when(F.col("kind") == 0, F.col("no"))).alias("lines"), F.collect_set(F.when(F.col("kind") == 1, F.col("no"))).alias("segments"), F.collect_set("first_id").alias("first_ids")
-    )
-    by_text = materialise(by_text.where((F.size("lines") > 0) | (F.size("segments") > 0)), "flags")
-    cut = rows.join(by_text, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "lines", "segments", F.sort_array("first_ids").alias("first_ids"))
+    flags = line_flags.toDF("doc_id", "text_key", "kind", "no", "first_id")
+    for more in (segment_flags, *_window_flags(rows, units, rule)):
+        flags = flags.unionByName(more.toDF("doc_id", "text_key", "kind", "no", "first_id"))
+    kinds = [F.collect_set(F.when(F.col("kind") == k, F.col("no"))).alias(name) for k, name in enumerate(("lines", "segments", "runs", "windows"))]
+    by_text = materialise(flags.groupBy("doc_id", "text_key").agg(*kinds, F.collect_set("first_id").alias("first_ids")), "flags")
+    cut = rows.join(by_text, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "lines", "segments", "runs", "windows", F.sort_array("first_ids").alias("first_ids"))
     found = cut.mapInArrow(_cut_rows(rule), f"doc_id {kind}, text_key bigint, kept_text string, spans array<struct<start:bigint,end:bigint,n_words:bigint>>, first_ids array<{kind}>")
     return found.where(F.size("spans") > 0)
 
