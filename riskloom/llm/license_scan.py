@@ -55,10 +55,72 @@ def _once(rows: DataFrame, value, name: str) -> DataFrame:
     return rows.select("*", F.explode(F.array(value)).alias(name))
 
 
+def _words(text):
+    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.split(F.trim(F.regexp_replace(low, APART, " ")), " ")
+
+
+def _pairs(w):
+    """The bigrams of a list of words in order; none of a single word."""
+    return F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))).otherwise(F.array().cast("array<string>"))
+
+
+def _table(known: list[Template]):
+    return F.array(*[F.struct(F.lit(t.number).alias("template"), F.lit(t.license).alias("license"), F.lit(len(t.bigrams)).alias("size"), F.array(*[F.lit(b) for b in t.bigrams]).alias("bigrams")) for t in known])
+
+
+def scan_windows(docs: DataFrame, known: list[Template], percent: int) -> DataFrame:
+    """The columns of scan_licenses for notices that lines part or enclose; the passage is minus the first word's number.
+
+    A window runs over following words of the whole text, from one bigram of the template to another, over at most as
+    many bigrams as the template's size allows; it goes on to the template's own number of bigrams, where the text does,
+    as leaving unlike words out would overstate the value. Of windows that fit and overlap the one with the greatest value
+    stays, then the first. Where a line, or the whole of several lines, fits a template itself, no window over it is given.
+    """
+    need = min(-(-len(t.bigrams) * percent // (200 - percent)) for t in known)
+    every = sorted({b for t in known for b in t.bigrams})
+    rows = _once(docs.where("text is not null").select("doc_id", "text"), _words("text"), "w").where(F.size("w") > need)
+    rows = _once(rows, _pairs("w"), "pairs")
+    rows = _once(rows, F.array_distinct(F.filter("pairs", lambda b: b.isin(every))), "hits").where(F.size("hits") >= need)
+    possible = F.filter(_table(known), lambda t: F.size(F.array_intersect("hits", t["bigrams"])) * (200 - percent) >= t["size"] * percent)
+    rows = _once(rows, possible, "possible").where(F.size("possible") > 0)
+
+    def judged(text):
+        own = F.array_distinct(_pairs(_words(text)))
+        return F.exists("possible", lambda t: (F.size(own) > 0) & (F.size(F.array_intersect(own, t["bigrams"])) * 200 >= (F.size(own) + t["size"]) * percent))
+
+    lines = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.size(F.filter(_words(x), lambda v: v != "")).alias("n"), judged(x).alias("fits")))
+    rows = _once(rows, F.when(judged(F.col("text")), F.array().cast("array<struct<n:int,fits:boolean>>")).otherwise(lines), "lines").where(F.size("lines") > 0)
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int>>)").alias("found"))
+    step = lambda a, x: F.struct((a["at"] + x["n"]).alias("at"), F.when(x["fits"], F.concat(a["found"], F.array(F.struct(a["at"].alias("start"), (a["at"] + x["n"]).alias("end"))))).otherwise(a["found"]).alias("found"))
+    rows = _once(rows, F.aggregate("lines", start, step, lambda a: a["found"]), "taken")
+    rows = rows.select("doc_id", "pairs", "taken", F.explode("possible").alias("t"))
+    size, bigrams = F.col("t.size"), F.col("t.bigrams")
+    fits = lambda n, common: common * 200 >= (n + size) * percent
+    at = F.filter(F.transform("pairs", lambda b, i: F.when(F.array_contains(bigrams, b), i)), lambda i: i.isNotNull())
+    rows = _once(rows, at, "at")
+
+    def window(i, k):
+        j = F.least(F.greatest(k, i + size - 1), F.size("pairs") - 1)
+        own = F.array_distinct(F.slice("pairs", i + 1, j - i + 1))
+        return F.struct(i.alias("start"), (j + 2).alias("end"), F.size(own).alias("n"), F.size(F.array_intersect(own, bigrams)).alias("common"))
+
+    ends = lambda i: F.filter("at", lambda j: (j >= i) & ((j - i + 1) * percent <= size * (200 - percent)) & ((j - i + 1) * (200 - percent) >= size * percent))
+    made = F.flatten(F.transform("at", lambda i: F.transform(ends(i), lambda j: window(i, j))))
+    apart = lambda v, found: ~F.exists(found, lambda x: (x["start"] < v["end"]) & (v["start"] < x["end"]))
+    rows = _once(rows, F.filter(made, lambda v: fits(v["n"], v["common"]) & apart(v, F.col("taken"))), "made").where(F.size("made") > 0)
+    ranked = F.array_sort(F.transform("made", lambda v: F.struct((-(v["common"] * 2.0 / (v["n"] + size))).alias("rank"), v["start"].alias("start"), v["end"].alias("end"), v["n"].alias("n"), v["common"].alias("common"))))
+    none = F.expr("cast(array() as array<struct<rank:double,start:int,end:int,n:int,common:int>>)")
+    best = F.aggregate(ranked, none, lambda a, v: F.when(apart(v, a), F.concat(a, F.array(v))).otherwise(a))
+    rows = rows.select("doc_id", "t", F.explode(best).alias("v"))
+    return rows.select("doc_id", (-F.col("v.start") - 1).alias("passage"), "t.template", "t.license", F.col("v.n").alias("n_bigrams"), F.col("v.common").alias("n_common"), F.round(F.col("v.common") * 2.0 / (F.col("v.n") + size), 6).alias("dice"))
+
+
 def scan_licenses(docs: DataFrame, known: list[Template] | None = None, percent: int = 80) -> DataFrame:
     """(doc_id, passage, template, license, n_bigrams, n_common, dice): every passage of docs(doc_id, text) that is like a template.
 
-    Passages are the lines of a text, counted from 1, and, as passage 0, the whole text of several lines. Texts are
+    Passages are the lines of a text, counted from 1, and, as passage 0, the whole text of several lines; and windows of
+    words where a notice is wrapped over lines or lies inside a longer one, see scan_windows. Texts are
     normalised to lower case (A-Z) and words of letters, digits and characters beyond ASCII; a passage's bigrams are
     a set. A template fits with 2 * common / (n_bigrams + template's) of at least percent / 100, and only templates
     whose size allows that are compared. Null, empty and one-word texts have no bigrams and give no rows; repeated
@@ -73,20 +135,19 @@ def scan_licenses(docs: DataFrame, known: list[Template] | None = None, percent:
     whole = F.when(F.size(lines) > 1, F.array(F.col("text"))).otherwise(F.array().cast("array<string>"))
     numbered = F.concat(F.transform(lines, lambda x, i: F.struct((i + 1).alias("passage"), x.alias("line"))), F.transform(whole, lambda x, i: F.struct(i.alias("passage"), x.alias("line"))))
     rows = docs.where("text is not null").select("doc_id", F.inline(numbered))
-    low = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.split(F.trim(F.regexp_replace(low, APART, " ")), " ")
-    rows = _once(rows, words, "w").where(F.size("w") > fewest)
+    rows = _once(rows, _words("line"), "w").where(F.size("w") > fewest)
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
     rows = _once(rows, F.array_distinct(pairs), "own").where(F.size("own").between(fewest, most))
     every = sorted({b for t in known for b in t.bigrams})
     rows = rows.withColumn("n", F.size("own"))
     rows = _once(rows, F.filter("own", lambda b: b.isin(every)), "hits").where(F.size("hits") * 200 >= (F.col("n") + min(sizes)) * percent)
-    table = F.array(*[F.struct(F.lit(t.number).alias("template"), F.lit(t.license).alias("license"), F.lit(len(t.bigrams)).alias("size"), F.array(*[F.lit(b) for b in t.bigrams]).alias("bigrams")) for t in known])
+    table = _table(known)
     fits = F.filter(table, lambda t: (t["size"] * percent <= F.col("n") * (200 - percent)) & (F.col("n") * percent <= t["size"] * (200 - percent)))
     rows = rows.select("doc_id", "passage", "n", "hits", F.explode(fits).alias("t"))
     rows = rows.select("doc_id", "passage", F.col("t.template").alias("template"), F.col("t.license").alias("license"), F.col("n").alias("n_bigrams"), F.size(F.array_intersect("hits", "t.bigrams")).alias("n_common"), F.col("t.size").alias("size"))
     rows = rows.where(F.col("n_common") * 200 >= (F.col("n_bigrams") + F.col("size")) * percent)
-    return rows.select("doc_id", "passage", "template", "license", "n_bigrams", "n_common", F.round(F.col("n_common") * 2.0 / (F.col("n_bigrams") + F.col("size")), 6).alias("dice"))
+    rows = rows.select("doc_id", "passage", "template", "license", "n_bigrams", "n_common", F.round(F.col("n_common") * 2.0 / (F.col("n_bigrams") + F.col("size")), 6).alias("dice"))
+    return rows.unionByName(scan_windows(docs, known, percent))
 
 
 def _sql() -> str:

@@ -297,6 +297,21 @@ def test_licences(spark, duck, sf_dir, odd):
     assert license_scan.scan_licenses(odd).count() == 0
 
 
+def test_wrapped_and_enclosed_notices(spark):
+    def wrap(text, n, mark="# "):
+        w = text.split(" ")
+        return "\n".join(mark + " ".join(w[k : k + n]) for k in range(0, len(w), n))
+
+    wrapped = {2: 12, 4: 12, 6: 9, 10: 12, 12: 7}
+    before, after = "import os\n\nthis file reads many words of other things\n", "\n\ndef run(x):\n    return x + 1\n" + "".join(f"value{k} = other{k} and more{k}\n" for k in range(60))
+    rows = [(k, before + wrap(license_scan.TEMPLATES[k][1], n) + after) for k, n in wrapped.items()]
+    rows += [(50, "a long line that tells of the terms and goes on: " + license_scan.TEMPLATES[8][1] + " and then tells of much else, as lines do when nobody wraps them")]
+    rows += [(60, before + license_scan.TEMPLATES[0][1] + after), (61, before + after), (62, wrap(license_scan.TEMPLATES[12][1], 7))]
+    got = {(r["doc_id"], r["template"], r["dice"]): r["passage"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k, k, 1.0] < 0 for k in wrapped) and got[50, 8, 1.0] == -12
+    assert {p for (i, _, _), p in got.items() if i == 60} == {4} and {p for (i, _, _), p in got.items() if i == 62} == {0} and not any(i == 61 for i, _, _ in got)
+
+
 def test_near_vectors(spark):
     rng = np.random.default_rng(2)
     rows, base = [], rng.normal(size=(6, 16))
