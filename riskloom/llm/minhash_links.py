@@ -13,13 +13,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, materialise, ragged
+from .shared import drop_table, materialise, ragged, runs_of
 from .textkernel import mix
 
 
@@ -61,6 +60,11 @@ def band_keys(signatures: np.ndarray, rule: NearRule) -> np.ndarray:
     return h.view(np.int64)
 
 
+def low_bytes(signatures: np.ndarray) -> np.ndarray:
+    """The lowest byte of each minimum: equal minima stay equal, one in 256 unlike ones becomes equal."""
+    return signatures.astype(np.uint8)
+
+
 def digest(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
@@ -76,7 +80,7 @@ def set_columns(sets: list[np.ndarray], rule: NearRule, with_bands: bool) -> dic
         keep = np.where(n > 0, rule.bands, 0)
         out["bands"] = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(keep)]).astype(np.int32)), pa.array(keys[n > 0].ravel()))
     else:
-        out["sig"] = pa.array([signature(s, arrays).tobytes() for s in sets], pa.binary())
+        out["sig"] = pa.array([low_bytes(signature(s, arrays)).tobytes() for s in sets], pa.binary())
         out["shingles"] = pa.array([s.tobytes() for s in sets], pa.binary())
     return out
 
@@ -88,7 +92,7 @@ def _signature_check(rule: NearRule):
     def run(batches):
         for batch in batches:
             if len(batch):
-                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(len(batch), -1) for c in ("sig_a", "sig_b"))
                 batch = batch.filter(pa.array((a == b).mean(axis=1) >= least))
             yield batch.select(["a", "b"])
 
@@ -211,33 +215,57 @@ def _beside_pivot(batches):
 TILE = 256
 
 
+#: Equal values of pairs that are counted at once, so that memory is bounded whatever sets have in common.
+AT_ONCE = 1 << 20
+
+
 def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """How many values each array of x has in common with each of y; no array holds a value twice."""
     owner = [np.repeat(np.arange(len(v)), [len(w) for w in v]) for v in (x, y)]
     flat = [np.concatenate(v) for v in (x, y)]
     order = np.argsort(flat[1], kind="stable")
     lo, hi = (np.searchsorted(flat[1][order], flat[0], side=s) for s in ("left", "right"))
-    pair = np.repeat(owner[0], hi - lo) * len(y) + owner[1][order[ragged(lo, hi - lo)]]
-    return np.bincount(pair, minlength=len(x) * len(y)).reshape(len(x), len(y))
+    met = np.flatnonzero(hi > lo)
+    lo, n, left, right = lo[met], (hi - lo)[met], owner[0][met] * len(y), owner[1][order]
+    out, ends, at = np.zeros(len(x) * len(y), np.int64), np.cumsum(n), 0
+    while at < len(n):
+        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + AT_ONCE, side="right")))
+        out += np.bincount(np.repeat(left[at:stop], n[at:stop]) + right[ragged(lo[at:stop], n[at:stop])], minlength=len(out))
+        at = stop
+    return out.reshape(len(x), len(y))
 
 
 def _tile_links(rule: NearRule):
-    """Links (a, b) of a tile between sets x outside the pivot's component and sets y, one for each x and component of y."""
+    """Links (a, b) of each tile between sets x outside the pivot's component and sets y, one for each x and component of y."""
 
-    def run(key: tuple, tile: pd.DataFrame) -> pd.DataFrame:
-        x, y = tile[tile["side"] == 0], tile[tile["side"] == 1]
+    def tile_links(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int64)
+        side = tile.column("side").to_numpy()
+        x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(x) or not len(y):
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        (new_x, gone_x), (new_y, gone_y) = ([[np.frombuffer(v, np.uint64) for v in part[c]] for c in ("new", "gone")] for part in (x, y))
-        size = int(x["size"].iloc[0])
-        count = lambda arrays: np.array([len(v) for v in arrays])
-        lost_x, lost_y = count(gone_x)[:, None], count(gone_y)[None, :]
-        common = size - lost_x - lost_y + _shared(gone_x, gone_y) + _shared(new_x, new_y)
-        union = (size - lost_x + count(new_x)[:, None]) + (size - lost_y + count(new_y)[None, :]) - common
-        fits = (100 * common >= rule.percent * union) & (x["c"].to_numpy()[:, None] != y["c"].to_numpy()[None, :])
-        i, j = np.nonzero(fits)
-        found = pd.DataFrame({"a": x["key"].to_numpy()[i], "b": y["key"].to_numpy()[j], "c": y["c"].to_numpy()[j]})
-        return found.drop_duplicates(["a", "c"])[["a", "b"]]
+            return none, none
+        new, gone = ([np.frombuffer(v, np.uint64) for v in tile.column(c).to_pylist()] for c in ("new", "gone"))
+        c = np.array([int.from_bytes(v[:8], "little") for v in tile.column("c").to_pylist()], np.uint64)
+        size = tile.column("size")[0].as_py()
+        more, lost = (np.array([len(v) for v in part]) for part in (new, gone))
+        sizes = (size - lost[x] + more[x])[:, None] + (size - lost[y] + more[y])[None, :]
+        similar = lambda common: (100 + rule.percent) * common >= rule.percent * sizes
+        apart = c[x][:, None] != c[y][None, :]
+        most = size - np.maximum(lost[x][:, None], lost[y][None, :]) + np.minimum(more[x][:, None], more[y][None, :])
+        if not (apart & similar(most)).any():
+            return none, none
+        pick = lambda part, at: [part[k] for k in at]
+        common = size - lost[x][:, None] - lost[y][None, :] + _shared(pick(gone, x), pick(gone, y)) + _shared(pick(new, x), pick(new, y))
+        i, j = np.nonzero(apart & similar(common))
+        _, first = np.unique(np.stack([i.astype(np.uint64), c[y[j]]], axis=1), axis=0, return_index=True) if len(i) else (none, none)
+        return x[i[first]], y[j[first]]
+
+    def run(batches):
+        for tile in runs_of(batches, ["pivot", "i", "j"]):
+            i, j = tile_links(tile)
+            if len(i):
+                key = tile.column("key").combine_chunks()
+                yield pa.RecordBatch.from_pydict({"a": key.take(pa.array(i)), "b": key.take(pa.array(j))})
 
     return run
 
@@ -259,5 +287,6 @@ def _left_links(star: DataFrame, full: DataFrame, rule: NearRule) -> DataFrame:
     x = rows.where("c <> pivot_c").withColumns({"i": F.pmod(own, "blocks"), "j": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("all_blocks") - 1)), "side": F.lit(0)})
     y = rows.withColumns({"i": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)), "j": F.pmod(own, "all_blocks"), "side": F.lit(1)})
     columns = ["pivot", "i", "j", "side", "key", "c", "size", "new", "gone"]
-    tiles = x.select(*columns).unionByName(y.select(*columns)).groupBy("pivot", "i", "j").applyInPandas(_tile_links(rule), "a binary, b binary")
+    tiles = x.select(*columns).unionByName(y.select(*columns)).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
+    tiles = tiles.mapInArrow(_tile_links(rule), "a binary, b binary")
     return materialise(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")

@@ -45,7 +45,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), minhash_dedup.OP7_RULE)
+    return minhash_dedup.near_duplicates(read_table(spark, sf_dir, "documents"), minhash_dedup.OP7_RULE).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,45 +2,85 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import shared_folder
 from ..shipping import ship
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one, set once, where it is unset."""
+    """The shared folder of spark.checkpoint.dir; on a local master that has none, a temporary one, set once."""
     ship(spark)
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        found = spark.sparkContext.getCheckpointDir()
-        base = found.rsplit("/", 1)[0] if found else None
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return shared_folder(spark)
+
+
+_scopes: list[list[str]] = []
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: its lineage ends there, on storage that outlives an executor."""
     spark = df.sparkSession
     path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch():
+    """Tables that are materialised inside are deleted at its end, but for the one whose frame is given to keep().
+
+    What is kept belongs to the scope around, if there is one. Frames other than the kept one can't be read afterwards.
+    """
+    own: list[str] = []
+    kept: list[DataFrame] = []
+    _scopes.append(own)
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        kept.append(df := materialise(df, label))
+        own.remove(last := own[-1])
+        if len(_scopes) > 1:
+            _scopes[-2].append(last)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        spark = kept[0].sparkSession if kept else SparkSession.getActiveSession()
+        for path in own if spark else ():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
-    jvm = df.sparkSession._jvm
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+#: Bytes of keys that may be sent to every executor; beyond it the same join is a shuffle.
+MOST_SENT = 64 << 20
+
+
+def having(rows: DataFrame, keys: DataFrame, on: str | list[str], how: str = "left_semi") -> DataFrame:
+    """rows joined with a written table of keys, which is broadcast if its rows and texts, counted, are within MOST_SENT."""
+    wide = F.lit(16)
+    for f in keys.schema:
+        wide = wide + (F.coalesce(F.octet_length(f.name), F.lit(0)) + 16 if f.dataType.simpleString() in ("string", "binary") else F.lit(16))
+    size = keys.agg(F.sum(wide.cast("bigint"))).first()[0] or 0
+    return rows.join(F.broadcast(keys) if size <= MOST_SENT else keys, on, how)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,7 +119,7 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000):
+def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000):
     """Cuts a batch into runs of rows with about most_bytes of text, or one row that is longer."""
     text = batch.column(column)
     sizes = np.frombuffer(text.buffers()[1], np.int32 if pa.types.is_string(text.type) else np.int64)[text.offset : text.offset + len(text) + 1].astype(np.int64) if len(text) else np.zeros(1, np.int64)
@@ -91,6 +131,27 @@ def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000)
         at = end
 
 
+def runs_of(batches, columns: list[str]):
+    """Tables of following rows that are equal in these columns; rows of a sorted partition give one table for each group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        at = 0
+        for k, key in enumerate(keys):
+            if key != last:
+                if k > at:
+                    held.append(batch.slice(at, k - at))
+                if held:
+                    yield pa.Table.from_batches(held)
+                held, at, last = [], k, key
+        held.append(batch.slice(at))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def as_text(text: pa.Array) -> pa.Array:
     """Nulls become empty strings."""
     return text.fill_null("") if text.null_count else text
@@ -102,7 +163,3 @@ def checked(schema: str):
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
-
-
-def temp_dir() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
