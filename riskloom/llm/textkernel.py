@@ -105,6 +105,18 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return chain([h[i : len(h) - n + 1 + i] for i in range(n)])
 
 
+def least_places(value: np.ndarray, reach: int, last: bool = False) -> np.ndarray:
+    """Of each `reach` following values the place of the least; of equal ones the first, or the last."""
+    place, wide = np.arange(len(value)), 1
+    while wide < reach:
+        step = min(wide, reach - wide)
+        a, b = value[:-step], value[step:]
+        later = b <= a if last else b < a
+        value, place = np.where(later, b, a), np.where(later, place[step:], place[:-step])
+        wide += step
+    return place
+
+
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-word shingles; with fewer words the whole sequence as one; none without words."""
     if not len(h):
