@@ -7,7 +7,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
@@ -20,9 +20,8 @@ LONGEST, TABLE_BITS = 4, 20
 
 @dataclass(frozen=True)
 class FitRule:
-    """Bounds of the fit: languages (the most frequent), sampled texts and landmarks of each, longest sampled text, ridge."""
+    """Bounds of the fit for each language, all of which are learnt: sampled texts, landmarks, preferred length; ridge."""
 
-    languages: int = 64
     texts: int = 200
     landmarks: int = 40
     chars: int = 8000
@@ -46,7 +45,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def _slots(text: pa.Array):
-    """Of each n: the slot of every n-gram, and its row. Rows are parted by blanks, so that no n-gram spans two."""
+    """Of each n: the slot of every n-gram that lies in one row, and its row. A blank goes before and three go behind each text."""
     joined = pc.binary_join_element_wise(" ", pc.utf8_lower(text), " " * (LONGEST - 1), "").cast(pa.large_string())
     offsets = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset : joined.offset + len(joined) + 1]
     low = _FOLD[np.frombuffer(joined.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]].astype(np.uint32)
@@ -57,7 +56,8 @@ def _slots(text: pa.Array):
         mixed = (code + np.uint32(n)) * np.uint32(0x9E3779B1)
         mixed ^= mixed >> np.uint32(15)
         mixed *= np.uint32(0x85EBCA77)
-        yield (mixed >> np.uint32(32 - TABLE_BITS)).astype(np.int64), row[: len(code)]
+        inside = row[: len(code)] == row[n - 1 :]
+        yield (mixed[inside] >> np.uint32(32 - TABLE_BITS)).astype(np.int64), row[: len(code)][inside]
 
 
 def presence(text: pa.Array, columns: np.ndarray, width: int) -> np.ndarray:
@@ -81,17 +81,21 @@ def kernel(found: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, rule: FitRule = FitRule()) -> Model:
     """Learns from docs(doc_id, text, lang), all of them training rows, on a sample bounded by rule.
 
-    The sample takes the rows with the least hash of doc_id in each language, so it is the same for the same rows.
-    Null or blank languages and texts, and texts longer than rule.chars, aren't sampled. Without any row the model
-    has no language.
+    The sample takes at most rule.texts rows of each language, those of at most rule.chars characters first, by the least
+    hash of doc_id and text, so it is the same for the same rows; every language is learnt, whatever its number of rows.
+    Null or blank languages and null or empty texts aren't sampled. Without any row the model has no language.
     """
-    rows = docs.where("lang is not null and lang <> '' and text is not null").where(F.length("text").between(1, rule.chars))
-    rows = rows.select("text", "lang", (F.xxhash64("doc_id", F.lit(rule.seed)) / F.lit(2.0**64) + 0.5).alias("at"))
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(rule.languages).collect()
-    if not sizes:
+    rows = docs.where("lang is not null and lang <> '' and text is not null and text <> ''")
+    at = F.xxhash64("doc_id", "text", F.lit(rule.seed)) / F.lit(2.0**64) + 0.5
+    rows = rows.select("lang", "text", (at + (F.length("text") > rule.chars).cast("int")).alias("at"))
+    sizes = rows.groupBy("lang").agg(F.count_if(F.col("at") <= 1).alias("short"), F.count_if(F.col("at") > 1).alias("long"))
+    few = 2 * rule.texts + 20
+    share = F.when(F.col("short") > few, few / F.col("short")).when(F.col("short") == few, 1.0).otherwise(F.when(F.col("long") > few, 1 + few / F.col("long")).otherwise(2.0))
+    near = rows.join(sizes.select("lang", share.alias("share")), "lang").where("at <= share").groupBy("lang", "text").agg(F.min("at").alias("at"))
+    sample = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("n") <= rule.texts)
+    sample = sample.select("lang", "text", "n").toPandas().sort_values(["lang", "n"])
+    if not len(sample):
         return Model([], np.full(1, -1), np.zeros((0, 0)), np.zeros((0, 0)))
-    share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, (2 * rule.texts + 20) / r["count"]))])
-    sample = rows.where(F.col("at") <= F.try_element_at(share, F.col("lang"))).toPandas().sort_values(["lang", "at", "text"])
     languages = sorted(set(sample["lang"]))
     texts, label, landmark = [], [], []
     for k, name in enumerate(languages):
@@ -122,16 +126,22 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     order is taken. A text that is null or has no letter, and every text when nothing was learned, is `und` with
     score 0. Repeated rows get equal results; further columns are ignored; an empty table gives an empty result.
     """
+    return annotated(docs.select("doc_id", "text"), model).select("row.doc_id", "lang_pred", "score")
+
+
+def annotated(docs: DataFrame, model: Model) -> DataFrame:
+    """(row, text, letters, lang_pred, score): row holds the other columns of docs, letters says whether the text has one."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    others = docs.select(*[c for c in docs.columns if c != "text"])
+    fields = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in others.schema)
 
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
         for batch in batches:
-            for part in text_slices(batch, "text", 1_500_000):
+            for part in text_slices(batch, "text", 600_000):
                 text = as_text(part.column("text"))
                 letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
                 if m.languages:
@@ -140,9 +150,10 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     score = np.where(letters, np.clip((value.max(axis=1) + 1) / 2, 0, 1), 0.0)
                 else:
                     best, score = np.zeros(len(part), int), np.zeros(len(part))
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score.astype(np.float64))})
+                yield pa.RecordBatch.from_pydict({"row": part.column("row"), "text": part.column("text"), "letters": pa.array(letters), "lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score.astype(np.float64))})
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    rows = docs.select(F.struct(*others.columns).alias("row"), "text")
+    return rows.mapInArrow(run, f"row struct<{fields}>, text string, letters boolean, lang_pred string, score double")
 
 
 def held_out(doc_id):
@@ -152,5 +163,21 @@ def held_out(doc_id):
 
 def classify(docs: DataFrame, rule: FitRule = FitRule()) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs(doc_id, text, lang), learnt from those not held out."""
-    model = fit(docs.where(~held_out(F.col("doc_id"))), rule)
-    return predict(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs, _learnt(docs, rule)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def _learnt(docs: DataFrame, rule: FitRule) -> Model:
+    return fit(docs.where(~held_out(F.col("doc_id"))), rule)
+
+
+def in_known_languages(docs: DataFrame, least_score: float = 0.3, rule: FitRule = FitRule()) -> DataFrame:
+    """The rows of docs, with all their columns, whose text the learnt languages account for.
+
+    A row goes if its text is null or has no letter, or if no language gives it a score of least_score, as in a language
+    that no row names. Where nothing can be learnt every text with a letter stays. Rows are judged each for itself,
+    whatever ids they share; null ids and repeated rows stay as they are; an empty table stays empty.
+    """
+    model = _learnt(docs, rule)
+    judged = annotated(docs, model).where("letters and text is not null")
+    judged = judged.where(F.col("score") >= least_score) if model.languages else judged
+    return judged.select(*[F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns])
