@@ -1,7 +1,9 @@
 """A corpus pipeline over the table documents: language, near copies, repeated passages, benchmark leaks, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept and returns a DataFrame that is
-written as Parquet and read again. All but the last return the columns of documents.
+written as Parquet and read again. All but the last return the columns of documents. Further columns are carried along,
+whatever their names. Rows are judged by their own text: a doc_id that several texts share loses only the texts judged.
+An empty table stays empty in every stage.
 """
 
 from __future__ import annotations
@@ -11,46 +13,74 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, language_id, minhash_dedup, packing, substring_dedup
-from riskloom.llm.shared import materialise, read_table
+from riskloom.llm.shared import having, materialise, read_table, scratch
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: those with a null text or without a letter."""
-    known = language_id.classify(docs).where(F.col("lang_pred") == language_id.UNKNOWN).select("doc_id").distinct()
-    kept = docs.where("text is not null").join(known, "doc_id", "left_anti")
-    return kept.where("doc_id is not null or text rlike '\\\\p{L}'")
+    """Documents whose text the learnt languages don't account for go, null texts and texts without a letter among them.
+
+    Rows with a null doc_id are judged like others; repeated rows all stay or all go. Without labelled rows every text
+    with a letter stays. lang is read for learning only.
+    """
+    return language_id.in_known_languages(docs)
 
 
 def minhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the one with the smallest doc_id, and of repeated rows one."""
-    found = materialise(minhash_dedup.near_duplicates(docs), "near-copies")
-    gone = found.where("not kept").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    docs = docs.join(gone, "doc_id", "left_anti")
+    """One document of each group of near copies stays: the one with the smallest doc_id, then text key.
+
+    Of rows that agree in doc_id and text one stays. Rows with a null doc_id, and texts without words, are in no group and stay.
+    """
+    with scratch() as keep:
+        found = materialise(minhash_dedup.near_duplicates(docs).where("group_key is not null and doc_id is not null").select("doc_id", "text_key", "group_key"), "near-rows")
+        first = materialise(found.groupBy("group_key").agg(F.min(F.struct("doc_id", "text_key")).alias("first")), "first-rows")
+        gone = found.join(first, "group_key").where(F.struct("doc_id", "text_key") != F.col("first")).select("doc_id", "text_key").distinct()
+        twice = found.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+        marked = gone.withColumn("gone", F.lit(True)).unionByName(twice.join(gone, ["doc_id", "text_key"], "left_anti").withColumn("gone", F.lit(False)))
+        marked = keep(marked.select(F.col("doc_id").alias("id"), "text_key", "gone"), "near-copies")
+    key, mark = _unused("text_key", docs), _unused("gone", docs)
+    rows = docs.withColumn(key, F.xxhash64("text"))
+    marked = marked.select(F.col("id").alias("doc_id"), F.col("text_key").alias(key), F.col("gone").alias(mark))
+    stay = having(rows, marked, ["doc_id", key], "left_anti").select(*docs.columns)
+    repeated = marked.where(~F.col(mark)).drop(mark)
     if repeated.isEmpty():
-        return docs
-    twice = docs.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return docs.join(repeated, "doc_id", "left_anti").unionByName(twice)
+        return stay
+    return stay.unionByName(having(rows, repeated, ["doc_id", key]).dropDuplicates(["doc_id", key]).select(*docs.columns))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that an earlier document holds are cut out; a document of which no word is left goes."""
-    found = substring_dedup.repeated_passages(docs).select("doc_id", "text_key", "kept_text")
-    found = materialise(found.dropDuplicates(["doc_id", "text_key"]), "cut-texts")
-    joined = docs.withColumn("text_key", F.xxhash64("text")).join(found, ["doc_id", "text_key"], "left")
-    text = F.coalesce("kept_text", "text")
-    joined = joined.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("bigint"))).withColumn("text", text)
-    return joined.where(F.col("kept_text").isNull() | F.col("text").rlike(r"\S")).select(*docs.columns)
+    """Passages that an earlier document holds are cut out; a document of which no word is left goes.
+
+    n_chars follows the text where it was cut. Rows with a null doc_id or text are as they were; repeated rows are cut alike.
+    """
+    rows, cut = substring_dedup.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(cut, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return rows.where(~cut | F.col("text").rlike(r"[^ \t-\r]")).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten following words of a benchmark item, or a whole shorter item, go."""
-    found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
-    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti")
+    """Texts that hold ten following words of a benchmark item, or a whole shorter item, go, and all rows that have them.
+
+    Rows with a null text stay; a null doc_id makes no difference.
+    """
+    with scratch() as keep:
+        found = decontaminate.contamination(docs, read_table(spark, sf_dir, "benchmark"))
+        found = keep(found.where("contaminated").select("text_key").distinct(), "contaminated")
+    key = _unused("text_key", docs)
+    return having(docs.withColumn(key, F.xxhash64("text")), found.select(F.col("text_key").alias(key)), key, "left_anti").select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, with their sequence and place."""
+    """The pieces of all documents that are left, with their sequence and place.
+
+    A null text is an empty one, its end id only; repeated rows and rows with a null doc_id are packed each for itself.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
