@@ -4,15 +4,29 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .shipping import ship
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Where it is unset, a local master gets a temporary one; a cluster is an error,
+    as each machine would have a folder of its own."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and sc.getCheckpointDir():
+        base = sc.getCheckpointDir().rsplit("/", 1)[0]
+    if not base:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir; where the session has none, to a temporary one of its own."""
-    sc = df.sparkSession.sparkContext
+    """df written to the folder of spark.checkpoint.dir and read from there."""
     ship(df.sparkSession)
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
