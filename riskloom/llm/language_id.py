@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .shared import as_text, text_slices
+from .shared import as_text, having, materialise, text_slices
 
 UNKNOWN = "und"
 #: n-grams of 1 to 4 bytes of the lower-cased text, in a table of 2**20 places.
@@ -91,7 +91,8 @@ def fit(docs: DataFrame, rule: FitRule = FitRule()) -> Model:
     sizes = rows.groupBy("lang").agg(F.count_if(F.col("at") <= 1).alias("short"), F.count_if(F.col("at") > 1).alias("long"))
     few = 2 * rule.texts + 20
     share = F.when(F.col("short") > few, few / F.col("short")).when(F.col("short") == few, 1.0).otherwise(F.when(F.col("long") > few, 1 + few / F.col("long")).otherwise(2.0))
-    near = rows.join(sizes.select("lang", share.alias("share")), "lang").where("at <= share").groupBy("lang", "text").agg(F.min("at").alias("at"))
+    shares = materialise(sizes.select("lang", share.alias("share")), "languages")
+    near = having(rows, shares, "lang", "inner").where("at <= share").groupBy("lang", "text").agg(F.min("at").alias("at"))
     sample = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("n") <= rule.texts)
     sample = sample.select("lang", "text", "n").toPandas().sort_values(["lang", "n"])
     if not len(sample):

@@ -9,6 +9,7 @@ tiles of what each set has beside, and lacks of, the band's pivot.
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -104,10 +105,14 @@ def _set_check(rule: NearRule):
         for batch in batches:
             ok = []
             for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.sort(np.concatenate([x, y]), kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                ok.append(100 * common >= rule.percent * (len(x) + len(y) - common))
+                x, y = x.as_buffer(), y.as_buffer()
+                both = (x.size + y.size) // 8
+                if both < 512:
+                    common = len(set(memoryview(x).cast("B").cast("Q")).intersection(memoryview(y).cast("B").cast("Q")))
+                else:
+                    merged = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
+                    common = int((merged[1:] == merged[:-1]).sum())
+                ok.append(100 * common >= rule.percent * (both - common))
             yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
     return run
@@ -198,15 +203,24 @@ def _groups(links: DataFrame) -> DataFrame:
     return materialise(of.join(joined.toDF("label", "component"), "label", "left").select("key", F.coalesce("component", "label").alias("label"), "degree"), "named")
 
 
+def _differences(x: pa.Buffer, p: pa.Buffer) -> tuple[bytes, bytes]:
+    """The values of x that p lacks, and those of p that x lacks."""
+    if x.size + p.size < 4096:
+        a, b = set(memoryview(x).cast("B").cast("Q")), set(memoryview(p).cast("B").cast("Q"))
+        return array("Q", a - b).tobytes(), array("Q", b - a).tobytes()
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(p, np.uint64)
+    return np.setdiff1d(a, b, assume_unique=True).tobytes(), np.setdiff1d(b, a, assume_unique=True).tobytes()
+
+
 def _beside_pivot(batches):
     """Of each set and its pivot: the pivot's size, the set's shingles that it lacks, and its shingles that the set lacks."""
     for batch in batches:
         rows: dict[str, list] = {"size": [], "new": [], "gone": []}
         for x, p in zip(batch.column("set_x"), batch.column("set_p"), strict=True):
-            x, p = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(p.as_buffer(), np.uint64)
-            rows["size"].append(len(p))
-            rows["new"].append(np.setdiff1d(x, p, assume_unique=True).tobytes())
-            rows["gone"].append(np.setdiff1d(p, x, assume_unique=True).tobytes())
+            new, gone = _differences(x.as_buffer(), p.as_buffer())
+            rows["size"].append(p.as_buffer().size // 8)
+            rows["new"].append(new)
+            rows["gone"].append(gone)
         out = {k: batch.column(k) for k in ("key", "c", "pivot", "pivot_c")}
         yield pa.RecordBatch.from_pydict(out | {"size": pa.array(rows["size"], pa.int32()), "new": pa.array(rows["new"], pa.binary()), "gone": pa.array(rows["gone"], pa.binary())})
 

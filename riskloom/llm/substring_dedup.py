@@ -156,39 +156,25 @@ def _member_rows(rule: PassageRule):
 
 
 def _paragraph_rows(rule: PassageRule):
-    """The asked paragraphs of each text: key, number of shingles and bands."""
+    """The asked paragraphs of each text: key, number of shingles, bands, signature and shingles."""
 
     def run(batches):
         for batch in batches:
             for part in text_slices(batch, "text"):
                 p = Paragraphs(as_text(part.column("text")), rule, part.column("asked").to_pylist())
                 values, at = p.sets()
-                bands = band_keys(p.signatures(), rule.near)
+                sig = p.signatures()
+                bands = band_keys(sig, rule.near)
                 of = pa.array(p.of_row)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": part.column("doc_id").take(of), "text_key": part.column("text_key").take(of), "no": p.no, "size": p.size, "key": p.keys(values, at), "n": np.diff(at).astype(np.int32),
                     "bands": pa.ListArray.from_arrays(pa.array((np.arange(len(bands) + 1) * rule.near.bands).astype(np.int32)), pa.array(bands.ravel())),
+                    "sig": binary_rows(low_bytes(sig)), "shingles": binary_slices(values, at),
                 })
 
     return run
 
 
-def _set_rows(rule: PassageRule):
-    """The asked paragraphs of each text: key, signature and shingles."""
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                p = Paragraphs(as_text(part.column("text")), rule, part.column("asked").to_pylist())
-                values, at = p.sets()
-                key, sig = p.keys(values, at), low_bytes(p.signatures())
-                for k in range(0, len(key), 4096):
-                    cut = slice(k, min(k + 4096, len(key)))
-                    yield pa.RecordBatch.from_pydict({"key": key[cut], "sig": binary_rows(sig[cut]), "shingles": binary_slices(values[at[cut.start] : at[cut.stop]], at[cut.start : cut.stop + 1] - at[cut.start])})
-
-    return run
-
-
 #: Words inside a paragraph that show how it lies beside its first occurrence, and by how many words the two may be shifted.
 INNER, SHIFT = 16, 8
 
@@ -283,16 +269,13 @@ def _flags(rows: DataFrame, rule: PassageRule) -> DataFrame:
     asked = materialise(members.join(shared, "band", "left_semi").select("doc_id", "no").distinct(), "asked")
     lists = materialise(asked.groupBy("doc_id").agg(F.collect_list("no").alias("asked")), "asked-lists")
     texts = having(rows, materialise(lists.select("doc_id"), "asked-ids"), "doc_id").join(lists, "doc_id")
-    made = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(_paragraph_rows(rule), f"doc_id {kind}, text_key bigint, no bigint, size bigint, key binary, n int, bands array<bigint>")
+    made = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(_paragraph_rows(rule), f"doc_id {kind}, text_key bigint, no bigint, size bigint, key binary, n int, bands array<bigint>, sig binary, shingles binary")
     units = materialise(made, "paragraphs")
     here = F.struct("doc_id", "text_key", "no", "size")
     classes = materialise(units.groupBy("key", "n").agg(F.min(here).alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands")), "classes")
 
     def fetch(keys: DataFrame) -> DataFrame:
-        wanted = classes.select("key", "first").join(keys, "key").groupBy("first.doc_id").agg(F.collect_set("first.no").alias("asked"))
-        wanted = materialise(wanted, "asked-sets")
-        texts = having(rows, materialise(wanted.select("doc_id"), "asked-ids"), "doc_id").join(wanted, "doc_id")
-        return texts.select("text", "asked").mapInArrow(_set_rows(rule), "key binary, sig binary, shingles binary")
+        return units.select("key", "sig", "shingles").join(keys, "key", "left_semi")
 
     groups = near_groups(classes.select("key", "n", "bands"), fetch, rule.near)
     named = classes.select("key", "first", "times").join(groups, "key", "left").where("component is not null or times > 1")
