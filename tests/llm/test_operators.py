@@ -253,7 +253,8 @@ def test_repeats_of_a_window_go_whole(spark):
     for i, w in enumerate(rows):
         starts = np.cumsum([0, *[len(x) + 1 for x in w[:-1]]])
         got = {k for k in range(len(w)) for s in (found[i]["spans"] if i in found else []) if s["start"] <= starts[k] < s["end"]}
-        assert len(expected[i] - got) <= 2 * (i in (120, 121, 122, 123)), i  # in rows of one or two words it isn't said which words belong together
+        # in rows of one or two words windows that overlap count once, so that a part of such a row may stay
+        assert expected[i] <= got or (i in (120, 121, 122, 123) and got), i
         # a window of 25 words that is like another one to 80 % goes whole, so at most three words more on either side; 124 and 125 repeat 45 words of their own
         assert i in (120, 121, 122, 123, 124, 125) or len(got) <= len(expected[i]) + 6, i
 
@@ -342,28 +343,34 @@ def test_contract_digest_of_no_items(spark, sf_dir):
 
 
 def test_licences(spark, duck, sf_dir, odd):
-    names = ["doc_id", "passage", "template", "license", "n_bigrams", "n_common", "dice"]
-    made = sorted(map(tuple, queries.op8_license_scan(spark, sf_dir).select(*names).collect()))
-    assert made == sorted(map(tuple, duck.execute(f"select {', '.join(names)} from ({license_scan.OP8_SQL})").fetchall()))
-    frame = spark.createDataFrame([(1, "x\nReleased under the MIT License.\ny"), (2, "released UNDER the mit licence now and then with many other words"), (3, license_scan.TEMPLATES[2][1])], "doc_id long, text string")
-    got = {(r["doc_id"], r["passage"], r["license"], r["dice"]) for r in license_scan.scan_licenses(frame).collect()}
-    assert (1, 2, "MIT", 1.0) in got and (3, 1, "MIT", 1.0) in got and not any(g[0] == 2 for g in got)
-    assert license_scan.scan_licenses(odd).count() == 0
+    names = ["doc_id", "start", '"end"', "template", "license", "n_bigrams", "n_common", "dice", "also"]
+    made = sorted(map(tuple, queries.op8_license_scan(spark, sf_dir).select(*[n.strip('"') for n in names]).collect()))
+    assert made and made == sorted(map(tuple, duck.execute(f"select {', '.join(names)} from ({license_scan.OP8_SQL})").fetchall()))
+    assert license_scan.scan_licenses(odd).count() == 0 and license_scan.scan_licenses(odd.where("false")).count() == 0
 
 
-def test_wrapped_and_enclosed_notices(spark):
+def test_notices_wherever_they_stand(spark):
     def wrap(text, n, mark="# "):
         w = text.split(" ")
         return "\n".join(mark + " ".join(w[k : k + n]) for k in range(0, len(w), n))
 
-    wrapped = {2: 12, 4: 12, 6: 9, 10: 12, 12: 7}
+    texts = [t for _, t in license_scan.TEMPLATES]
     before, after = "import os\n\nthis file reads many words of other things\n", "\n\ndef run(x):\n    return x + 1\n" + "".join(f"value{k} = other{k} and more{k}\n" for k in range(60))
-    rows = [(k, before + wrap(license_scan.TEMPLATES[k][1], n) + after) for k, n in wrapped.items()]
-    rows += [(50, "a long line that tells of the terms and goes on: " + license_scan.TEMPLATES[8][1] + " and then tells of much else, as lines do when nobody wraps them")]
-    rows += [(60, before + license_scan.TEMPLATES[0][1] + after), (61, before + after), (62, wrap(license_scan.TEMPLATES[12][1], 7))]
-    got = {(r["doc_id"], r["template"], r["dice"]): r["passage"] for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(got[k, k, 1.0] < 0 for k in wrapped) and got[50, 8, 1.0] == -12
-    assert {p for (i, _, _), p in got.items() if i == 60} == {4} and {p for (i, _, _), p in got.items() if i == 62} == {0} and not any(i == 61 for i, _, _ in got)
+    rows = [(k, before + wrap(t, 9) + after) for k, t in enumerate(texts)]
+    rows += [(100, "a long line that tells of the terms and goes on: " + texts[0] + " and then tells of much else, as lines do"), (101, before + after), (102, "released UNDER the mit licence now and then"), (103, None), (104, "")]
+    rows += [(105, texts[0] + "\n" + texts[5] + "\n" + texts[0])]
+    edited = texts[19].split(" ")
+    edited[10] = edited[60] = edited[110] = "CHANGED"
+    rows += [(106, " ".join(edited))]
+    found = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {r["doc_id"]: r for r in found}
+    for k in range(len(texts)):
+        own = [r for r in found if r["doc_id"] == k]
+        assert len(own) == 1 and own[0]["license"] == license_scan.TEMPLATES[k][0] and own[0]["dice"] == 1.0, k
+    assert got[100]["license"] == "MIT" and got[100]["start"] == 11 and not {101, 103, 104} & set(got) and (got[102]["license"], got[102]["n_common"], got[102]["dice"]) == ("MIT", 3, 0.857143)
+    assert sorted((r["start"], r["license"]) for r in found if r["doc_id"] == 105) == [(0, "MIT"), (5, license_scan.TEMPLATES[5][0]), (5 + len(re.findall("[A-Za-z0-9]+", texts[5])), "MIT")]
+    assert got[106]["license"] == license_scan.TEMPLATES[19][0] and 0.8 <= got[106]["dice"] < 1
+    assert got[7]["also"].split(",").count("GPL-3.0") == 1 and "GPL-2.0" in got[5]["also"]
 
 
 def test_near_vectors(spark):
