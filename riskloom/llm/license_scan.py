@@ -39,6 +39,8 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 ]
+#: Frequent words of English, the last to be chosen as marks.
+COMMON = "a an and any are as at be by can for from in is it may not of on or that the this to under was with you".split(" ")
 #: Bytes that part words: all of ASCII but letters and digits.
 APART = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -68,13 +70,13 @@ def templates(texts: list[tuple[str, str]] = TEMPLATES) -> list[Template]:
 
 
 def marks(known: list[Template], percent: int) -> list[str]:
-    """Words of which every passage that is like a template has at least one: of each template the longest words, until more
-    bigrams hold one than a passage may lack."""
+    """Words of which every passage that is like a template has at least one: of each template the longest words that aren't
+    common, until more bigrams hold one than a passage may lack."""
     out: set[str] = set()
     for t in known:
         spare, left = len(t.bigrams) - t.need(percent), {b: b.split(" ") for b in t.bigrams}
         covered = sum(any(w in out for w in b) for b in left.values())
-        for word in sorted({w for b in left.values() for w in b} - out, key=lambda w: (-len(w), w)):
+        for word in sorted({w for b in left.values() for w in b} - out, key=lambda w: (w in COMMON, -len(w), w)):
             if covered > spare:
                 break
             out.add(word)
@@ -113,8 +115,10 @@ def scan_licenses(docs: DataFrame, known: list[Template] | None = None, percent:
     """
     known = templates() if known is None else known
     every = sorted({b for t in known for b in t.bigrams})
-    low = _once(docs.where("text is not null").select("doc_id", "text"), F.lower("text"), "low")
-    rows = low.where(reduce(or_, [F.contains("low", F.lit(w)) for w in marks(known, percent)])).drop("low")
+    low, found = _once(docs.where("text is not null").select("doc_id", "text"), F.lower("text"), "low"), marks(known, percent)
+    short = "|".join(re.escape(w) for w in found if len(w) < 4)
+    held = [F.contains("low", F.lit(w)) for w in found if len(w) >= 4] + ([F.col("low").rlike(rf"(?<![a-z0-9\x{{80}}-\x{{10FFFF}}])(?:{short})(?![a-z0-9\x{{80}}-\x{{10FFFF}}])")] if short else [])
+    rows = low.where(reduce(or_, held)).drop("low")
     rows = _once(rows.select("doc_id", _words("text").alias("w")), F.col("w"), "words").where(F.size("words") > 1).drop("w")
     rows = _once(rows, F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i))), "pairs").drop("words")
     rows = _once(rows, F.filter(F.transform("pairs", lambda b, i: F.when(b.isin(every), i)), lambda i: i.isNotNull()), "at")
