@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +27,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read from there."""
-    ship(df.sparkSession)
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """df written, once, as a table in the folder of spark.checkpoint.dir and read from there."""
+    spark = df.sparkSession
+    ship(spark)
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

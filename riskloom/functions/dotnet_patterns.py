@@ -17,3 +17,6 @@ HEADER_LINES = 16
 MOST_BASES = 16
 GLOBAL_USER = "RequireAuthenticatedUser"
 GLOBAL_FILTERS = ["AuthorizeFilter", "FallbackPolicy", "DefaultPolicy"]
+MAP_ALL = r"\bMap(?:Controllers|RazorPages|DefaultControllerRoute|ControllerRoute|AreaControllerRoute)\b"
+MAP_ALL_REQUIRED = r"\bMap(?:Controllers|RazorPages|DefaultControllerRoute|ControllerRoute|AreaControllerRoute)\s*\([^)]*\)\s*\.\s*RequireAuthorization"
+REQUIRE_ALONE = r"^\s*\.\s*RequireAuthorization\s*\("

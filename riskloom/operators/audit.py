@@ -39,6 +39,18 @@ def review(findings: DataFrame) -> DataFrame:
     return rows.orderBy(F.desc("highest"), F.desc("findings"), "path")
 
 
+def review_verdict(findings: DataFrame) -> DataFrame:
+    """One row: number of findings, highest risk, a reviewer's decision, and where to start: the first of the riskiest file."""
+    rows = findings.agg(F.count("*").alias("findings"), F.coalesce(F.max("real_risk"), F.lit(0)).alias("highest"), F.countDistinct("path").alias("files"), *[F.count_if(F.col("real_risk") == k).alias(f"n{k}") for k in (4, 3, 2, 1)])
+    of_file = Window.partitionBy("path")
+    best = findings.withColumns({"worst": F.max("real_risk").over(of_file), "many": F.count("*").over(of_file)})
+    start = best.agg(F.min_by(F.concat(F.col("rule"), F.lit(" in "), F.regexp_extract("path", "[^/]*$", 0), F.lit(":"), F.col("line_no")), F.struct(-F.col("worst"), -F.col("many"), "path", -F.col("real_risk"), "line_no", "rule")).alias("start"))
+    text = F.when(F.col("findings") == 0, "APPROVE — no security issues found. LGTM.").when(F.col("highest") >= risk.HIGH, "REQUEST CHANGES — high-risk issue(s) must be addressed before merge.").when(F.col("highest") == risk.MEDIUM, "COMMENT — some issues to consider; not blocking.").otherwise("APPROVE — only minor notes.")
+    parts = F.concat_ws(", ", *[F.when(F.col(f"n{k}") > 0, F.concat(F.col(f"n{k}").cast("string"), F.lit(f" {risk.SEVERITIES[k].lower()}"))) for k in (4, 3, 2, 1)])
+    said = F.when(F.col("findings") == 0, "This change introduces no new security risk.").otherwise(F.concat(F.lit("This change introduces "), parts, F.lit(" across "), F.col("files").cast("string"), F.lit(" file(s). Start with "), F.col("start"), F.lit(".")))
+    return rows.crossJoin(F.broadcast(start)).select("findings", "highest", text.alias("verdict"), said.alias("summary"))
+
+
 def ranked(findings: DataFrame) -> DataFrame:
     """Real risk first, privileged first among equals, then in order of place and rule."""
     return findings.orderBy(F.desc("real_risk"), F.desc("privileged"), "path", "line_no", "rule")

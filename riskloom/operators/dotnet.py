@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..durable import checkpointed
@@ -93,6 +93,20 @@ def _file_rows(key, file: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["what", "path", "line_no", "method", "route", "class", "base", "guard"])
 
 
+def guarded_maps(lines: DataFrame) -> DataFrame:
+    """One row, by_map: whether a mapping of all controllers or pages is followed by a demand for authorisation.
+
+    The demand stands on the mapping's line, or on a line of its own whose nearest line above that isn't blank, at most
+    three lines up, maps them all.
+    """
+    near = Window.partitionBy("path").orderBy("line_no")
+    above = lambda k: F.lag("line", k, "").over(near)
+    filled = [F.when(F.trim(F.regexp_replace(above(k), "[\\t\\r]", " ")) != "", above(k)) for k in (1, 2, 3)]
+    alone = F.col("line").rlike(D.REQUIRE_ALONE) & F.coalesce(F.coalesce(*filled).rlike(D.MAP_ALL), F.lit(False))
+    rows = lines.select((F.col("line").rlike(D.MAP_ALL_REQUIRED) | alone).alias("found"))
+    return rows.agg(F.coalesce(F.max("found"), F.lit(False)).alias("by_map"))
+
+
 def controller_routes(lines: DataFrame) -> DataFrame:
     """(method, route, path, line_no, class, guard, auth, user_input) of the .cs files of lines(path, line_no, line).
 
@@ -114,7 +128,8 @@ def controller_routes(lines: DataFrame) -> DataFrame:
         state = checkpointed(step)
     holds = lambda word: F.coalesce(F.max(F.contains("line", F.lit(word))), F.lit(False))
     wide = own.groupBy("path").agg(holds(D.GLOBAL_USER).alias("user"), *[holds(w).alias(f"f{k}") for k, w in enumerate(D.GLOBAL_FILTERS)])
-    wide = wide.agg(F.coalesce(F.max(F.col("user") & (F.col("f0") | F.col("f1") | F.col("f2"))), F.lit(False)).alias("everywhere"))
+    wide = wide.agg(F.coalesce(F.max(F.col("user") & (F.col("f0") | F.col("f1") | F.col("f2"))), F.lit(False)).alias("by_policy"))
+    wide = wide.crossJoin(F.broadcast(guarded_maps(own))).select((F.col("by_policy") | F.col("by_map")).alias("everywhere"))
     found = rows.where("what = 'route'").select("method", "route", "path", "line_no", "class", "guard").join(state.select("class", "inherited"), "class", "left").crossJoin(F.broadcast(wide))
     inherited = F.when(F.col("inherited").isNotNull() & (F.col("inherited") != ANON), "auth").otherwise(F.col("inherited"))
     said = F.coalesce("guard", inherited, F.when(F.col("everywhere"), F.lit("auth")))

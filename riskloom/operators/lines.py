@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.code_patterns import CODE_RULES, ENDINGS, GLOBAL_ANTIFORGERY, LONGEST_LINE, LOOKUP, LOOKUP_WINDOW, OWNERSHIP, PATCHES
-from ..functions.config_patterns import CONFIG_RULES, SAFE_ASSIGNMENT
+from ..functions.config_patterns import CONFIG_RULES, KIND_NAMES, SAFE_ASSIGNMENT
 from ..functions.dialect import to_java
 from ..functions.secret_patterns import ASSIGNMENT, HINTS, LEAST_ENTROPY, PLACEHOLDER, SECRET_RULES
 
@@ -35,8 +35,10 @@ def _any(tests: list[Column]) -> Column:
     return out
 
 
-def snippet(line: Column) -> Column:
-    s = F.trim(F.regexp_replace(F.regexp_replace(line, "^[ \\t\\r]+", ""), "[ \\t\\r]+$", ""))
+def snippet(line: Column, both_ends: bool = False) -> Column:
+    """A line without the blanks and tabs before it, cut to 100 bytes; with both_ends without white space on either side."""
+    s = F.regexp_replace(line, "^[ \\t]+", "")
+    s = F.regexp_replace(line, r"^\s+|\s+$", "") if both_ends else s
     return F.when(F.octet_length(s) > 100, F.concat(F.left(s, F.lit(99)), F.lit("…"))).otherwise(s)
 
 
@@ -120,6 +122,13 @@ def config_kind(path: Column, kubernetes: Column) -> Column:
     return F.when(docker, "dockerfile").when(compose, "compose").when(F.contains(folder, F.lit(".github/workflows")) & yaml, "gha").when(F.endswith(base, F.lit(".tf")), "terraform").when(yaml & kubernetes, "k8s")
 
 
+def kind_label(kind: Column) -> Column:
+    out = kind
+    for name, label in KIND_NAMES.items():
+        out = F.when(kind == name, label).otherwise(out)
+    return out
+
+
 def config_findings(lines: DataFrame) -> DataFrame:
     """(path, line_no, rule, severity, kind, snippet) of configuration lines; a file with `apiVersion:` and `kind:` lines is Kubernetes."""
     starts = lambda mark: F.max(F.startswith(F.trim("line"), F.lit(mark)))
@@ -131,4 +140,4 @@ def config_findings(lines: DataFrame) -> DataFrame:
     hits = hits.join(table, "k").select("path", "line_no", "rule", "severity", "kind", "line")
     name = F.lower(F.regexp_extract("line", to_java(SAFE_ASSIGNMENT), 1))
     safe = F.rlike("line", F.lit(to_java(SAFE_ASSIGNMENT))) & (name != "run")
-    return hits.where(~((F.col("rule") == "gha-script-injection") & safe)).withColumn("snippet", snippet(F.col("line"))).drop("line")
+    return hits.where(~((F.col("rule") == "gha-script-injection") & safe)).withColumn("snippet", snippet(F.col("line"), both_ends=True)).drop("line")

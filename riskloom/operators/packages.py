@@ -41,6 +41,46 @@ def licence_findings(installed: DataFrame, proprietary: bool) -> DataFrame:
     return rows.where("risk <> 'permissive'").withColumn("severity", licence_severity(F.col("risk"), F.lit(proprietary)))
 
 
+def licence_words(kind: Column) -> Column:
+    """A struct of the rule id and the words for a licence risk."""
+    rule = F.when(kind == "strong", "license-strong-copyleft").when(kind == "weak", "license-weak-copyleft").when(kind == "unknown", "license-unknown").otherwise("license-permissive")
+    words = F.when(kind == "strong", "strong copyleft").when(kind == "weak", "weak copyleft").when(kind == "unknown", "unknown/missing license").otherwise("permissive")
+    return F.struct(rule.alias("rule"), words.alias("words"))
+
+
+def is_proprietary(manifest: Column) -> Column:
+    """Whether the text of the root's package.json makes a product proprietary; so does a missing or broken one."""
+    licence = npm_licence(manifest)
+    private = F.coalesce(F.get_json_object(manifest, "$.private") == "true", F.lit(False))
+    broken = manifest.isNull() | F.get_json_object(manifest, "$").isNull()
+    return broken | private | (F.upper(licence) == "UNLICENSED") | (licence == "") | (licence_risk(licence) == "unknown")
+
+
+def python_licence(metadata: Column) -> Column:
+    """A struct (name, spdx) of METADATA or PKG-INFO text: the last License-Expression counts; License and licence
+    classifiers only while nothing was said before."""
+    lines = F.filter(F.split(metadata, "\n"), lambda x: x.rlike("^(License-Expression|License|Classifier: License ::)"))
+    said = lambda x: F.when(F.startswith(x, F.lit("Classifier: ")), F.regexp_extract(x, "^.*::(.*)$", 1)).otherwise(F.regexp_extract(x, "^[A-Za-z-]+: (.*)$", 1))
+    spdx = F.aggregate(lines, F.lit(""), lambda a, x: F.when(F.startswith(x, F.lit("License-Expression: ")) | ((a == "") & (F.startswith(x, F.lit("License: ")) | F.startswith(x, F.lit("Classifier: License :: ")))), F.trim(said(x))).otherwise(a))
+    return F.struct(F.trim(F.regexp_extract(metadata, "(?m)^Name: ([^\n]*)", 1)).alias("name"), spdx.alias("spdx"))
+
+
+def installed_packages(files: DataFrame) -> DataFrame:
+    """(name, spdx, path) of files(path, content): package.json under node_modules, METADATA of *.dist-info, PKG-INFO of *.egg-info."""
+    base = F.regexp_extract("path", "[^/]*$", 0)
+    npm = (base == "package.json") & F.contains("path", F.lit("node_modules/"))
+    python = ((base == "METADATA") & F.contains("path", F.lit(".dist-info"))) | ((base == "PKG-INFO") & F.contains("path", F.lit(".egg-info")))
+    own = python_licence(F.col("content"))
+    rows = files.select("path", F.when(npm, F.struct(F.get_json_object("content", "$.name").alias("name"), npm_licence(F.col("content")).alias("spdx"))).when(python, own).alias("p"))
+    return rows.where("p.name <> ''").select("p.name", "p.spdx", "path")
+
+
+def advisory_severity(name: Column) -> Column:
+    """The level of an advisory's word; null for an unknown one."""
+    word = F.upper(name)
+    return F.when(word == "CRITICAL", risk.CRITICAL).when(word == "HIGH", risk.HIGH).when(word.isin("MODERATE", "MEDIUM"), risk.MEDIUM).when(word == "LOW", risk.LOW)
+
+
 def npm_licence(metadata: Column) -> Column:
     """The licence of package.json text: a string, an object's type, or the first of a list."""
     text, kind, first = (F.get_json_object(metadata, p) for p in ("$.license", "$.license.type", "$.licenses[0].type"))
@@ -97,14 +137,16 @@ def vulnerabilities(packages: DataFrame, advisories: DataFrame, reachable: DataF
     return rows.withColumns({"reachable": known, "real_risk": real}).select("name", "version", "ecosystem", "id", "severity", "reachable", "real_risk")
 
 
-def reachable_packages(imports: DataFrame, dependencies: DataFrame, most: int = 64) -> DataFrame:
-    """(name): imported packages and all that they depend on, from imports(name) and dependencies(parent, child)."""
+def reachable_packages(imports: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """(name): imported packages and all that they depend on, from imports(name) and dependencies(parent, child).
+
+    Each round finds packages that none before did, so the rounds end when there are no more, whatever the depth.
+    """
     found = imports.select("name").distinct()
     edge = found
-    for _ in range(most):
+    while True:
         step = edge.join(dependencies, edge["name"] == dependencies["parent"]).select(F.col("child").alias("name")).distinct()
         edge = checkpointed(step.join(found, "name", "left_anti"))
         if edge.isEmpty():
-            break
+            return found
         found = checkpointed(found.unionByName(edge))
-    return found

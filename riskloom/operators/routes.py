@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import risk
 from ..functions.dialect import to_java
 from ..functions.route_patterns import ANY_METHODS, CHANGING, GUARD, ID_LIKE, INTERNAL_HOST, OWNED, PARAMETERS, PATH_PARAM, PRIVATE_IP, RATE_LIMIT, RESOURCE_ROUTES, RESOURCES, ROUTE_INPUT, ROUTE_RULES, SENSITIVE, SPAN_LINES
+from . import dotnet, specs
 from .lines import language
 
 
@@ -37,6 +39,27 @@ def routes(lines: DataFrame) -> DataFrame:
     return found.unionByName(rails)
 
 
+def every_route(lines: DataFrame) -> DataFrame:
+    """routes with what GraphQL and OpenAPI files declare and C# controllers, and their guard where it is known by name."""
+    no = F.lit(False)
+    plain = lambda rows, name, given: rows.select("method", "route", F.lit(name).alias("framework"), "path", "line_no", no.alias("auth"), F.lit(given).alias("user_input"), no.alias("rate_limited"))
+    declared = plain(specs.graphql_routes(lines), "GraphQL", True).unionByName(plain(specs.openapi_routes(lines), "OpenAPI", False))
+    named = routes(lines).unionByName(declared).withColumn("guard", F.lit(""))
+    dotnet_ = dotnet.controller_routes(lines).select("method", "route", F.lit("ASP.NET Core").alias("framework"), "path", "line_no", "auth", "user_input", no.alias("rate_limited"), "guard")
+    return named.unionByName(dotnet_)
+
+
+def guard_histogram(found: DataFrame) -> DataFrame:
+    """(guard, routes): how many routes name each guard, `(none)` for none."""
+    return found.groupBy(F.when(F.col("guard") == "", "(none)").otherwise(F.col("guard")).alias("guard")).agg(F.count("*").alias("routes"))
+
+
+def open_ages(judged: DataFrame, blame: DataFrame, now: Column) -> DataFrame:
+    """Open routes with sinks and the days since their line was written, from blame(path, line, author_time)."""
+    rows = judged.where("sinks > 0 and not auth").join(blame.select("path", F.col("line").alias("line_no"), "author_time"), ["path", "line_no"])
+    return rows.select("method", "route", "path", "line_no", risk.exposed_days(now, F.col("author_time")).alias("days"))
+
+
 def handler_spans(found: DataFrame) -> DataFrame:
     """Routes with start and end: up to the next route's line in the file, at most 120 lines."""
     after = Window.partitionBy("path").orderBy("line_no").rangeBetween(1, SPAN_LINES - 1)
@@ -65,9 +88,8 @@ def auth_anomalies(found: DataFrame) -> DataFrame:
     """Open routes beside guarded ones with the same first fixed path segment."""
     segment = F.regexp_extract("route", "^/*([^/]*)", 1)
     rows = found.withColumn("segment", segment).where((F.col("segment") != "") & ~F.col("segment").rlike("^[:{<]"))
-    group = Window.partitionBy("segment")
-    rows = rows.withColumns({"some_closed": F.max("auth").over(group)})
-    return rows.where("some_closed and not auth").drop("some_closed")
+    closed = rows.groupBy("segment").agg(F.max("auth").alias("closed")).where("closed").select("segment")
+    return rows.where("not auth").join(closed, "segment", "left_semi").select(*found.columns, "segment")
 
 
 def brute_forceable(found: DataFrame) -> DataFrame:

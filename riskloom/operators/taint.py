@@ -158,6 +158,8 @@ def taint(lines: DataFrame, most_rounds: int = 50) -> DataFrame:
         if more.isEmpty():
             break
         names = checkpointed(names.unionByName(more))
+    else:
+        raise RuntimeError("names that carry input did not settle")
     part = files.join(reading.union(names.select("path")).distinct(), "path", "left_semi")
     return part.groupBy("path").cogroup(names.groupBy("path")).applyInPandas(_judged, "path string, line_no int, tainted boolean, html_safe boolean, origin int")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import risk
 from ..functions.code_patterns import CODE_RULES, ENDINGS, GLOBAL_ANTIFORGERY, LOOKUP, OWNERSHIP, PATCHES
-from ..functions.config_patterns import CONFIG_RULES, SAFE_ASSIGNMENT
+from ..functions.config_patterns import CONFIG_RULES, KIND_NAMES, SAFE_ASSIGNMENT
 from ..functions.route_patterns import GRAPHQL_FIELD, GRAPHQL_TYPE, GUARD, ID_LIKE, INTERNAL_HOST, OPENAPI_MARK, OPENAPI_METHOD, OPENAPI_PATH, OWNED, PARAMETERS, PATH_PARAM, PRIVATE_IP, RATE_LIMIT, RESOURCES, ROUTE_INPUT, ROUTE_RULES, SENSITIVE
 from ..functions.secret_patterns import ASSIGNMENT, HINTS, LEAST_ENTROPY, PLACEHOLDER, SECRET_RULES
 from ..operators import lines as L
@@ -48,8 +48,8 @@ _LEFT = "regexp_replace(line, '^[ \\t]+', '')"
 _COMMENT = f"""case when lang in ('py', 'ruby') then starts_with({_LEFT}, '#')
   when lang = 'php' then starts_with({_LEFT}, '//') or starts_with({_LEFT}, '#') or starts_with({_LEFT}, '/*') or starts_with({_LEFT}, '*')
   else starts_with({_LEFT}, '//') or starts_with({_LEFT}, '/*') or starts_with({_LEFT}, '*') end"""
-_SNIP = "regexp_replace(regexp_replace(line, '^[ \\t\\r]+', ''), '[ \\t\\r]+$', '')"
-_SNIPPET = f"case when strlen({_SNIP}) > 100 then left({_SNIP}, 99) || '…' else {_SNIP} end"
+_cut = lambda s: f"case when strlen({s}) > 100 then left({s}, 99) || '…' else {s} end"
+_SNIPPET, _TRIMMED = _cut(_LEFT), _cut("trim(line)")
 _LEVEL = {name: k for k, name in enumerate(risk.SEVERITIES)}
 _OWASP = "case " + " ".join(f"when cwe in ({', '.join(map(quoted, ids))}) then {quoted(label)}" for label, ids in risk.OWASP.items()) + " else '' end"
 _TEST = f"({_any_part('low_path', risk.TEST_PARTS)} or ends_with(low_path, 'tests.cs') or ends_with(low_path, 'test.cs'))"
@@ -98,28 +98,41 @@ secrets as (select *, regexp_matches(secret, {quoted(PLACEHOLDER)}) or (strlen(s
     and not ({" or ".join(f"regexp_matches(secret, {quoted(r[3])})" for r in SECRET_RULES)})))
 """
 _REDACTED = "case when strlen(trim(secret)) <= 8 then repeat('*', strlen(trim(secret))::int) else left(trim(secret), 4) || '******' || right(trim(secret), 2) end"
-_SECRET_OUT = f"""select key, rule, {_REDACTED} as match, case when placeholder then 0 else severity end as real_risk,
+_SECRET_OUT = f"""select key, line_no, rule, {_REDACTED} as match, case when placeholder then 0 else severity end as real_risk,
   case when placeholder then 0 when rule = 'generic-high-entropy' then 0 else 1 end as confidence,
-  left(sha256(rule || chr(0) || key || chr(0) || '1' || chr(0) || {_REDACTED}), 16) as fingerprint from secrets"""
+  left(sha256(rule || chr(0) || key || chr(0) || line_no || chr(0) || {_REDACTED}), 16) as fingerprint
+  from (select *, regexp_extract(key, '^(.*):', 1) as of, regexp_extract(key, ':([0-9]+)$', 1)::int as line_no from secrets) of_line"""
+_SECRET_OUT = _SECRET_OUT.replace("select key, line_no", "select own as key, line_no").replace("chr(0) || key ||", "chr(0) || own ||").replace("as of,", "as own,")
+_SECRET_ALL = _SECRET_OUT.replace("as match,", "as match, severity,")
 
 
-def _secret_rows(texts: DataFrame) -> DataFrame:
+def _secret_rows(lines: DataFrame) -> DataFrame:
+    """Secrets of lines(path, line_no, line), with the place and the redacted match."""
     no, unknown = F.lit(False), F.lit(None).cast("boolean")
-    found = L.secrets(texts).withColumn("match", risk.redact(F.col("secret")))
+    found = L.secrets(lines.select(F.struct("path", "line_no").alias("key"), F.col("line").alias("text"))).withColumn("match", risk.redact(F.col("secret")))
     real = risk.real_risk(F.lit("secret"), F.col("severity"), F.col("placeholder"), no, no, unknown)
     sure = risk.confidence(F.lit("secret"), F.col("rule"), F.lit(""), F.col("placeholder"), no, no, no, unknown)
-    mark = risk.fingerprint(F.col("rule"), F.col("key"), F.lit(1), F.col("match"))
-    return found.select("key", "rule", "match", real.alias("real_risk"), sure.alias("confidence"), mark.alias("fingerprint"))
+    mark = risk.fingerprint(F.col("rule"), F.col("key.path"), F.col("key.line_no"), F.col("match"))
+    return found.select(F.col("key.path").alias("key"), F.col("key.line_no").alias("line_no"), "rule", "match", "severity", real.alias("real_risk"), sure.alias("confidence"), mark.alias("fingerprint"))
 
 
-@query(f"with texts as (select doc_id::varchar as key, text from documents where text is not null), {_SECRETS} {_SECRET_OUT}")
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, line_no, line) of all texts of documents; path is the id."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    return rows.select("path", (F.col("at") + 1).alias("line_no"), "line")
+
+
+_DOCUMENT_LINES = "document_lines as (select doc_id::varchar as path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::int as line_no from documents where text is not null)"
+
+
+@query(f"with {_DOCUMENT_LINES}, texts as (select path || ':' || line_no as key, line as text from document_lines), {_SECRETS} {_SECRET_OUT}")
 def secrets_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _secret_rows(table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("key"), "text"))
+    return _secret_rows(document_lines(spark, sf_dir)).drop("severity")
 
 
 @query(f"with {CODE_LINES_SQL}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS} {_SECRET_OUT}")
 def secrets_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _secret_rows(code_lines(spark, sf_dir).select(F.concat_ws(":", "path", "line_no").alias("key"), F.col("line").alias("text")))
+    return _secret_rows(code_lines(spark, sf_dir)).drop("severity")
 
 
 _BASE, _DIR = "regexp_extract(path, '[^/]*$')", "regexp_extract(path, '^(.*)/', 1)"
@@ -131,13 +144,16 @@ kinds_of as (select path, case when {_BASE} = 'Dockerfile' or starts_with({_BASE
   when contains({_DIR}, '.github/workflows') and (ends_with(path, '.yml') or ends_with(path, '.yaml')) then 'gha'
   when ends_with(path, '.tf') then 'terraform' when (ends_with(path, '.yml') or ends_with(path, '.yaml')) and kube then 'k8s' end as kind from files),
 kind_lines as materialized (select path, line_no, line, kind from code_lines join kinds_of using (path) where kind is not null),
-config_findings as (select path, line_no, rule, severity, kind, {_SNIPPET} as snippet from ({_CONFIG_ROWS}) where not (rule = 'gha-script-injection' and regexp_matches(line, {quoted(SAFE_ASSIGNMENT)}) and lower(regexp_extract(line, {quoted(SAFE_ASSIGNMENT)}, 1)) <> 'run'))
+config_findings as (select path, line_no, rule, severity, kind, {_TRIMMED} as snippet from ({_CONFIG_ROWS}) where not (rule = 'gha-script-injection' and regexp_matches(line, {quoted(SAFE_ASSIGNMENT)}) and lower(regexp_extract(line, {quoted(SAFE_ASSIGNMENT)}, 1)) <> 'run'))
 """
 
 
-@query(f"{_CONFIG} select * from config_findings")
+_KIND = "case kind " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in KIND_NAMES.items()) + " else kind end"
+
+
+@query(f"{_CONFIG} select *, {_KIND} as label from config_findings")
 def config_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.config_findings(code_lines(spark, sf_dir))
+    return L.config_findings(code_lines(spark, sf_dir)).withColumn("label", L.kind_label(F.col("kind")))
 
 
 def _route_sql() -> str:

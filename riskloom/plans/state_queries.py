@@ -5,39 +5,72 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import checkpointed
 from ..functions import risk
+from ..functions.fix_texts import FIXES, OTHER_FIX
 from ..functions.secret_patterns import SERVICES
 from ..operators import audit as A
 from ..operators import compare as C
+from ..operators import credentials as K
+from ..operators import documents as D
 from ..operators import dotnet as N
 from ..operators import lines as L
 from ..operators import packages as P
 from ..operators import routes as R
 from ..operators import taint as T
 from ..sources.derived import code_lines, quoted
-from .queries import _BASE, _CODE, _CONFIG, _ROUTES, _TEST, query, table
+from .queries import SQL, _BASE, _CODE, _CONFIG, _REDACTED, _ROUTES, _SECRET_ALL, _SECRETS, _TEST, _secret_rows, query, table
 
 
-def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code and configuration findings with risk and confidence."""
+def findings(spark: SparkSession, sf_dir: str, code: DataFrame | None = None) -> DataFrame:
+    """Findings of all scanners with risk, confidence, fingerprint and fix, written once: code, configuration, secrets, advisories."""
     rows = code_lines(spark, sf_dir)
-    code = L.code_findings(rows).select("path", "line_no", "rule", "severity", "snippet", F.lit("code").alias("kind"))
-    config = L.config_findings(rows).select("path", "line_no", "rule", "severity", "snippet", F.lit("config").alias("kind"))
+    code = L.code_findings(rows) if code is None else code
+    columns = ["path", "line_no", "rule", "severity", "snippet", "kind", "real_risk", "confidence"]
     no, unknown = F.lit(False), F.lit(None).cast("boolean")
-    sure = risk.confidence(F.col("kind"), F.col("rule"), F.col("path"), no, no, no, no, unknown)
-    out = code.unionByName(config).withColumns({"confidence": sure, "real_risk": F.col("severity"), "privileged": F.lit(False)})
-    return out.withColumn("fingerprint", risk.fingerprint(F.col("rule"), F.col("path"), F.col("line_no"), F.col("snippet")))
+    plain = code.withColumn("kind", F.lit("code")).select(*columns[:6]).unionByName(L.config_findings(rows).withColumn("kind", F.lit("config")).select(*columns[:6]))
+    plain = plain.withColumns({"real_risk": F.col("severity"), "confidence": risk.confidence(F.col("kind"), F.col("rule"), F.col("path"), no, no, no, no, unknown)})
+    secret = _secret_rows(rows).withColumnsRenamed({"key": "path", "match": "snippet"}).withColumn("kind", F.lit("secret"))
+    known = _vulnerabilities(spark, sf_dir)
+    sure = risk.confidence(F.lit("vulnerability"), F.col("id"), F.lit(""), no, no, no, no, F.col("reachable"))
+    known = known.select(P.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("path"), F.lit(0).alias("line_no"), F.col("id").alias("rule"), "severity", F.concat_ws("@", "name", "version").alias("snippet"), F.lit("vulnerability").alias("kind"), "real_risk", sure.alias("confidence"))
+    out = plain.unionByName(secret.select(*columns)).unionByName(known).withColumn("privileged", no)
+    fix = F.when(F.col("kind") == "secret", K.fix(F.col("rule"))).otherwise("")
+    return checkpointed(out.withColumns({"fingerprint": risk.fingerprint(F.col("rule"), F.col("path"), F.col("line_no"), F.col("snippet")), "fix": fix}))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, verdicts of routes) over one written table of code findings."""
+    rows = code_lines(spark, sf_dir)
+    code = checkpointed(L.code_findings(rows))
+    return findings(spark, sf_dir, code), R.verdicts(R.targets(R.routes(rows), code))
 
 
+#: Licence strings dealt to parts, and ecosystems dealt to them.
+LICENCES = ["MIT", "Apache-2.0", "GPL-3.0-only", "LGPL-2.1", "", "UNLICENSED", "AGPL-3.0", "MPL-2.0", "Proprietary", "BSD-3-Clause", "GNU General Public License"]
+ECOSYSTEMS = ["npm", "PyPI", "Go", "RubyGems", "crates.io", "Alpine:v3.19", "Debian:12"]
+_PACKAGES = f"packages as (select 'pkg' || p_partkey % 61 as name, '1.' || p_size % 7 as version, ([{', '.join(map(quoted, ECOSYSTEMS))}])[p_partkey % {len(ECOSYSTEMS)} + 1] as ecosystem from part)"
+_KNOWN = f"""{_PACKAGES}, adv as (select 'pkg' || s_suppkey % 61 as name, '1.' || s_suppkey % 7 as version, ([{', '.join(map(quoted, ECOSYSTEMS))}])[s_suppkey % {len(ECOSYSTEMS)} + 1] as ecosystem, 'ADV-' || s_suppkey as id, case when s_suppkey % 4 = 3 then null else (s_suppkey % 5)::int end as severity from supplier),
+imported as (select distinct 'pkg' || n_nationkey as name from nation),
+known_bad as (select p.name, version, ecosystem, id, coalesce(severity, 2) as severity, i.name is not null as reachable, case when i.name is null then 1 else coalesce(severity, 2) end as real_risk from (select distinct * from packages) p join adv using (name, version, ecosystem) left join imported i on i.name = p.name)"""
+_PURL = "case string_split(ecosystem, ':')[1] " + " ".join(f"when {quoted(e)} then {quoted(t)}" for e, t in P.PURL_TYPES.items()) + " else 'generic' end"
+_FIX = "case rule " + " ".join(f"when {quoted(r)} then {quoted(t)}" for r, t in FIXES.items()) + f" else {quoted(OTHER_FIX)} end"
 _CONFIG_TAIL = _CONFIG[_CONFIG.index("files as (select path") :]
-_ALL = f"""{_ROUTES}, {_CONFIG_TAIL},
-findings as materialized (select *, severity as real_risk, case when kind = 'code' and {_TEST} then 0 else 1 end as confidence,
-  left(sha256(rule || chr(0) || path || chr(0) || line_no || chr(0) || snippet), 16) as fingerprint from (
-  select path, line_no, rule, severity, snippet, 'code' as kind, '/' || lower(path) as low_path from code_findings
-  union all select path, line_no, rule, severity, snippet, 'config', '/' || lower(path) from config_findings))
+_ALL = f"""{_ROUTES}, {_CONFIG_TAIL}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS}, secret_rows as ({_SECRET_ALL}), {_KNOWN},
+findings as materialized (select * exclude (low_path), left(sha256(rule || chr(0) || path || chr(0) || line_no || chr(0) || snippet), 16) as fingerprint, case when kind = 'secret' then {_FIX} else '' end as fix from (
+  select path, line_no, rule, severity, snippet, kind, severity as real_risk, case when kind = 'code' and {_TEST} then 0 else 1 end as confidence, low_path from (
+    select path, line_no, rule, severity, snippet, 'code' as kind, '/' || lower(path) as low_path from code_findings
+    union all select path, line_no, rule, severity, snippet, 'config', '' from config_findings)
+  union all select key, line_no, rule, severity, match, 'secret', real_risk, confidence, '' from secret_rows
+  union all select 'pkg:' || {_PURL} || '/' || name || '@' || version, 0, id, severity, name || '@' || version, 'vulnerability', real_risk, case when reachable then 2 else 1 end, '' from known_bad))
 """
 
 
+@query(f"{_ALL} select path, line_no, rule, severity, snippet, kind, real_risk, confidence, fingerprint, fix from findings")
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).drop("privileged")
+
+
 @query(f"{_ALL}, base as (select distinct fingerprint from findings where line_no % 5 = 0) select path, line_no, rule, fingerprint from findings where fingerprint not in (select fingerprint from base)")
 def beyond_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = findings(spark, sf_dir)
@@ -67,8 +100,7 @@ _GRADE = "case " + " ".join(f"when score >= {least} then {quoted(g)}" for least,
 r as (select count(*) as endpoints, count_if(not auth) as "open", count_if(not auth and sinks > 0) as exploitable from verdicts),
 s as (select *, greatest(0, 100 - critical * 25 - high * 12 - medium * 5 - low - exploitable * 8)::bigint as score from c, r) select *, {_GRADE} as grade from s""")
 def audit_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code_lines(spark, sf_dir)
-    return A.audit(findings(spark, sf_dir), R.verdicts(R.targets(R.routes(rows), L.code_findings(rows))))
+    return A.audit(*_judged(spark, sf_dir))
 
 
 @query(f"""{_ALL}, o as (select *, row_number() over (partition by path order by real_risk desc, line_no, rule) as n from findings)
@@ -82,8 +114,7 @@ def review_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
   union all select 1, real_risk, rule, path, line_no from (select * from findings where real_risk >= 1 order by real_risk desc, path, line_no, rule limit 8) where real_risk >= 2)
 select * from b order by part, level desc, path, line_no, what limit 6""")
 def prioritised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code_lines(spark, sf_dir)
-    return A.prioritise(findings(spark, sf_dir), R.verdicts(R.targets(R.routes(rows), L.code_findings(rows))))
+    return A.prioritise(*_judged(spark, sf_dir))
 
 
 _WAYS = {"code execution": "cwe in ('CWE-78', 'CWE-95') and not auth", "upload": "cwe = 'CWE-434'", "file inclusion": "cwe = 'CWE-22'", "internal requests": "cwe = 'CWE-918'", "database": "cwe = 'CWE-89' and not auth"}
@@ -153,13 +184,10 @@ _SERVICE = "case " + " ".join(f"when rule = {quoted(r)} then {quoted(s)}" for r,
 select coalesce(string_agg(distinct service, ',' order by service), '') as live, coalesce(string_agg(distinct case when privileged then service end, ',' order by case when privileged then service end), '') as privileged, count(distinct service) >= 2 as several from s""")
 def attack_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = F.element_at(F.array(*[F.lit(r) for r in SERVICES]), (F.col("p_partkey") % 12 + 1).cast("int"))
-    rows = table(spark, sf_dir, "part").where("p_size % 5 = 0").select(rules.alias("rule"), F.lit(True).alias("live"), (F.col("p_partkey") % 2 == 0).alias("privileged"))
+    rows = table(spark, sf_dir, "part").select(rules.alias("rule"), (F.col("p_size") % 5 == 0).alias("live"), (F.col("p_partkey") % 2 == 0).alias("privileged"))
     return A.attack_path(rows, SERVICES)
 
 
-#: Licence strings dealt to parts, and ecosystems dealt to them.
-LICENCES = ["MIT", "Apache-2.0", "GPL-3.0-only", "LGPL-2.1", "", "UNLICENSED", "AGPL-3.0", "MPL-2.0", "Proprietary", "BSD-3-Clause", "GNU General Public License"]
-ECOSYSTEMS = ["npm", "PyPI", "Go", "RubyGems", "crates.io", "Alpine:v3.19", "Debian:12"]
 _INSTALLED = f"installed as (select 'pkg' || p_partkey % 97 as name, ([{', '.join(map(quoted, LICENCES))}])[p_partkey % {len(LICENCES)} + 1] as spdx, 'node_modules/' || p_partkey as path from part)"
 
 
@@ -176,9 +204,10 @@ def _contains(column: str, parts: list[str]) -> str:
 @query(f"""with {_INSTALLED}, d as (select name, spdx, min(path) as path, upper(trim(spdx)) as s from installed group by name, spdx),
 r as (select name, spdx, path, case when s in ('', 'UNLICENSED', 'SEE LICENSE IN LICENSE') then 'unknown' when contains(s, 'AGPL') then 'strong' when contains(s, 'GPL') and not contains(s, 'LGPL') then 'strong'
   when {_contains('s', P.WEAK)} then 'weak' when {_contains('s', P.PERMISSIVE)} then 'permissive' else 'unknown' end as risk from d)
-select *, case risk when 'strong' then 3 when 'weak' then 2 else 2 end as severity from r where risk <> 'permissive'""")
+select *, case risk when 'strong' then 3 when 'weak' then 2 else 2 end as severity, case risk when 'strong' then 'license-strong-copyleft' when 'weak' then 'license-weak-copyleft' else 'license-unknown' end as rule,
+  case risk when 'strong' then 'strong copyleft' when 'weak' then 'weak copyleft' else 'unknown/missing license' end as words from r where risk <> 'permissive'""")
 def licence_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return P.licence_findings(_installed(spark, sf_dir), proprietary=True)
+    return P.licence_findings(_installed(spark, sf_dir), proprietary=True).select("*", P.licence_words(F.col("risk")).alias("w")).select("*", "w.rule", "w.words").drop("w")
 
 
 @query("with p as (select p_partkey, p_size from part) select 'lib' || p_partkey as name, '1.' || p_size as version from p where p_partkey % 6 <> 0 and p_partkey % 9 <> 0")
@@ -191,27 +220,23 @@ def dpkg_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.dpkg_packages(files)
 
 
-_PACKAGES = f"packages as (select 'pkg' || p_partkey % 61 as name, '1.' || p_size % 7 as version, ([{', '.join(map(quoted, ECOSYSTEMS))}])[p_partkey % {len(ECOSYSTEMS)} + 1] as ecosystem from part)"
-
-
 def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
     eco = F.element_at(F.array(*[F.lit(x) for x in ECOSYSTEMS]), (key % len(ECOSYSTEMS) + 1).cast("int"))
     return table(spark, sf_dir, "part").select(F.concat(F.lit("pkg"), (key % 61).cast("string")).alias("name"), F.concat(F.lit("1."), (F.col("p_size") % 7).cast("string")).alias("version"), eco.alias("ecosystem"))
 
 
-_PURL = "case string_split(ecosystem, ':')[1] " + " ".join(f"when {quoted(e)} then {quoted(t)}" for e, t in P.PURL_TYPES.items()) + " else 'generic' end"
-
-
 @query(f"with {_PACKAGES} select distinct name, version, ecosystem, 'pkg:' || {_PURL} || '/' || name || '@' || version as purl from packages")
 def sbom_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.components(_packages(spark, sf_dir))
 
 
-@query(f"""with {_PACKAGES}, adv as (select 'pkg' || s_suppkey % 61 as name, '1.' || s_suppkey % 7 as version, ([{', '.join(map(quoted, ECOSYSTEMS))}])[s_suppkey % {len(ECOSYSTEMS)} + 1] as ecosystem, 'ADV-' || s_suppkey as id, case when s_suppkey % 4 = 3 then null else (s_suppkey % 5)::int end as severity from supplier),
-imported as (select distinct 'pkg' || n_nationkey as name from nation)
-select p.name, version, ecosystem, id, coalesce(severity, 2) as severity, i.name is not null as reachable, case when i.name is null then 1 else coalesce(severity, 2) end as real_risk from (select distinct * from packages) p join adv using (name, version, ecosystem) left join imported i on i.name = p.name""")
+@query(f"with {_KNOWN} select * from known_bad")
 def vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vulnerabilities(spark, sf_dir)
+
+
+def _vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("s_suppkey")
     eco = F.element_at(F.array(*[F.lit(x) for x in ECOSYSTEMS]), (key % len(ECOSYSTEMS) + 1).cast("int"))
     adv = table(spark, sf_dir, "supplier").select(F.concat(F.lit("pkg"), (key % 61).cast("string")).alias("name"), F.concat(F.lit("1."), (key % 7).cast("string")).alias("version"), eco.alias("ecosystem"), F.concat(F.lit("ADV-"), key.cast("string")).alias("id"), F.when(key % 4 != 3, (key % 5).cast("int")).alias("severity"))
@@ -223,10 +248,226 @@ def vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tainted_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Code findings with the user input that reaches them; order-dependent, so SQL has no form of it."""
     rows = code_lines(spark, sf_dir)
-    return T.with_taint(L.code_findings(rows), T.taint(rows)).select("path", "line_no", "rule", "cwe", "user_input", "note")
+    found, no = T.with_taint(L.code_findings(rows), T.taint(rows)), F.lit(False)
+    sure = risk.confidence(F.lit("code"), F.col("rule"), F.col("path"), no, no, no, F.col("user_input"), F.lit(None).cast("boolean"))
+    return found.select("path", "line_no", "rule", "cwe", "user_input", "note", sure.alias("confidence"))
 
 
 @query()
 def controller_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attribute-routed routes; order-dependent by file, so SQL has no form of it."""
     return N.controller_routes(code_lines(spark, sf_dir))
+
+
+@query()
+def every_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of all kinds, controllers among them; order-dependent by file, so SQL has no form of it."""
+    return R.every_route(code_lines(spark, sf_dir))
+
+
+_NAMES = "['" + "', '".join(reversed(risk.SEVERITIES)) + "']"
+_ORD = "(4 - real_risk) || chr(9) || path || chr(9) || lpad(line_no::varchar, 9, '0') || chr(9) || rule || chr(9) || fingerprint"
+_Q = lambda c: f"to_json({c})::varchar"
+
+
+def _document_sql(source: str, order: str, item: str, head: str, tail: str, between: str = ",") -> str:
+    return f"""it as (select {order} as ord, {item} as item from {source}), st as (select min(ord) as first from it)
+select 1 as part, ord, case when ord = first then item else {quoted(between)} || item end as line from it, st union all select 0, '', {quoted(head)} union all select 2, '', {quoted(tail)}"""
+
+
+_DISTINCT = "(select distinct * from findings)"
+_LEVEL_NAME = "(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])"
+
+
+@query(f"{_ALL}, " + _document_sql(_DISTINCT, _ORD, f"""'{{"kind":' || {_Q('kind')} || ',"rule_id":' || {_Q('rule')} || ',"severity":"' || {_LEVEL_NAME}[severity + 1] || '","file":' || {_Q('path')} || ',"line":' || line_no || ',"match":' || {_Q('snippet')} || ',"fix":' || {_Q('fix')} || ',"real_risk":"' || {_LEVEL_NAME}[real_risk + 1] || '"}}'""", "[", "]"))
+def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.findings_json(findings(spark, sf_dir))
+
+
+@query(f"{_ALL}, " + _document_sql("(select distinct fingerprint, rule, path, snippet from findings)", "fingerprint || chr(9) || rule || chr(9) || path || chr(9) || snippet", f"""'{{"fingerprint":"' || fingerprint || '","rule":' || {_Q('rule')} || ',"file":' || {_Q('path')} || ',"note":' || {_Q('snippet')} || '}}'""", '{"entries":[', "]}"))
+def baseline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.baseline(findings(spark, sf_dir))
+
+
+@query(f"{_ALL}, " + _document_sql(_DISTINCT, _ORD, f"""'{{"ruleId":' || {_Q('rule')} || ',"level":"' || case when real_risk >= 3 then 'error' when real_risk = 2 then 'warning' else 'note' end || '","message":{{"text":' || {_Q("rule || case when fix <> '' then ' Fix: ' || fix else '' end")} || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || {_Q('path')} || '}}' || case when line_no > 0 then ',"region":{{"startLine":' || line_no || '}}' else '' end || '}}}}]}}'""", '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"riskloom","rules":[]}},"results":[', "]}]}"))
+def sarif_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.sarif(findings(spark, sf_dir))
+
+
+@query(f"with {_PACKAGES}, c as (select distinct name, version, ecosystem, 'pkg:' || {_PURL} || '/' || name || '@' || version as purl from packages), " + _document_sql("c", "name || chr(9) || version || chr(9) || ecosystem", f"""'{{"type":"library","name":' || {_Q('name')} || ',"version":' || {_Q('version')} || ',"purl":' || {_Q('purl')} || '}}'""", '{"bomFormat":"CycloneDX","specVersion":"1.5","version":1,"metadata":{"tools":[{"vendor":"riskloom","name":"riskloom"}]},"components":[', "]}"))
+def sbom_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.cyclonedx(P.components(_packages(spark, sf_dir)))
+
+
+@query(f"{_ALL}, " + _document_sql("(select distinct * from findings where real_risk >= 2)", _ORD, f"""'| ' || {_LEVEL_NAME}[real_risk + 1] || ' | ' || replace(rule, '|', '\\|') || ' | `' || path || case when line_no > 0 then ':' || line_no else '' end || '` | ' || replace(fix, '|', '\\|') || ' |'""", "| Risk | Finding | Location | Fix |\n|------|---------|----------|-----|", "", ""))
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.markdown(findings(spark, sf_dir))
+
+
+@query(SQL["audit_grade"].replace(f"select *, {_GRADE} as grade from s", f"""select '{{"grade":"' || {_GRADE} || '","score":' || score || ',"risk_counts":{{"CRITICAL":' || critical || ',"HIGH":' || high || ',"MEDIUM":' || medium || ',"LOW":' || low || ',"INFO":' || info || '}},"endpoints":' || endpoints || ',"no_auth_endpoints":' || "open" || ',"exploitable_endpoints":' || exploitable || '}}' as audit from s"""))
+def audit_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.audit_json(A.audit(*_judged(spark, sf_dir)))
+
+
+@query(f"""{_ALL}, f as (select *, max(real_risk) over (partition by path) as worst, count(*) over (partition by path) as many from findings), n as (select count(*) as findings, coalesce(max(real_risk), 0) as highest, count(distinct path) as files, count_if(real_risk = 4) as n4, count_if(real_risk = 3) as n3, count_if(real_risk = 2) as n2, count_if(real_risk = 1) as n1 from findings),
+b as (select rule || ' in ' || {_BASE} || ':' || line_no as start from f order by worst desc, many desc, path, real_risk desc, line_no, rule limit 1)
+select findings, highest, case when findings = 0 then 'APPROVE — no security issues found. LGTM.' when highest >= 3 then 'REQUEST CHANGES — high-risk issue(s) must be addressed before merge.' when highest = 2 then 'COMMENT — some issues to consider; not blocking.' else 'APPROVE — only minor notes.' end as verdict,
+  case when findings = 0 then 'This change introduces no new security risk.' else 'This change introduces ' || concat_ws(', ', case when n4 > 0 then n4 || ' critical' end, case when n3 > 0 then n3 || ' high' end, case when n2 > 0 then n2 || ' medium' end, case when n1 > 0 then n1 || ' low' end) || ' across ' || files || ' file(s). Start with ' || start || '.' end as summary from n, b""")
+def review_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.review_verdict(findings(spark, sf_dir))
+
+
+@query(f"{_ALL} select coalesce(max(real_risk), 0) >= 3 as failed from findings")
+def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.gate(findings(spark, sf_dir), "HIGH")
+
+
+@query(f"{_ALL} select path, line_no, rule, fingerprint from findings where rule not in ('idor', 'tf-public-rds', 'github-pat')")
+def enabled_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.enabled(findings(spark, sf_dir), ["idor", "tf-public-rds", "github-pat"]).select("path", "line_no", "rule", "fingerprint")
+
+
+@query(f"{_ALL} select path, line_no, rule from findings where path in (select path from code_lines where line_no = 3 and length(path) % 2 = 0)")
+def findings_in_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.in_changed_files(findings(spark, sf_dir), code_lines(spark, sf_dir).where("line_no = 3 and length(path) % 2 = 0")).select("path", "line_no", "rule")
+
+
+_LINE_SECRETS = f"{_CODE}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS}, placed_secrets as (select *, regexp_extract(key, '^(.*):', 1) as path, regexp_extract(key, ':([0-9]+)$', 1)::int as line_no from secrets)"
+
+
+def _line_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = code_lines(spark, sf_dir).select(F.struct("path", "line_no").alias("key"), F.col("line").alias("text"))
+    return L.secrets(rows).select("key.path", "key.line_no", "rule", "severity", "secret", "placeholder")
+
+
+@query(f"{_LINE_SECRETS} select path, line_no, rule, {_REDACTED} as match from placed_secrets h where line_no % 3 <> 0 and not placeholder and not exists (select 1 from placed_secrets b where b.line_no % 3 <> 1 and b.rule = h.rule and b.secret = h.secret)")
+def new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _line_secrets(spark, sf_dir).withColumnRenamed("secret", "match")
+    return C.new_secrets(rows.where("line_no % 3 <> 1"), rows.where("line_no % 3 <> 0")).select("path", "line_no", "rule", risk.redact(F.col("match")).alias("match"))
+
+
+@query(f"""{_LINE_SECRETS}, h as (select *, path || lpad(line_no::varchar, 4, '0') || rule as ord from placed_secrets where line_no % 2 = 0), f as (select secret, arg_min(rule, ord) as rule, arg_min(path, ord) as path, arg_min(line_no, ord) as line_no from h group by secret)
+select rule, path, line_no, {_REDACTED} as match from f where secret not in (select secret from placed_secrets where line_no % 2 = 1)""")
+def history_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Even lines stand for blobs of the history, odd ones for the tree."""
+    rows = _line_secrets(spark, sf_dir)
+    history = rows.where("line_no % 2 = 0").select("secret", "rule", "path", "line_no", F.concat("path", F.lpad(F.col("line_no").cast("string"), 4, "0"), "rule").alias("ord"))
+    return C.history_only(history, rows.where("line_no % 2 = 1")).select("rule", "path", "line_no", risk.redact(F.col("secret")).alias("match"))
+
+
+_SCOPED = "case when substr(h, 3, 1) < '4' then ['repo', 'read:org'] when substr(h, 3, 1) < '8' then ['admin:org'] else ['gist', 'user'] end"
+
+
+@query(f"""{_LINE_SECRETS}, a as (select path, line_no, rule, severity, placeholder, {_REDACTED} as match, md5(secret) as h from placed_secrets),
+v as (select *, substr(h, 2, 1) < '8' as validated, substr(h, 2, 1) < '8' and substr(h, 1, 1) < '8' as live, case when substr(h, 2, 1) < '8' then {_SCOPED} else [] end as s from a)
+select path, line_no, rule, match, validated, live, array_to_string(s, ',') as scopes, live and (list_contains(s, 'repo') or list_contains(s, 'admin:org')) as privileged,
+  case when placeholder then 0 when not validated then severity when live then 4 else 0 end as real_risk, case when placeholder then 0 when validated and live then 2 when rule = 'generic-high-entropy' then 0 else 1 end as confidence, {_FIX} as fix from v""")
+def validated_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers are dealt by a hash of the secret: half of all have one, half of these are live."""
+    rows = _line_secrets(spark, sf_dir)
+    h = F.md5(F.col("secret").cast("binary"))
+    digit = lambda k: F.substring(h, k, 1)
+    header = F.when(digit(3) < "4", "repo, read:org").when(digit(3) < "8", "admin:org,").otherwise(" gist , user")
+    answers = rows.where(digit(2) < "8").select("rule", "secret", (digit(1) < "8").alias("live"), header.alias("scope_header"))
+    made = K.judged(rows, answers)
+    return made.select("path", "line_no", "rule", risk.redact(F.col("secret")).alias("match"), "validated", "live", F.array_join("scopes", ",").alias("scopes"), "privileged", "real_risk", "confidence", "fix")
+
+
+_SERVICE_OF = "case " + " ".join(f"when rule = {quoted(r)} then {quoted(v)}" for r, v in SERVICES.items()) + " end"
+_MOVE = "case " + " ".join("when " + " or ".join(f"contains(service, {quoted(x)})" for x in parts) + f" then replace({quoted(text)}, '{{}}', service)" for parts, text in K.MOVES) + " end"
+
+
+@query(f"{_LIVE}, s as (select distinct {_SERVICE_OF} as service from live) select distinct {_MOVE} as move from s where service is not null")
+def lateral_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = F.element_at(F.array(*[F.lit(r) for r in SERVICES]), (F.col("p_partkey") % 12 + 1).cast("int"))
+    return K.lateral_moves(table(spark, sf_dir, "part").select(rules.alias("rule"), (F.col("p_size") % 5 == 0).alias("live")), SERVICES)
+
+
+_AWS, _AWS_SECRET = "AKIA[0-9A-Z]{16}", "[A-Za-z0-9/+]{40}"
+
+
+@query(f"""with i as (select doc_id, text, unnest(list_distinct(regexp_extract_all(text, '{_AWS}'))) as secret from documents where text is not null), p as (select doc_id, secret, list_filter(regexp_extract_all(text, '{_AWS_SECRET}'), lambda x: x <> secret)[1] as other from i)
+select doc_id, {_REDACTED} as match, other is not null as paired, {_REDACTED.replace('secret', 'other')} as partner from p""")
+def credential_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_AWS), F.lit(0)))).alias("id"))
+    rows = rows.select("doc_id", "id", K.partner(F.col("text"), F.col("id"), _AWS_SECRET).alias("other"))
+    return rows.select("doc_id", risk.redact(F.col("id")).alias("match"), F.col("other").isNotNull().alias("paired"), risk.redact(F.col("other")).alias("partner"))
+
+
+_ARN = "case p_partkey % 4 when 0 then 'arn:aws:iam::' || p_partkey || ':root' when 1 then 'arn:aws:iam::' || p_partkey || ':user/Admin' when 2 then 'arn:aws:iam::' || p_partkey || ':user/reader' else '' end"
+
+
+@query(f"with a as (select p_partkey, {_ARN} as arn from part) select p_partkey, arn, case when arn = '' then '' else p_partkey::varchar end as account, ends_with(arn, ':root') or contains(lower(arn), 'admin') or contains(lower(arn), 'root') as privileged from a")
+def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of an identity service, dealt to parts."""
+    key = F.col("p_partkey")
+    arn = F.concat(F.lit("arn:aws:iam::"), key.cast("string"), F.when(key % 4 == 0, ":root").when(key % 4 == 1, ":user/Admin").otherwise(":user/reader"))
+    body = F.when(key % 4 == 3, "<Error/>").otherwise(F.concat(F.lit("<R>\n<Arn>"), arn, F.lit("</Arn><Account>"), key.cast("string"), F.lit("</Account></R>")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", K.between(body, "<Arn>", "</Arn>").alias("arn"), K.between(body, "<Account>", "</Account>").alias("account"))
+    return rows.withColumn("privileged", K.wide_identity(F.col("arn")))
+
+
+@query(SQL["exposure_days"].split("select path, line_no, rule, greatest")[0].replace(_CODE, _ROUTES) + "select method, route, path, line_no, greatest(floor((epoch(timestamp '2000-01-01') - epoch(written)) / 86400), 0)::bigint as days from verdicts join blame using (path, line_no) where sinks > 0 and not auth")
+def open_route_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = code_lines(spark, sf_dir)
+    dates = table(spark, sf_dir, "orders").select(F.expr("o_orderkey div 24").cast("string").alias("file"), (F.expr("o_orderkey % 24") + 1).cast("int").alias("line"), F.col("o_orderdate").alias("author_time"))
+    blame = rows.select("path", F.col("line_no").alias("line"), F.regexp_extract("path", "[0-9]+", 0).alias("file")).join(dates, ["file", "line"])
+    return R.open_ages(R.verdicts(R.targets(R.routes(rows), L.code_findings(rows))), blame, F.expr("timestamp '2000-01-01'"))
+
+
+@query(f"{_CODE}, g as (select case when (line_no * 7 + length(path)) % 9 < 5 then 'role:Admin' when (line_no * 7 + length(path)) % 9 < 7 then 'auth' else '(none)' end as guard from code_lines where ends_with(path, '.cs')) select guard, count(*) as routes from g group by guard")
+def guard_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("line_no") * 7 + F.length("path")
+    rows = code_lines(spark, sf_dir).where(F.endswith("path", F.lit(".cs")))
+    return R.guard_histogram(rows.select(F.when(k % 9 < 5, "role:Admin").when(k % 9 < 7, "auth").otherwise("").alias("guard")))
+
+
+@query(f"""with d as (select p_partkey as k, ([{', '.join(map(quoted, LICENCES))}])[p_partkey % {len(LICENCES)} + 1] as s from part)
+select 'py' || k as name, case k % 3 when 0 then 'Expr-' || k when 1 then s else case when s = '' then 'MIT License' else s end end as spdx, 'site/p' || k || '.dist-info/METADATA' as path from d where k % 2 = 0
+union all select 'js' || k, s, 'x/node_modules/js' || k || '/package.json' from d where k % 2 = 1 and k % 7 <> 0""")
+def installed_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package files dealt to parts: Python metadata with a licence, a classifier and an expression, npm manifests, some without a name."""
+    key, text = F.col("p_partkey"), lambda c: c.cast("string")
+    spdx = F.element_at(F.array(*[F.lit(x) for x in LICENCES]), (key % len(LICENCES) + 1).cast("int"))
+    extra = F.when(key % 3 == 0, F.concat(F.lit("Classifier: License :: OSI Approved :: X\nLicense-Expression: Expr-"), text(key), F.lit("\n"))).when(key % 3 == 2, "Classifier: License :: OSI Approved :: MIT License\n").otherwise("")
+    python = F.concat(F.lit("Name: py"), text(key), F.lit("\nLicense: "), spdx, F.lit("\n"), extra)
+    npm = F.to_json(F.struct(F.when(key % 7 != 0, F.concat(F.lit("js"), text(key))).alias("name"), spdx.alias("license")))
+    path = F.when(key % 2 == 0, F.concat(F.lit("site/p"), text(key), F.lit(".dist-info/METADATA"))).otherwise(F.concat(F.lit("x/node_modules/js"), text(key), F.lit("/package.json")))
+    return P.installed_packages(table(spark, sf_dir, "part").select(path.alias("path"), F.when(key % 2 == 0, python).otherwise(npm).alias("content")))
+
+
+@query("select p_partkey, not (p_partkey % 4 = 1) as proprietary from part")
+def proprietary_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root manifests dealt to parts: private ones, public ones with a licence, unlicensed ones, broken ones."""
+    key = F.col("p_partkey")
+    manifest = F.when(key % 4 == 0, '{"private": true, "license": "MIT"}').when(key % 4 == 1, '{"license": "Apache-2.0"}').when(key % 4 == 2, '{"license": "unlicensed"}').otherwise("{broken")
+    return table(spark, sf_dir, "part").select("p_partkey", P.is_proprietary(manifest).alias("proprietary"))
+
+
+@query("select s_suppkey, case s_suppkey % 6 when 0 then 4 when 1 then 3 when 2 then 2 when 3 then 2 when 4 then 1 end::int as severity from supplier")
+def advisory_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    word = F.element_at(F.array(*[F.lit(w) for w in ("critical", "HIGH", "Moderate", "MEDIUM", "low", "odd")]), (F.col("s_suppkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", P.advisory_severity(word).alias("severity"))
+
+
+@query("select 'lib' || p_partkey as name, '1.' || p_size as version from part where p_partkey % 9 <> 0")
+def apk_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    text = F.concat(F.lit("C:Q1\nP:lib"), key.cast("string"), F.when(key % 9 == 0, "").otherwise(F.concat(F.lit("\nV:1."), F.col("p_size").cast("string"))), F.lit("\nA:x86"))
+    return P.apk_packages(table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 10").alias("file")).agg(F.array_join(F.collect_list(text), "\n\n").alias("content")))
+
+
+@query("select s_suppkey, case s_suppkey % 3 when 0 then 'Ubuntu:2' || s_suppkey % 5 || '.04' when 1 then 'Alpine:v3.' || s_suppkey % 5 else 'Debian:1' || s_suppkey % 5 end as ecosystem from supplier")
+def image_ecosystems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, n = F.col("s_suppkey"), (F.col("s_suppkey") % 5).cast("string")
+    text = F.when(key % 3 == 0, F.concat(F.lit('ID=ubuntu\nVERSION_ID="2'), n, F.lit('.04"'))).when(key % 3 == 1, F.concat(F.lit("ID=alpine\nVERSION_ID=3."), n, F.lit(".7"))).otherwise(F.concat(F.lit('ID=debian\nVERSION_ID="1'), n, F.lit('"')))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", P.ecosystem(text).alias("ecosystem"))
+
+
+@query("with recursive d as (select p_partkey as parent, p_partkey * 2 + p_size % 2 as child from part), r as (select distinct p_partkey as name from part where p_partkey % 50 = 1 union select child from r join d on parent = name) select 'p' || name as name from r")
+def reachable_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part depends on one of twice its number; every fiftieth is imported."""
+    named = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    rows = table(spark, sf_dir, "part")
+    imports = rows.where("p_partkey % 50 = 1").select(named(F.col("p_partkey")).alias("name"))
+    return P.reachable_packages(imports, rows.select(named(F.col("p_partkey")).alias("parent"), named(F.col("p_partkey") * 2 + F.col("p_size") % 2).alias("child")))
