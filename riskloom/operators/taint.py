@@ -128,7 +128,7 @@ def _definitions(key, file: pd.DataFrame) -> pd.DataFrame:
 
 def _called(key, file: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
     file = file.sort_values("line_no")
-    return pd.DataFrame({"name": sorted(follow(file["line"].tolist(), _ending(key[0]), set(names["name"]))[1])})
+    return pd.DataFrame({"name": sorted(follow(file["line"].tolist(), _ending(key[0]), set(names["name"]))[1])}, dtype=object)
 
 
 def _judged(key, file: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
