@@ -132,15 +132,29 @@ def block_parts(row: dict) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray], n
     return symbols, table, np.concatenate([[0], np.cumsum(np.asarray(row["doc_symbols"], np.int64))])
 
 
-def read_ids(row: dict, doc: int, start: int = 0, stop: int | None = None) -> np.ndarray:
-    """ids start to stop of the doc-th document of a block, expanding only the symbols that hold them."""
-    symbols, table, at = block_parts(row)
+def read_ids(row: dict, doc: int, start: int = 0, stop: int | None = None, end_id: int = 0) -> np.ndarray:
+    """ids start to stop of the doc-th document of a block; the lengths of rules tell which of them hold these ids, and only those are taken apart."""
+    symbols = np.frombuffer(row["symbols"], "<u2" if row["width"] == 2 else "<u4")
+    rules, lengths = np.frombuffer(row["rules"], "<u4").reshape(-1, 2), np.frombuffer(row["lengths"], "<u4")
+    first_rule, at = row["first_rule"], np.concatenate([[0], np.cumsum(np.asarray(row["doc_symbols"], np.int64))])
     own = symbols[at[doc] : at[doc + 1]].astype(np.int64)
-    ends = np.cumsum(table[1][own + 1] - table[1][own])
+    size = np.ones(len(own), np.int64)
+    ruled = own >= first_rule
+    size[ruled] = lengths[own[ruled] - first_rule]
+    ends = np.cumsum(size)
     stop = int(ends[-1]) if stop is None else min(stop, int(ends[-1]))
     first, last = int(np.searchsorted(ends, start, side="right")), int(np.searchsorted(ends, stop, side="left"))
-    before = int(ends[first - 1]) if first else 0
-    return decode_symbols(own[first : last + 1], table)[start - before : stop - before]
+    todo, out, place = own[first : last + 1][::-1].tolist(), [], int(ends[first - 1]) if first else 0
+    while todo and place < stop:
+        s = todo.pop()
+        n = int(lengths[s - first_rule]) if s >= first_rule else 1
+        if s >= first_rule and place + n > start:
+            todo += [int(rules[s - first_rule, 1]), int(rules[s - first_rule, 0])]
+            continue
+        if place >= start:
+            out.append(end_id if s == first_rule - 1 else s)
+        place += n
+    return np.array(out, np.uint32)
 
 
 def _encode(path: str, rule: GrammarRule):
