@@ -73,7 +73,7 @@ def presence(text: pa.Array, columns: np.ndarray, width: int) -> np.ndarray:
 def kernel(found: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
     """Common n-grams over the geometric mean of both numbers of n-grams."""
     x = found.astype(np.float32)
-    common = x @ landmarks.astype(np.float32).T
+    common = x @ landmarks.astype(np.float32, copy=False).T
     sizes = np.sqrt(np.maximum(x.sum(axis=1), 1))[:, None] * np.sqrt(np.maximum(landmarks.sum(axis=1, dtype=np.float64), 1))[None, :]
     return common / sizes
 
@@ -141,12 +141,13 @@ def annotated(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         names = np.array([*m.languages, UNKNOWN], object)
+        marks = m.presence.astype(np.float32)
         for batch in batches:
             for part in text_slices(batch, "text", 600_000):
                 text = as_text(part.column("text"))
                 letters = pc.match_substring_regex(text, r"\p{L}").to_numpy(zero_copy_only=False)
                 if m.languages:
-                    value = kernel(presence(text, m.columns, m.presence.shape[1]), m.presence) @ m.weights
+                    value = kernel(presence(text, m.columns, m.presence.shape[1]), marks) @ m.weights
                     best = np.where(letters, value.argmax(axis=1), len(m.languages))
                     score = np.where(letters, np.clip((value.max(axis=1) + 1) / 2, 0, 1), 0.0)
                 else:
