@@ -86,9 +86,14 @@ def set_columns(sets: list[np.ndarray], rule: NearRule, with_bands: bool) -> dic
     return out
 
 
-def _signature_check(rule: NearRule):
+def _least_alike(rule: NearRule) -> float:
+    """Share of equal minima below which a pair isn't similar enough, but for a chance of five standard deviations."""
     share = rule.percent / 100
-    least = share - 5 * np.sqrt(share * (1 - share) / (rule.bands * rule.rows))
+    return share - 5 * (share * (1 - share) / (rule.bands * rule.rows)) ** 0.5
+
+
+def _signature_check(rule: NearRule):
+    least = _least_alike(rule)
 
     def run(batches):
         for batch in batches:
@@ -144,8 +149,10 @@ def near_groups(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule:
             pairs = pairs.join(t, ["a", "b"], "left_anti")
         pairs = materialise(pairs, "pairs")
         tested.append(pairs)
-        sig = pairs.join(full.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(full.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
-        likely = sig.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(rule), schema)
+        likely = pairs
+        if _least_alike(rule) * rule.bands > 1:  # else every pair that shares a band passes
+            sig = pairs.join(full.select(F.col("key").alias("a"), F.col("sig").alias("sig_a")), "a").join(full.select(F.col("key").alias("b"), F.col("sig").alias("sig_b")), "b")
+            likely = sig.select("a", "b", "sig_a", "sig_b").mapInArrow(_signature_check(rule), schema)
         whole = likely.join(full.select(F.col("key").alias("a"), F.col("shingles").alias("set_a")), "a").join(full.select(F.col("key").alias("b"), F.col("shingles").alias("set_b")), "b")
         return materialise(whole.select("a", "b", "set_a", "set_b").mapInArrow(_set_check(rule), schema), "links")
 
@@ -303,4 +310,7 @@ def _left_links(star: DataFrame, full: DataFrame, rule: NearRule) -> DataFrame:
     columns = ["pivot", "i", "j", "side", "key", "c", "size", "new", "gone"]
     tiles = x.select(*columns).unionByName(y.select(*columns)).repartition("pivot", "i", "j").sortWithinPartitions("pivot", "i", "j")
     tiles = tiles.mapInArrow(_tile_links(rule), "a binary, b binary")
-    return materialise(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    links = materialise(tiles.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    for t in (beside, numbers):
+        drop_table(t)
+    return links

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +199,17 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, k) for k in range(101, 160)] + [(7, 7), (None, 3), (5, 6)]
     made = dict(components.components(spark.createDataFrame(links, "a long, b long")).collect())
     assert made == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 160), 100)}
+    assert components.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_blocks_of_edges_become_stars():
+    order = np.random.default_rng(4).permutation(3000)
+    edges = [(max(i, i + 1), i) for i in order.tolist() if i % 1000 != 999]
+    names = [b"%05d" % k for k in range(3001)]
+    batch = pa.RecordBatch.from_pydict({"u": pa.array([names[u] for u, _ in edges], pa.binary()), "v": pa.array([names[v] for _, v in edges], pa.binary())})
+    made = {a: b for part in components._stars([batch.slice(0, 700), batch.slice(700, 0), batch.slice(700)]) for a, b in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), strict=True)}
+    assert made == {names[k]: names[k // 1000 * 1000] for k in range(3000) if k % 1000}
+    assert list(components._stars([])) == []
 
 
 def test_repeated_passages(spark, odd):
