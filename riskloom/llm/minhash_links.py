@@ -256,8 +256,23 @@ def _shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(x), len(y))
 
 
+def _forest(one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of the edges (one, other) suffice to connect all that they connect: fewer than there are nodes."""
+    nodes, at = np.unique(np.concatenate([one, other]), return_inverse=True)
+    u, v = at.reshape(2, -1)
+    root, taken = np.arange(len(nodes)), [np.zeros(0, np.int64)]
+    while len(across := np.flatnonzero(root[u] != root[v])):
+        low, high = np.minimum(root[u[across]], root[v[across]]), np.maximum(root[u[across]], root[v[across]])
+        hooked, first = np.unique(high, return_index=True)
+        taken.append(across[first])
+        root[hooked] = low[first]
+        while (root[root] != root).any():
+            root = root[root]
+    return np.concatenate(taken)
+
+
 def _tile_links(rule: NearRule):
-    """Links (a, b) of each tile between sets x outside the pivot's component and sets y, one for each x and component of y."""
+    """Links (a, b) of each tile between sets x outside the pivot's component and sets y: a forest of the components that meet."""
 
     def tile_links(tile: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         none = np.zeros(0, np.int64)
@@ -278,8 +293,8 @@ def _tile_links(rule: NearRule):
         pick = lambda part, at: [part[k] for k in at]
         common = size - lost[x][:, None] - lost[y][None, :] + _shared(pick(gone, x), pick(gone, y)) + _shared(pick(new, x), pick(new, y))
         i, j = np.nonzero(apart & similar(common))
-        _, first = np.unique(np.stack([i.astype(np.uint64), c[y[j]]], axis=1), axis=0, return_index=True) if len(i) else (none, none)
-        return x[i[first]], y[j[first]]
+        taken = _forest(c[x[i]], c[y[j]])
+        return x[i[taken]], y[j[taken]]
 
     def run(batches):
         for tile in runs_of(batches, ["pivot", "i", "j"]):
@@ -297,7 +312,7 @@ def _left_links(star: DataFrame, full: DataFrame, rule: NearRule) -> DataFrame:
     Beside a pivot p a set is what it has new and what of p is gone from it, both short, and
     |x & y| = |p| - |p-x| - |p-y| + |(p-x) & (p-y)| + |(x-p) & (y-p)|, so the comparison is one of full sets. Each pair
     has a set outside the pivot's component; all others that share p are in one component already. The sets outside
-    meet the sets of the pivot in tiles of bounded size, and a tile returns one link for each set and component.
+    meet the sets of the pivot in tiles of bounded size, and a tile returns fewer links than it has sets.
     """
     beside = star.join(full.select("key", F.col("shingles").alias("set_x")), "key").join(full.select(F.col("key").alias("pivot"), F.col("shingles").alias("set_p")), "pivot")
     beside = materialise(beside.mapInArrow(_beside_pivot, "key binary, c binary, pivot binary, pivot_c binary, size int, new binary, gone binary"), "beside")

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from riskloom.llm import components, decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, queries, repair_files, substring_dedup, token_counts, url_filter
+from riskloom.llm import components, decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, minhash_links, packing, queries, repair_files, substring_dedup, token_counts, url_filter
 from riskloom.llm.bpe_merge import RankMerger
 from riskloom.llm.tokenpieces import load
 
@@ -202,6 +202,25 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
+def test_forest_connects_what_edges_connect():
+    rng = np.random.default_rng(8)
+    one, other = rng.integers(0, 300, 400).astype(np.uint64), rng.integers(0, 300, 400).astype(np.uint64)
+    taken = minhash_links._forest(one, other)
+
+    def groups(pairs):
+        of = {int(n): {int(n)} for n in np.concatenate([one, other])}
+        for a, b in pairs:
+            if of[int(a)] is not of[int(b)]:
+                both = of[int(a)] | of[int(b)]
+                of.update(dict.fromkeys(both, both))
+        return {frozenset(g) for g in of.values()}
+
+    made = groups(zip(one[taken], other[taken], strict=True))
+    assert made == groups(zip(one, other, strict=True))
+    assert len(taken) == len(np.unique(np.concatenate([one, other]))) - len(made)
+    assert len(minhash_links._forest(one[:0], other[:0])) == 0
+
+
 def test_blocks_of_edges_become_stars():
     order = np.random.default_rng(4).permutation(3000)
     edges = [(max(i, i + 1), i) for i in order.tolist() if i % 1000 != 999]
