@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, repair_files, substring_dedup, token_counts, url_filter, vector_codes
+from . import chunk_bpe, decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, repair_files, substring_dedup, token_counts, url_filter, vector_codes
 from .shared import read_table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,13 +58,19 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chunk_bpe.encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(digits, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, books = vector_codes.compressed(read_table(spark, sf_dir, "embeddings"))
     return rows.withColumn("codebooks_sha256", F.lit(vector_codes.books_sha256(books)))
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup, op12_bpe_codec, op13_vector_codes)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
