@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .bpe_merge import byte_letters
-from .shared import as_text, ragged, text_slices
+from .shared import as_text, ragged, text_bytes, text_slices, texts_of
 from .tokenpieces import ids_of, load
 
 #: Bytes that a rolling hash covers, its leading bits that are zero at a cut (so 2 KB a chunk on average), the longest chunk,
@@ -62,23 +62,6 @@ def _rolling() -> RollingHash:
     return _tools["rolling"]
 
 
-def _bytes_of(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a text array, offsets from 0."""
-    text = text.cast(pa.large_string())
-    if not len(text):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
-    raw = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
-    return raw, at - at[0]
-
-
-def _texts(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The texts raw[starts[i]:ends[i]]."""
-    sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[ragged(starts, sizes)])))
-
-
 def chunk_ends(raw: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ends, least): where the chunks of all rows end, in order, and each row's least hash at a cut (the largest number if it has none).
 
@@ -123,14 +106,12 @@ class ChunkIds:
 
     def _clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table: list[np.ndarray] = []
-        self.flat: list[np.ndarray] = []
         self.rows = np.zeros((0, 8), np.int64)
         self.ids_flat = np.zeros(0, np.uint32)
         self.bytes = 0
 
     def _learn(self, new: list[str]) -> None:
-        raw, at = _bytes_of(pa.array(new, pa.large_string()))
+        raw, at = text_bytes(pa.array(new, pa.large_string()))
         sure = np.zeros(len(raw), bool)
         if len(raw) > 1:
             sure[1:] = ((raw[1:] == 32) | (raw[1:] == 10)) & (raw[:-1] > 32) & (raw[:-1] < 127)
@@ -139,7 +120,7 @@ class ChunkIds:
         tight = high - low >= 4
         bounds = np.zeros((len(new), 4), np.int64)
         bounds[tight] = np.stack([place[low[tight]], place[low[tight] + 1], place[high[tight] - 2], place[high[tight] - 1]], axis=1)
-        spans = _texts(raw, bounds[:, :3].ravel(), bounds[:, 1:].ravel())
+        spans = texts_of(raw, bounds[:, :3].ravel(), bounds[:, 1:].ravel())
         ids, ids_at = self.base.ids(spans.cast(pa.string()))
         used = len(self.ids_flat)
         made = np.zeros((len(new), 8), np.int64)
@@ -157,10 +138,10 @@ class ChunkIds:
         """(ids, offsets) of the texts."""
         if self.bytes > MOST_BYTES:
             self._clear()
-        raw, row_at = _bytes_of(text)
+        raw, row_at = text_bytes(text)
         ends, _ = chunk_ends(raw, row_at)
         starts, ends = ends[:-1], ends[1:]
-        coded = _texts(raw, starts, ends).dictionary_encode()
+        coded = texts_of(raw, starts, ends).dictionary_encode()
         words = coded.dictionary.to_pylist()
         new = [w for w in words if w not in self.known]
         if new:
@@ -183,7 +164,7 @@ class ChunkIds:
         begin, end = np.empty(first_join[-1], np.int64), np.empty(first_join[-1], np.int64)
         begin[first_join[:-1]], end[first_join[1:] - 1] = row_at[:-1], row_at[1:]
         begin[before + 1], end[before] = starts + known[:, 6], starts + known[:, 5]
-        joins, at = self.base.ids(_texts(raw, begin, end).cast(pa.string()))
+        joins, at = self.base.ids(texts_of(raw, begin, end).cast(pa.string()))
         head, tail = known[:, 2] - known[:, 1], known[:, 4] - known[:, 3]
         fits = (at[before + 1] - at[before] >= head) & (at[before + 2] - at[before + 1] >= tail)
         ok = np.flatnonzero(fits)
@@ -229,7 +210,7 @@ class Decoder:
         if self.bytewise:
             joined = raw.tobytes()
             return pa.array([joined[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)], pa.large_string())
-        return _texts(raw, at[:-1], np.where(at[1:] > at[:-1], at[1:] - 1, at[1:]))
+        return texts_of(raw, at[:-1], np.where(at[1:] > at[:-1], at[1:] - 1, at[1:]))
 
 
 def _of(kind, path: str):
@@ -241,7 +222,7 @@ def _of(kind, path: str):
 
 def _with_least(batches):
     for batch in batches:
-        raw, row_at = _bytes_of(as_text(batch.column("text")))
+        raw, row_at = text_bytes(as_text(batch.column("text")))
         _, least = chunk_ends(raw, row_at)
         shared = pa.array((least >> np.uint64(1)).astype(np.int64), mask=least == np.uint64(2**64 - 1))
         yield pa.RecordBatch.from_arrays([*batch.columns, shared], [*batch.schema.names, "least_cut"])

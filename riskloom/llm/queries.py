@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunk_bpe, decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, repair_files, substring_dedup, token_counts, url_filter, vector_codes
+from . import chunk_bpe, decontaminate, embedding_dedup, language_id, license_scan, minhash_dedup, packing, phrase_graph, repair_files, substring_dedup, token_counts, url_filter, vector_codes
 from .shared import read_table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_graph.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def op12_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = chunk_bpe.encoded(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -70,8 +74,8 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup, op12_bpe_codec, op13_vector_codes)}
+    return {f.__name__: f for f in (op1_url_filter, op2_language_id, op3_token_counts, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_minhash_dedup, op8_license_scan, op9_token_output, op10_embedding_dedup, op11_phrase_mining, op12_bpe_codec, op13_vector_codes)}
 
 
 def llm_oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": url_filter.OP1_SQL, "op8_license_scan": license_scan.OP8_SQL}
+    return {"op1_url_filter": url_filter.OP1_SQL, "op8_license_scan": license_scan.OP8_SQL, "op11_phrase_mining": phrase_graph.OP11_SQL}

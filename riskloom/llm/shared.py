@@ -157,6 +157,23 @@ def as_text(text: pa.Array) -> pa.Array:
     return text.fill_null("") if text.null_count else text
 
 
+def text_bytes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of a text array without nulls, offsets from 0."""
+    text = text.cast(pa.large_string())
+    if not len(text):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    raw = np.frombuffer(text.buffers()[2], np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    return raw, at - at[0]
+
+
+def texts_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts raw[starts[i]:ends[i]]."""
+    sizes = ends - starts
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw[ragged(starts, sizes)])))
+
+
 def checked(schema: str):
     """An Arrow schema from a Spark DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
