@@ -17,7 +17,7 @@ from .tokenpieces import ids_of, load
 #: and the bytes that are hashed at a time.
 WINDOW, ZERO_BITS, LONGEST, SLICE = 48, 11, 1 << 15, 1 << 17
 #: Bytes of chunks and their ids that a worker remembers; beyond it starts again.
-MOST_BYTES = 96 << 20
+MOST_BYTES = 48 << 20
 _MULTIPLIER = 0xD1342543DE82EF95
 
 
@@ -39,18 +39,16 @@ class RollingHash:
             self.up = np.cumprod(np.concatenate([[1], np.full(n, _MULTIPLIER)]).astype(np.uint64))
             self.down = np.cumprod(np.concatenate([[1], np.full(n, pow(_MULTIPLIER, -1, 1 << 64))]).astype(np.uint64))
 
-    def cuts(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(places, hashes): where a chunk may end, which is behind each place whose hash starts with ZERO_BITS zeros."""
-        places, hashes = [], []
+    def cuts(self, raw: np.ndarray) -> np.ndarray:
+        """Where a chunk may end: behind each place whose hash starts with ZERO_BITS zeros."""
+        places = []
         with np.errstate(over="ignore"):
             for at in range(0, max(0, len(raw) - WINDOW + 1), SLICE):
                 part = raw[at : at + SLICE + WINDOW - 1]
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.value[part] * self.up[: len(part)])])
                 found = (sums[WINDOW:] - sums[:-WINDOW]) * self.down[: len(sums) - WINDOW]
-                hit = np.flatnonzero((found >> np.uint64(64 - ZERO_BITS)) == 0)
-                places.append(hit + at + WINDOW)
-                hashes.append(found[hit])
-        return (np.concatenate(places), np.concatenate(hashes)) if places else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+                places.append(np.flatnonzero((found >> np.uint64(64 - ZERO_BITS)) == 0) + at + WINDOW)
+        return np.concatenate(places) if places else np.zeros(0, np.int64)
 
 
 _tools: dict[str, object] = {}
@@ -62,30 +60,30 @@ def _rolling() -> RollingHash:
     return _tools["rolling"]
 
 
-def chunk_ends(raw: np.ndarray, row_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(ends, least): where the chunks of all rows end, in order, and each row's least hash at a cut (the largest number if it has none).
+def _sorted_set(*places: np.ndarray) -> np.ndarray:
+    """Each place once, in order."""
+    found = np.sort(np.concatenate(places))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+
+
+def chunk_ends(raw: np.ndarray, row_at: np.ndarray) -> np.ndarray:
+    """Where the chunks of all rows end, in order, after a first 0.
 
     Cuts depend on the WINDOW bytes before them alone, move on to the start of a character, and a chunk over LONGEST bytes is
     cut again; a window never spans two rows.
     """
-    at, found = _rolling().cuts(raw)
+    at = _rolling().cuts(raw)
     row = np.searchsorted(row_at, at - WINDOW, side="right") - 1
-    inside = at <= row_at[row + 1]
-    at, found, row = at[inside], found[inside], row[inside]
-    least = np.full(len(row_at) - 1, 2**64 - 1, np.uint64)
-    np.minimum.at(least, row, found)
-    ends = np.union1d(at, row_at)
-    gaps = np.diff(ends)
-    wide = np.flatnonzero(gaps > LONGEST)
+    ends = _sorted_set(at[at <= row_at[row + 1]], row_at)
+    wide = np.flatnonzero(np.diff(ends) > LONGEST)
     if len(wide):
-        extra = [np.arange(ends[k] + LONGEST, ends[k + 1], LONGEST) for k in wide]
-        ends = np.union1d(ends, np.concatenate(extra))
+        ends = _sorted_set(ends, *[np.arange(ends[k] + LONGEST, ends[k + 1], LONGEST) for k in wide])
     for _ in range(3):
         inner = ends < len(raw)
         middle = np.zeros(len(ends), bool)
         middle[inner] = (raw[ends[inner]] & 0xC0) == 0x80
         ends = ends + middle
-    return np.unique(ends), least
+    return _sorted_set(ends)
 
 
 class ChunkIds:
@@ -139,7 +137,7 @@ class ChunkIds:
         if self.bytes > MOST_BYTES:
             self._clear()
         raw, row_at = text_bytes(text)
-        ends, _ = chunk_ends(raw, row_at)
+        ends = chunk_ends(raw, row_at)
         starts, ends = ends[:-1], ends[1:]
         coded = texts_of(raw, starts, ends).dictionary_encode()
         words = coded.dictionary.to_pylist()
@@ -220,12 +218,9 @@ def _of(kind, path: str):
     return _tools[key]
 
 
-def _with_least(batches):
-    for batch in batches:
-        raw, row_at = text_bytes(as_text(batch.column("text")))
-        _, least = chunk_ends(raw, row_at)
-        shared = pa.array((least >> np.uint64(1)).astype(np.int64), mask=least == np.uint64(2**64 - 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns, shared], [*batch.schema.names, "least_cut"])
+def _content_key(text):
+    """The least hash of a text's sentences: copies and near copies mostly have the same."""
+    return F.array_min(F.transform(F.split(F.coalesce(text, F.lit("")), r"[.\n]"), lambda x: F.xxhash64(x)))
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -233,8 +228,8 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     added, and the text that it decodes from them with special tokens kept.
 
     Texts are cut into chunks by a rolling hash of their bytes, so that copies and passages that documents share give the same chunks
-    wherever they stand. Rows are dealt by their least hash at a cut, so that documents with the same content meet in a task; such a group may be split
-    by the adaptive rebalance when it is large. A worker encodes each distinct chunk once, while it remembers it (MOST_BYTES), and repairs the joins.
+    wherever they stand. Rows are dealt by the least hash of their sentences, so that documents with the same content meet in a task; a large group of them
+    is split by the adaptive rebalance. A worker encodes each distinct chunk once, while it remembers it (MOST_BYTES), and repairs the joins.
     A null text is an empty one, without ids; texts of any length and without a space go the same way, repeated rows give repeated
     results, a null doc_id stays null; further columns are ignored; an empty table gives an empty result.
     The file is one of the byte-pair kinds that tokenpieces reads.
@@ -245,11 +240,10 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         made, decoder = _of(ChunkIds, path), _of(Decoder, path)
         for batch in batches:
-            for part in text_slices(batch, "text", 4_000_000):
+            for part in text_slices(batch, "text", 2_000_000):
                 ids, at = made.ids(as_text(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, decoder.texts(ids, at).cast(pa.string())], ["doc_id", "ids", "decoded"])
 
-    rows = docs.select("doc_id", "text").mapInArrow(_with_least, f"doc_id {kind}, text string, least_cut bigint")
-    rows = rows.withColumn("least_cut", F.coalesce("least_cut", F.xxhash64("text"))).hint("rebalance", "least_cut")
+    rows = docs.select("doc_id", "text", _content_key(F.col("text")).alias("content_key")).hint("rebalance", "content_key")
     return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")
