@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 from .bpe_merge import byte_letters
 from .shared import as_text, ragged, text_bytes, text_slices, texts_of
-from .tokenpieces import ids_of, load
+from .tokenpieces import TokenIds, load
 
 #: Bytes that a rolling hash covers, its leading bits that are zero at a cut (so 2 KB a chunk on average), the longest chunk,
 #: and the bytes that are hashed at a time.
 WINDOW, ZERO_BITS, LONGEST, SLICE = 48, 11, 1 << 15, 1 << 17
-#: Bytes of chunks and their ids that a worker remembers; beyond it starts again.
-MOST_BYTES = 48 << 20
+#: Bytes of chunks and their ids, and pieces between spaces, that a worker remembers; beyond it starts again.
+MOST_BYTES, MOST_PIECES = 24 << 20, 500_000
 _MULTIPLIER = 0xD1342543DE82EF95
 
 
@@ -99,7 +99,7 @@ class ChunkIds:
     """
 
     def __init__(self, path: str):
-        self.path, self.base = path, ids_of(path)
+        self.path, self.base = path, TokenIds(path, MOST_PIECES)
         self._clear()
 
     def _clear(self) -> None:
@@ -244,6 +244,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 ids, at = made.ids(as_text(part.column("text")))
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, decoder.texts(ids, at).cast(pa.string())], ["doc_id", "ids", "decoded"])
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select("doc_id", "text", _content_key(F.col("text")).alias("content_key")).hint("rebalance", "content_key")
     return rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>, decoded string")

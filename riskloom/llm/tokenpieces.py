@@ -67,8 +67,8 @@ class Pieces:
 class TokenIds:
     """ids(texts): the ids of each text, by the library, as one array and the place where each text begins."""
 
-    def __init__(self, path: str):
-        self.pieces, self.path, self.letters = Pieces(path), path, byte_letters()
+    def __init__(self, path: str, most: int = MOST_PIECES):
+        self.pieces, self.path, self.letters, self.most = Pieces(path), path, byte_letters(), most
         self.pattern = BYTE_PRETOKENS if self.pieces.keeps_space else WORD_PRETOKENS
         self.plain = f"^ ?{PLAIN}*$|^\n$" if self.pieces.keeps_space else f"^{PLAIN}*$"
         self._clear()
@@ -118,7 +118,7 @@ class TokenIds:
         flat, row_at, whole = self.pieces.cut(text)
         coded = pc.dictionary_encode(flat)
         words = coded.dictionary.to_pylist()
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > self.most:
             self._clear()
         get = self.known.get
         place = [get(w, -1) for w in words]
