@@ -36,8 +36,7 @@ class RollingHash:
         n = SLICE + WINDOW
         self.value = _mixed(256)
         with np.errstate(over="ignore"):
-            self.up = np.cumprod(np.concatenate([[1], np.full(n, _MULTIPLIER)]).astype(np.uint64))
-            self.down = np.cumprod(np.concatenate([[1], np.full(n, pow(_MULTIPLIER, -1, 1 << 64))]).astype(np.uint64))
+            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_MULTIPLIER, pow(_MULTIPLIER, -1, 1 << 64)))
 
     def cuts(self, raw: np.ndarray) -> np.ndarray:
         """Where a chunk may end: behind each place whose hash starts with ZERO_BITS zeros."""
