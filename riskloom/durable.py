@@ -1,9 +1,11 @@
-"""Checkpoints that outlive executors."""
+"""Checkpoints that outlive executors, and scopes that delete them when a result is on storage."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,10 +28,50 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written, once, as a table in the folder of spark.checkpoint.dir and read from there."""
+#: Paths of the innermost scope of the running thread or task, and the scope around it.
+_scope: ContextVar[tuple[list[str], object] | None] = ContextVar("scope", default=None)
+
+
+def checkpointed(df: DataFrame, label: str = "table") -> DataFrame:
+    """df written, once, as a table in the folder of spark.checkpoint.dir and read from there. A scope around deletes it at its end."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if _scope.get():
+        _scope.get()[0].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch_tables():
+    """Tables that are written inside are deleted at its end, but for the one whose frame is given to keep().
+
+    What is kept belongs to the scope around, if there is one. Frames other than the kept one can't be read afterwards. Scopes of
+    different threads don't meet.
+    """
+    own: list[str] = []
+    outer = _scope.get()
+    token = _scope.set((own, outer))
+    used: list[SparkSession] = []
+
+    def keep(df: DataFrame, label: str = "table") -> DataFrame:
+        used.append(df.sparkSession)
+        df = checkpointed(df, label)
+        last = own.pop()
+        if outer:
+            outer[0].append(last)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scope.reset(token)
+        spark = used[0] if used else SparkSession.getActiveSession()
+        for path in own if spark else ():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import risk
+from . import contain, ordinals
 
 
 def beyond_baseline(findings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -30,19 +31,27 @@ def introduced(findings: DataFrame, changed: DataFrame) -> DataFrame:
     return rows.withColumn("introduced", F.col("new_file") | F.coalesce("hit", F.lit(False))).drop("new_file", "hit")
 
 
-def changed_lines(diff: DataFrame) -> DataFrame:
-    """(path, line) of the added lines of a unified diff without context, given as diff(ord, text).
+def changed_lines(diff: DataFrame, untracked: DataFrame | None = None) -> DataFrame:
+    """(path, line) of the added lines of a unified diff without context, given as diff(ord, text); new files of untracked(path) have line 0.
 
-    The file is the last `+++ b/` header, the line the start of the last hunk plus the added lines since.
+    The file is the last `+++ b/` header, the line the start of the last hunk plus the added lines since. Both are carried forward
+    over runs of the order, so a diff of any length is no single task.
     """
-    order = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    path = F.when(F.col("text").startswith("+++ "), F.regexp_extract("text", r"^\+\+\+ (?:b/)?(.*)$", 1))
-    start = F.when(F.col("text").startswith("@@"), F.regexp_extract("text", r"\+(\d+)", 1).cast("int"))
-    rows = diff.withColumns({"path": F.last(path, ignorenulls=True).over(order), "hunk": F.last(start, ignorenulls=True).over(order), "hunk_at": F.last(F.when(start.isNotNull(), F.col("ord")), ignorenulls=True).over(order)})
-    added = F.col("text").startswith("+") & ~F.col("text").startswith("+++")
-    in_hunk = Window.partitionBy("hunk_at").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("n", F.count_if(added).over(in_hunk)).where(added & F.col("hunk").isNotNull() & (F.col("path") != "/dev/null"))
-    return rows.select("path", (F.col("hunk") + F.col("n") - 1).cast("int").alias("line"))
+    order = [F.col("ord")]
+    text = F.col("text")
+    added = F.startswith(text, F.lit("+")) & ~F.startswith(text, F.lit("+++"))
+    hunk = F.regexp_extract(text, r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1)
+    rows = ordinals.running(ordinals.runs(diff.select("ord", "text"), *order), order, added.cast("int"), "n")
+    header = F.when(text.rlike(r"^\+\+\+ b/"), F.regexp_extract(text, r"^\+\+\+ b/(.*)$", 1))
+    start = F.when(hunk != "", F.struct(hunk.cast("bigint").alias("line"), F.col("n").alias("n")))
+    rows = ordinals.carried(rows, order, {"path": header, "hunk": start}).where(added & (F.coalesce("path", F.lit("")) != ""))
+    out = rows.select("path", (F.coalesce("hunk.line", F.lit(0)) + F.col("n") - F.coalesce("hunk.n", F.lit(0)) - 1).cast("int").alias("line")).distinct()
+    return out if untracked is None else out.unionByName(untracked.select("path", F.lit(0).alias("line")).distinct())
+
+
+def changed_files(diff: DataFrame, untracked: DataFrame) -> DataFrame:
+    """(path) of the files that a list of changed names and a list of new files hold."""
+    return diff.select("path").union(untracked.select("path")).where("path is not null and trim(path) <> ''").distinct()
 
 
 def new_secrets(base: DataFrame, head: DataFrame) -> DataFrame:
@@ -58,9 +67,9 @@ def resolved(base: DataFrame, head: DataFrame) -> DataFrame:
 
 
 def history_only(history: DataFrame, tree: DataFrame) -> DataFrame:
-    """Secrets of history(secret, rule, ord) that no file of tree(secret) holds any more, the first blob of each value."""
+    """Secrets of history(secret, rule, ord) that stand in no text of tree(text) any more, anywhere in it; the first blob of each value."""
     first = history.groupBy("secret").agg(F.min_by(F.struct(*[c for c in history.columns if c != "secret"]), "ord").alias("r")).select("secret", "r.*")
-    return first.join(tree.select("secret").distinct(), "secret", "left_anti")
+    return contain.standing_nowhere(first.withColumnRenamed("secret", "needle"), tree).withColumnRenamed("needle", "secret")
 
 
 def exposure(findings: DataFrame, blame: DataFrame, now: Column) -> DataFrame:

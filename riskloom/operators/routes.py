@@ -84,6 +84,11 @@ def verdicts(joined: DataFrame) -> DataFrame:
     return rows.withColumns({"verdict": verdict, "score": score})
 
 
+def surface_points(auth: Column, user_input: Column) -> Column:
+    """How soon a route is worth a look: two points where it is open, one where it takes input."""
+    return F.when(auth, 0).otherwise(2) + F.when(user_input, 1).otherwise(0)
+
+
 def auth_anomalies(found: DataFrame) -> DataFrame:
     """Open routes beside guarded ones with the same first fixed path segment."""
     segment = F.regexp_extract("route", "^/*([^/]*)", 1)

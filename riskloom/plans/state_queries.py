@@ -332,7 +332,7 @@ def findings_in_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.in_changed_files(findings(spark, sf_dir), code_lines(spark, sf_dir).where("line_no = 3 and length(path) % 2 = 0")).select("path", "line_no", "rule")
 
 
-_LINE_SECRETS = f"{_CODE}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS}, placed_secrets as (select *, regexp_extract(key, '^(.*):', 1) as path, regexp_extract(key, ':([0-9]+)$', 1)::int as line_no from secrets)"
+_LINE_SECRETS = f"{_CODE}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS}, placed_secrets as materialized (select *, regexp_extract(key, '^(.*):', 1) as path, regexp_extract(key, ':([0-9]+)$', 1)::int as line_no from secrets)"
 
 
 def _line_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -340,19 +340,20 @@ def _line_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.secrets(rows).select("key.path", "key.line_no", "rule", "severity", "secret", "placeholder")
 
 
-@query(f"{_LINE_SECRETS} select path, line_no, rule, {_REDACTED} as match from placed_secrets h where line_no % 3 <> 0 and not placeholder and not exists (select 1 from placed_secrets b where b.line_no % 3 <> 1 and b.rule = h.rule and b.secret = h.secret)")
+@query(f"{_LINE_SECRETS} select path, line_no, rule, {_REDACTED} as match from placed_secrets h anti join (select distinct rule, secret from placed_secrets where line_no % 3 <> 1) b using (rule, secret) where line_no % 3 <> 0 and not placeholder")
 def new_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _line_secrets(spark, sf_dir).withColumnRenamed("secret", "match")
     return C.new_secrets(rows.where("line_no % 3 <> 1"), rows.where("line_no % 3 <> 0")).select("path", "line_no", "rule", risk.redact(F.col("match")).alias("match"))
 
 
 @query(f"""{_LINE_SECRETS}, h as (select *, path || lpad(line_no::varchar, 4, '0') || rule as ord from placed_secrets where line_no % 2 = 0), f as (select secret, arg_min(rule, ord) as rule, arg_min(path, ord) as path, arg_min(line_no, ord) as line_no from h group by secret)
-select rule, path, line_no, {_REDACTED} as match from f where secret not in (select secret from placed_secrets where line_no % 2 = 1)""")
+select rule, path, line_no, {_REDACTED} as match from f where not exists (select 1 from code_lines t where t.line_no % 2 = 1 and contains(t.line, f.secret))""")
 def history_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even lines stand for blobs of the history, odd ones for the tree."""
     rows = _line_secrets(spark, sf_dir)
     history = rows.where("line_no % 2 = 0").select("secret", "rule", "path", "line_no", F.concat("path", F.lpad(F.col("line_no").cast("string"), 4, "0"), "rule").alias("ord"))
-    return C.history_only(history, rows.where("line_no % 2 = 1")).select("rule", "path", "line_no", risk.redact(F.col("secret")).alias("match"))
+    tree = code_lines(spark, sf_dir).where("line_no % 2 = 1").select(F.col("line").alias("text"))
+    return C.history_only(history, tree).select("rule", "path", "line_no", risk.redact(F.col("secret")).alias("match"))
 
 
 _SCOPED = "case when substr(h, 3, 1) < '4' then ['repo', 'read:org'] when substr(h, 3, 1) < '8' then ['admin:org'] else ['gist', 'user'] end"

@@ -1,7 +1,7 @@
 import pytest
 from conftest import rows_of
 
-from riskloom.plans import state_queries  # noqa: F401
+from riskloom.plans import history_queries, state_queries  # noqa: F401
 from riskloom.plans.queries import QUERIES, SQL
 
 
