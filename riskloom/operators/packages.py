@@ -87,16 +87,16 @@ def npm_licence(metadata: Column) -> Column:
     return F.coalesce(kind, F.when(~F.startswith(F.ltrim(text), F.lit("{")), text), first, F.lit(""))
 
 
-def dpkg_packages(files: DataFrame) -> DataFrame:
-    """(name, version) of files(content): paragraphs with both, whose status says installed and not not-installed."""
+def dpkg_packages(files: DataFrame, *keep: str) -> DataFrame:
+    """(*keep, name, version) of files(*keep, content): paragraphs with both, whose status says installed and not not-installed."""
     field = lambda name: F.regexp_extract("p", rf"(?m)^{name}: *([^\n]*)", 1)
-    rows = files.select(F.explode(F.split("content", "\n\n+")).alias("p")).select(field("Package").alias("name"), field("Version").alias("version"), field("Status").alias("status"))
-    return rows.where("name <> '' and version <> ''").where((F.col("status") == "") | (F.contains("status", F.lit("installed")) & ~F.contains("status", F.lit("not-installed")))).select("name", "version")
+    rows = files.select(*keep, F.explode(F.split("content", "\n\n+")).alias("p")).select(*keep, field("Package").alias("name"), field("Version").alias("version"), field("Status").alias("status"))
+    return rows.where("name <> '' and version <> ''").where((F.col("status") == "") | (F.contains("status", F.lit("installed")) & ~F.contains("status", F.lit("not-installed")))).select(*keep, "name", "version")
 
 
-def apk_packages(files: DataFrame) -> DataFrame:
+def apk_packages(files: DataFrame, *keep: str) -> DataFrame:
     field = lambda name: F.regexp_extract("p", rf"(?m)^{name}:([^\n]*)", 1)
-    return files.select(F.explode(F.split("content", "\n\n+")).alias("p")).select(field("P").alias("name"), field("V").alias("version")).where("name <> '' and version <> ''")
+    return files.select(*keep, F.explode(F.split("content", "\n\n+")).alias("p")).select(*keep, field("P").alias("name"), field("V").alias("version")).where("name <> '' and version <> ''")
 
 
 def ecosystem(os_release: Column) -> Column:

@@ -1,16 +1,21 @@
-"""Source trees, policies and custom rules as inputs: paths are listed, files are read by Spark."""
+"""Source trees, policies and custom rules as inputs: folders are listed and files are read by tasks."""
 
 from __future__ import annotations
 
+import os
 import re
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..durable import checkpointed, scratch_tables
 from ..functions.code_patterns import ENDINGS
 from ..functions.dialect import to_java
 from ..functions.risk import SEVERITIES
+from ..shipping import ship
+from .stores import opened
 
 #: Folders that are never read, the largest file, and the bytes in which a zero byte means binary.
 SKIPPED = [".git", "node_modules", "vendor", ".venv", "venv", "__pycache__", "dist", "build", ".next", "target"]
@@ -41,28 +46,79 @@ def ignored(path: Column, patterns: list[str]) -> Column:
     return out
 
 
+def _entries(root: str):
+    """The entries of each folder of a batch: path below the root, name, bytes, and whether it is a folder. Folders behind links and what can't be read are left out."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, top = opened(root)
+        local = isinstance(system, fs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                try:
+                    found = system.get_file_info(fs.FileSelector("/".join(p for p in (top.rstrip("/"), folder) if p), allow_not_found=True))
+                except OSError:
+                    continue
+                found = [f for f in found if f.type != fs.FileType.Directory or not (local and os.path.islink(f.path))]
+                below = [f"{folder}/{f.base_name}" if folder else f.base_name for f in found]
+                yield pa.RecordBatch.from_pydict({"path": pa.array(below, pa.string()), "name": pa.array([f.base_name for f in found], pa.string()), "size": pa.array([f.size or 0 for f in found], pa.int64()), "folder": pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_())})
+
+    return run
+
+
+def listed_files(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
+    """(path, size) of the files below root, hidden ones included, by tasks: each round lists the folders of one level.
+
+    Skipped folders and ignored paths are not gone into; empty files and files over 2 MiB are left out. Nothing of the tree is on the driver.
+    """
+    ship(spark)
+    with scratch_tables() as keep:
+        folders, out = spark.createDataFrame([("",)], "path string"), None
+        while True:
+            found = folders.repartition("path").mapInArrow(_entries(root), "path string, name string, size bigint, folder boolean")
+            found = checkpointed(found.where(~ignored(F.col("path"), list(patterns))))
+            files = found.where((~F.col("folder")) & (F.col("size") > 0) & (F.col("size") <= LARGEST)).select("path", "size")
+            out = files if out is None else out.unionByName(files)
+            folders = found.where(F.col("folder") & ~F.col("name").isin(SKIPPED)).select("path")
+            if folders.isEmpty():
+                return keep(out)
+
+
+def _contents(root: str):
+    def run(batches):
+        system, top = opened(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with system.open_input_stream(f"{top.rstrip('/')}/{path}") as stream:
+                        data = stream.read(LARGEST + 1)
+                except OSError:
+                    continue
+                if data and len(data) <= LARGEST and b"\0" not in data[:SNIFFED]:
+                    yield pa.RecordBatch.from_pydict({"path": [path], "content": [data.decode("utf-8", "replace")]})
+
+    return run
+
+
 def source_files(spark: SparkSession, root: str, patterns: list[str] = ()) -> DataFrame:
-    """(path, content) of the text files below root, hidden ones included: a listing by the file system, contents by Spark.
+    """(path, content) of the text files below root, which tasks list and read; a zero byte near the start means binary. Root is a URI that every task can open.
 
-    Skipped folders, ignored paths, empty files and files over 2 MiB are left out before they are read, files with a
-    zero byte near their start after.
+    Unreadable files are left out. Bytes that are no UTF-8 become the replacement character.
     """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    system = top.getFileSystem(spark._jsc.hadoopConfiguration())
-    base, rows, files = system.makeQualified(top).toString().rstrip("/"), [], system.listFiles(top, True)
-    while files.hasNext():
-        f = files.next()
-        rows.append((f.getPath().toString(), f.getLen()))
-    listed = spark.createDataFrame(rows, "file string, size long").withColumn("path", F.substring("file", len(base) + 2, 1 << 20))
-    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    kept = listed.where((F.col("size") > 0) & (F.col("size") <= LARGEST) & ~F.exists(folders, lambda d: d.isin(SKIPPED)) & ~ignored(F.col("path"), list(patterns)))
-    names = [r["file"] for r in kept.select("file").toLocalIterator()]
-    if not names:
-        return spark.createDataFrame([], "path string, content string")
-    read = spark.read.format("binaryFile").load(names)
-    read = read.where(F.expr(f"position(X'00' IN substring(content, 1, {SNIFFED})) = 0"))
-    return read.select(F.substring("path", len(base) + 2, 1 << 20).alias("path"), F.decode("content", "UTF-8").alias("content"))
+    return listed_files(spark, root, patterns).select("path").repartition("path").mapInArrow(_contents(root), "path string, content string")
+
+
+def read_ignore(root: str, name: str) -> list[str]:
+    """The patterns of the ignore file `name` in root: trimmed, without a slash at the end; none if there is no such file. Blank lines and those that start with # don't count."""
+    system, top = opened(root)
+    try:
+        with system.open_input_stream(f"{top.rstrip('/')}/{name}") as stream:
+            text = stream.read().decode("utf-8", "replace")
+    except (FileNotFoundError, OSError):
+        return []
+    lines = (line.strip() for line in text.split("\n"))
+    return [line.removesuffix("/") for line in lines if line and not line.startswith("#")]
 
 
 def source_lines(files: DataFrame) -> DataFrame:
