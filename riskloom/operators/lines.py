@@ -9,8 +9,11 @@ from ..functions import risk
 from ..functions.code_patterns import CODE_RULES, ENDINGS, GLOBAL_ANTIFORGERY, LONGEST_LINE, LOOKUP, LOOKUP_WINDOW, OWNERSHIP, PATCHES
 from ..functions.config_patterns import CONFIG_RULES, KIND_NAMES, SAFE_ASSIGNMENT
 from ..functions.dialect import to_java
+from ..functions.literals import gate
 from ..functions.secret_patterns import ASSIGNMENT, HINTS, LEAST_ENTROPY, PLACEHOLDER, SECRET_RULES
 
+#: The rule of likely secrets.
+GENERIC = "generic-high-entropy"
 ENDING = r"\.[A-Za-z0-9]+$"
 
 
@@ -47,9 +50,17 @@ def sql_text(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def folded(text: Column) -> Column:
+    """Text in lower case, with the one letter that folds to ASCII and has no such lower case."""
+    return F.replace(F.lower(text), F.lit("ſ"), F.lit("s"))
+
+
 def _matches(rules: list[tuple[int, str, str]]) -> Column:
-    """The numbers of the rules (number, condition, pattern) that hold for a row with a column line."""
-    tests = ", ".join(f"CASE WHEN {when} AND line RLIKE {sql_text(to_java(p))} THEN {k} END" for k, when, p in rules)
+    """The numbers of the rules (number, condition, pattern) that hold for a row with columns line and low, its case folded.
+
+    A pattern is tried only where a literal stands that each of its matches holds.
+    """
+    tests = ", ".join(f"CASE WHEN {when} AND ({gate(p, 'line', 'low', sql_text)}) AND line RLIKE {sql_text(to_java(p))} THEN {k} END" for k, when, p in rules)
     return F.expr(f"filter(array({tests}), k -> k IS NOT NULL)")
 
 
@@ -70,7 +81,7 @@ def code_findings(lines: DataFrame, extra: list[tuple] = ()) -> DataFrame:
     guarded = rows.where((F.col("lang") == "cs") & F.contains("line", F.lit(GLOBAL_ANTIFORGERY))).agg((F.count("*") > 0).alias("checked_globally"))
     rows = rows.where((F.octet_length("line") <= LONGEST_LINE) & ~is_comment(F.col("line"), F.col("lang")))
     spoken = lambda langs: "lang IN (" + ", ".join(map(sql_text, langs.split())) + ")"
-    hits = rows.select("path", "line_no", "line", F.explode(_matches([(k, spoken(r[3]), r[4]) for k, r in enumerate(rules)])).alias("k"))
+    hits = rows.withColumn("low", folded(F.col("line"))).select("path", "line_no", "line", F.explode(_matches([(k, spoken(r[3]), r[4]) for k, r in enumerate(rules)])).alias("k"))
     table = _rule_table(lines.sparkSession, [(k, r[0], risk.SEVERITIES.index(r[1]), r[2]) for k, r in enumerate(rules)], "k int, rule string, severity int, cwe string")
     hits = hits.join(table, "k").select("path", "line_no", "rule", "severity", "cwe", snippet(F.col("line")).alias("snippet")).crossJoin(F.broadcast(guarded))
     hits = hits.where((F.col("rule") != "cs-csrf-disabled") | F.col("checked_globally")).drop("checked_globally")
@@ -98,20 +109,41 @@ def is_placeholder(text: Column) -> Column:
     return F.rlike(text, F.lit(to_java(PLACEHOLDER))) | ((F.octet_length(text) >= 6) & (F.length(F.replace(text, F.left(text, F.lit(1)), F.lit(""))) == 0))
 
 
+def whole_texts(lines: DataFrame) -> DataFrame:
+    """(path, text, numbers): the files of lines(path, line_no, line), and the line numbers of their lines."""
+    rows = lines.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("own"))
+    return rows.select("path", F.array_join(F.col("own.line"), "\n").alias("text"), F.col("own.line_no").alias("numbers"))
+
+
+def line_feeds(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+
 def secrets(texts: DataFrame, entropy: bool = True) -> DataFrame:
-    """(key, rule, severity, secret, placeholder) of texts(key, text): all matches of the typed rules, and likely secrets.
+    """(key, rule, severity, secret, placeholder, feeds) of texts(key, text): all matches of the typed rules in whole texts, over ends of lines
+    too, and likely secrets. feeds are the line feeds before the secret.
 
-    The secret column is raw; sinks take risk.redact of it.
+    The secret column is raw; sinks take risk.redact of it. A pattern is tried only on texts with a literal that each of its matches
+    holds. Places are added up from the pieces between matches, for texts with a match alone.
     """
-    each = ", ".join(f"transform(regexp_extract_all(text, {sql_text(to_java(p))}, 0), s -> named_struct('rule', {sql_text(r)}, 'level', {sql_text(sev)}, 'secret', s))" for r, _, sev, p, _ in SECRET_RULES)
-    found = texts.select("key", F.expr(f"inline(concat({each}))"))
-    if entropy:
-        likely = texts.select("key", F.explode(F.regexp_extract_all("text", F.lit(to_java(ASSIGNMENT)), F.lit(2))).alias("secret"))
-        low = F.lower("secret")
-        likely = likely.where((F.octet_length("secret") >= 12) & ~_any([F.contains(low, F.lit(h)) for h in HINTS]) & (risk.entropy(F.col("secret")) >= LEAST_ENTROPY))
-        likely = likely.where(F.expr("NOT (" + " OR ".join(f"secret RLIKE {sql_text(to_java(r[3]))}" for r in SECRET_RULES) + ")"))
-        found = found.unionByName(likely.select("key", F.lit("generic-high-entropy").alias("rule"), F.lit("MEDIUM").alias("level"), "secret"))
-    return found.select("key", "rule", risk.severity_level(F.col("level")).alias("severity"), "secret", is_placeholder(F.col("secret")).alias("placeholder"))
+    rows = texts.select("key", "text", folded(F.col("text")).alias("low"))
+
+    def found(rule: str, level: str, pattern: str, group: int) -> str:
+        p = sql_text(to_java(pattern))
+        each = f"zip_with(regexp_extract_all(text, {p}, 0), split(text, {p}, -1), (x, y) -> named_struct('whole', x, 'piece', y))"
+        secret = f"regexp_extract(x.whole, {p}, {group})" if group else "x.whole"
+        return f"CASE WHEN ({gate(pattern, 'text', 'low', sql_text)}) AND text RLIKE {p} THEN transform({each}, (x, k) -> named_struct('rule', {sql_text(rule)}, 'level', {sql_text(level)}, 'at', k, 'secret', {secret}, 'whole', x.whole, 'piece', x.piece)) END"
+
+    rules = [(r, sev, p, 0) for r, _, sev, p, _ in SECRET_RULES] + ([(GENERIC, "MEDIUM", ASSIGNMENT, 2)] if entropy else [])
+    hits = rows.select("key", F.expr("inline(flatten(array_compact(array(" + ", ".join(found(*r) for r in rules) + "))))")).where("whole IS NOT NULL")
+    before = Window.partitionBy("key", "rule").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lead = F.when(F.col("rule") == GENERIC, line_feeds(F.col("whole"))).otherwise(line_feeds(F.regexp_extract("whole", r"^\s*", 0)))
+    hits = hits.withColumn("feeds", F.sum(line_feeds(F.col("piece")) + line_feeds(F.col("whole"))).over(before) - line_feeds(F.col("whole")) + lead)
+    secret, low = F.col("secret"), F.lower("secret")
+    likely = (F.octet_length(secret) >= 12) & ~_any([F.contains(low, F.lit(h)) for h in HINTS]) & (risk.entropy(secret) >= LEAST_ENTROPY)
+    likely = likely & F.expr("NOT (" + " OR ".join(f"secret RLIKE {sql_text(to_java(r[3]))}" for r in SECRET_RULES) + ")")
+    hits = hits.where((F.col("rule") != GENERIC) | F.when(F.col("rule") == GENERIC, likely))
+    return hits.select("key", "rule", risk.severity_level(F.col("level")).alias("severity"), "secret", is_placeholder(secret).alias("placeholder"), "feeds")
 
 
 def config_kind(path: Column, kubernetes: Column) -> Column:
@@ -135,7 +167,7 @@ def config_findings(lines: DataFrame) -> DataFrame:
     files = lines.groupBy("path").agg((starts("apiVersion:") & starts("kind:")).alias("kubernetes"))
     files = files.select("path", config_kind(F.col("path"), F.col("kubernetes")).alias("kind")).where("kind is not null")
     rows = lines.join(files, "path")
-    hits = rows.select("path", "line_no", "line", "kind", F.explode(_matches([(k, f"kind = {sql_text(r[2])}", r[3]) for k, r in enumerate(CONFIG_RULES)])).alias("k"))
+    hits = rows.withColumn("low", folded(F.col("line"))).select("path", "line_no", "line", "kind", F.explode(_matches([(k, f"kind = {sql_text(r[2])}", r[3]) for k, r in enumerate(CONFIG_RULES)])).alias("k"))
     table = _rule_table(lines.sparkSession, [(k, r[0], risk.SEVERITIES.index(r[1])) for k, r in enumerate(CONFIG_RULES)], "k int, rule string, severity int")
     hits = hits.join(table, "k").select("path", "line_no", "rule", "severity", "kind", "line")
     name = F.lower(F.regexp_extract("line", to_java(SAFE_ASSIGNMENT), 1))

@@ -88,7 +88,7 @@ sized as (select repo, blob, n, case when blob like 'e%' then 'TOKEN=ghp_' || ow
 blobs as materialized (select repo, blob, content from sized where n % 13 <> 12 and not contains(content, chr(0)))"""
 
 
-@query(f"""{_BLOB_COMMITS}, {_BLOBS}, texts as (select repo || '|' || blob as key, content as text from blobs), {_SECRETS},
+@query(f"""{_BLOB_COMMITS}, {_BLOBS}, texts as (select repo || '|' || blob as key, content as text, null::int[] as numbers from blobs), {_SECRETS},
 own_secrets as materialized (select string_split(key, '|')[1]::bigint as repo, string_split(key, '|')[2] as blob, rule, severity, secret from secrets),
 first_of as (select * from own_secrets qualify row_number() over (partition by repo, secret order by blob, rule, severity) = 1),
 newest as (select repo, commit from places qualify row_number() over (partition by repo order by place desc, commit desc) = 1),

@@ -90,49 +90,58 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CHARS = "list_filter(string_split(secret, ''), lambda c: c <> '')"
 _ENTROPY = f"list_sum(list_transform(list_distinct({_CHARS}), lambda c: -(len(list_filter({_CHARS}, lambda d: d = c))::double / len({_CHARS})) * log2(len(list_filter({_CHARS}, lambda d: d = c))::double / len({_CHARS}))))"
-_TYPED = "\nunion all ".join(f"select key, {quoted(r[0])} as rule, {_LEVEL[r[2]]} as severity, unnest(regexp_extract_all(text, {quoted(r[3])}, 0)) as secret from texts" for r in SECRET_RULES)
+def _found_sql(rule: str, level: int, pattern: str, group: int) -> str:
+    """Matches in whole texts with their line: the line feeds of all pieces and matches before."""
+    p = quoted(pattern)
+    lead = "regexp_extract(m[k], '^[\\t\\n\\f\\r ]*')" if not group else "m[k]"
+    return f"""select key, {quoted(rule)} as rule, {level} as severity, v[k] as secret, coalesce(numbers[feeds + 1], feeds + 1)::int as line_no from (select *, len(string_split(array_to_string(s[1:k], '') || array_to_string(m[1:k - 1], '') || {lead}, chr(10))) - 1 as feeds from (
+  select key, numbers, m, s, v, unnest(range(1, len(m) + 1)) as k from (select key, numbers, regexp_extract_all(text, {p}, 0) as m, regexp_extract_all(text, {p}, {group}) as v, regexp_split_to_array(text, {p}) as s from texts where regexp_matches(text, {p}))))"""
+
+
+_TYPED = "\nunion all ".join(_found_sql(r[0], _LEVEL[r[2]], r[3], 0) for r in SECRET_RULES)
+#: Over texts(key, text, numbers); numbers are the line numbers of a text's lines, or null for 1, 2, 3.
 _SECRETS = f"""typed as ({_TYPED}),
-likely as (select key, 'generic-high-entropy' as rule, 2 as severity, unnest(regexp_extract_all(text, {quoted(ASSIGNMENT)}, 2)) as secret from texts),
+likely as ({_found_sql('generic-high-entropy', 2, ASSIGNMENT, 2)}),
 secrets as (select *, regexp_matches(secret, {quoted(PLACEHOLDER)}) or (strlen(secret) >= 6 and replace(secret, left(secret, 1), '') = '') as placeholder from (
   select * from typed union all select * from likely where strlen(secret) >= 12 and not {_any_part('lower(secret)', HINTS)} and {_ENTROPY} >= {LEAST_ENTROPY}
     and not ({" or ".join(f"regexp_matches(secret, {quoted(r[3])})" for r in SECRET_RULES)})))
 """
 _REDACTED = "case when strlen(trim(secret)) <= 8 then repeat('*', strlen(trim(secret))::int) else left(trim(secret), 4) || '******' || right(trim(secret), 2) end"
-_SECRET_OUT = f"""select key, line_no, rule, {_REDACTED} as match, case when placeholder then 0 else severity end as real_risk,
+_SECRET_ALL = f"""select key, line_no, rule, {_REDACTED} as match, severity, case when placeholder then 0 else severity end as real_risk,
   case when placeholder then 0 when rule = 'generic-high-entropy' then 0 else 1 end as confidence,
-  left(sha256(rule || chr(0) || key || chr(0) || line_no || chr(0) || {_REDACTED}), 16) as fingerprint
-  from (select *, regexp_extract(key, '^(.*):', 1) as of, regexp_extract(key, ':([0-9]+)$', 1)::int as line_no from secrets) of_line"""
-_SECRET_OUT = _SECRET_OUT.replace("select key, line_no", "select own as key, line_no").replace("chr(0) || key ||", "chr(0) || own ||").replace("as of,", "as own,")
-_SECRET_ALL = _SECRET_OUT.replace("as match,", "as match, severity,")
+  left(sha256(rule || chr(0) || key || chr(0) || line_no || chr(0) || {_REDACTED}), 16) as fingerprint from secrets"""
+_SECRET_OUT = _SECRET_ALL.replace("as match, severity,", "as match,")
+_CODE_TEXTS = "texts as (select path as key, string_agg(line, chr(10) order by line_no) as text, list(line_no order by line_no) as numbers from code_lines group by path)"
+
+
+def placed_secrets(texts: DataFrame) -> DataFrame:
+    """(path, line_no, rule, severity, secret, placeholder) of whole texts(path, text, numbers); without numbers lines count from 1."""
+    own = F.struct("path", *(["numbers"] if "numbers" in texts.columns else []))
+    found = L.secrets(texts.select(own.alias("key"), "text"))
+    line = F.col("feeds") + 1
+    line = F.coalesce(F.try_element_at("key.numbers", line.cast("int")), line) if "numbers" in texts.columns else line
+    return found.select("key.path", line.cast("int").alias("line_no"), "rule", "severity", "secret", "placeholder")
 
 
-def _secret_rows(lines: DataFrame) -> DataFrame:
-    """Secrets of lines(path, line_no, line), with the place and the redacted match."""
+def _secret_rows(texts: DataFrame) -> DataFrame:
+    """Secrets of texts with their place and the redacted match."""
     no, unknown = F.lit(False), F.lit(None).cast("boolean")
-    found = L.secrets(lines.select(F.struct("path", "line_no").alias("key"), F.col("line").alias("text"))).withColumn("match", risk.redact(F.col("secret")))
+    found = placed_secrets(texts).withColumn("match", risk.redact(F.col("secret")))
     real = risk.real_risk(F.lit("secret"), F.col("severity"), F.col("placeholder"), no, no, unknown)
     sure = risk.confidence(F.lit("secret"), F.col("rule"), F.lit(""), F.col("placeholder"), no, no, no, unknown)
-    mark = risk.fingerprint(F.col("rule"), F.col("key.path"), F.col("key.line_no"), F.col("match"))
-    return found.select(F.col("key.path").alias("key"), F.col("key.line_no").alias("line_no"), "rule", "match", "severity", real.alias("real_risk"), sure.alias("confidence"), mark.alias("fingerprint"))
-
-
-def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, line_no, line) of all texts of documents; path is the id."""
-    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    return rows.select("path", (F.col("at") + 1).alias("line_no"), "line")
-
-
-_DOCUMENT_LINES = "document_lines as (select doc_id::varchar as path, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1)::int as line_no from documents where text is not null)"
+    mark = risk.fingerprint(F.col("rule"), F.col("path"), F.col("line_no"), F.col("match"))
+    return found.select(F.col("path").alias("key"), "line_no", "rule", "match", "severity", real.alias("real_risk"), sure.alias("confidence"), mark.alias("fingerprint"))
 
 
-@query(f"with {_DOCUMENT_LINES}, texts as (select path || ':' || line_no as key, line as text from document_lines), {_SECRETS} {_SECRET_OUT}")
+@query(f"with texts as (select doc_id::varchar as key, text, null::int[] as numbers from documents where text is not null), {_SECRETS} {_SECRET_OUT}")
 def secrets_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _secret_rows(document_lines(spark, sf_dir)).drop("severity")
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), "text")
+    return _secret_rows(rows).drop("severity")
 
 
-@query(f"with {CODE_LINES_SQL}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS} {_SECRET_OUT}")
+@query(f"with {CODE_LINES_SQL}, {_CODE_TEXTS}, {_SECRETS} {_SECRET_OUT}")
 def secrets_in_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _secret_rows(code_lines(spark, sf_dir)).drop("severity")
+    return _secret_rows(L.whole_texts(code_lines(spark, sf_dir))).drop("severity")
 
 
 _BASE, _DIR = "regexp_extract(path, '[^/]*$')", "regexp_extract(path, '^(.*)/', 1)"

@@ -19,18 +19,18 @@ from ..operators import packages as P
 from ..operators import routes as R
 from ..operators import taint as T
 from ..sources.derived import code_lines, quoted
-from .queries import SQL, _BASE, _CODE, _CONFIG, _REDACTED, _ROUTES, _SECRET_ALL, _SECRETS, _TEST, _secret_rows, query, table
+from .queries import SQL, _BASE, _CODE, _CONFIG, _REDACTED, _ROUTES, _SECRET_ALL, _SECRETS, _TEST, _CODE_TEXTS, _secret_rows, placed_secrets, query, table
 
 
-def findings(spark: SparkSession, sf_dir: str, code: DataFrame | None = None) -> DataFrame:
+def findings(spark: SparkSession, sf_dir: str, code: DataFrame | None = None, rows: DataFrame | None = None) -> DataFrame:
     """Findings of all scanners with risk, confidence, fingerprint and fix, written once: code, configuration, secrets, advisories."""
-    rows = code_lines(spark, sf_dir)
+    rows = checkpointed(code_lines(spark, sf_dir)) if rows is None else rows
     code = L.code_findings(rows) if code is None else code
     columns = ["path", "line_no", "rule", "severity", "snippet", "kind", "real_risk", "confidence"]
     no, unknown = F.lit(False), F.lit(None).cast("boolean")
     plain = code.withColumn("kind", F.lit("code")).select(*columns[:6]).unionByName(L.config_findings(rows).withColumn("kind", F.lit("config")).select(*columns[:6]))
     plain = plain.withColumns({"real_risk": F.col("severity"), "confidence": risk.confidence(F.col("kind"), F.col("rule"), F.col("path"), no, no, no, no, unknown)})
-    secret = _secret_rows(rows).withColumnsRenamed({"key": "path", "match": "snippet"}).withColumn("kind", F.lit("secret"))
+    secret = _secret_rows(L.whole_texts(rows)).withColumnsRenamed({"key": "path", "match": "snippet"}).withColumn("kind", F.lit("secret"))
     known = _vulnerabilities(spark, sf_dir)
     sure = risk.confidence(F.lit("vulnerability"), F.col("id"), F.lit(""), no, no, no, no, F.col("reachable"))
     known = known.select(P.purl(F.col("ecosystem"), F.col("name"), F.col("version")).alias("path"), F.lit(0).alias("line_no"), F.col("id").alias("rule"), "severity", F.concat_ws("@", "name", "version").alias("snippet"), F.lit("vulnerability").alias("kind"), "real_risk", sure.alias("confidence"))
@@ -41,9 +41,9 @@ def findings(spark: SparkSession, sf_dir: str, code: DataFrame | None = None) ->
 
 def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(findings, verdicts of routes) over one written table of code findings."""
-    rows = code_lines(spark, sf_dir)
+    rows = checkpointed(code_lines(spark, sf_dir))
     code = checkpointed(L.code_findings(rows))
-    return findings(spark, sf_dir, code), R.verdicts(R.targets(R.routes(rows), code))
+    return findings(spark, sf_dir, code, rows), R.verdicts(R.targets(R.routes(rows), code))
 
 
 #: Licence strings dealt to parts, and ecosystems dealt to them.
@@ -56,7 +56,7 @@ known_bad as (select p.name, version, ecosystem, id, coalesce(severity, 2) as se
 _PURL = "case string_split(ecosystem, ':')[1] " + " ".join(f"when {quoted(e)} then {quoted(t)}" for e, t in P.PURL_TYPES.items()) + " else 'generic' end"
 _FIX = "case rule " + " ".join(f"when {quoted(r)} then {quoted(t)}" for r, t in FIXES.items()) + f" else {quoted(OTHER_FIX)} end"
 _CONFIG_TAIL = _CONFIG[_CONFIG.index("files as (select path") :]
-_ALL = f"""{_ROUTES}, {_CONFIG_TAIL}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS}, secret_rows as ({_SECRET_ALL}), {_KNOWN},
+_ALL = f"""{_ROUTES}, {_CONFIG_TAIL}, {_CODE_TEXTS}, {_SECRETS}, secret_rows as ({_SECRET_ALL}), {_KNOWN},
 findings as materialized (select * exclude (low_path), left(sha256(rule || chr(0) || path || chr(0) || line_no || chr(0) || snippet), 16) as fingerprint, case when kind = 'secret' then {_FIX} else '' end as fix from (
   select path, line_no, rule, severity, snippet, kind, severity as real_risk, case when kind = 'code' and {_TEST} then 0 else 1 end as confidence, low_path from (
     select path, line_no, rule, severity, snippet, 'code' as kind, '/' || lower(path) as low_path from code_findings
@@ -332,12 +332,11 @@ def findings_in_changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.in_changed_files(findings(spark, sf_dir), code_lines(spark, sf_dir).where("line_no = 3 and length(path) % 2 = 0")).select("path", "line_no", "rule")
 
 
-_LINE_SECRETS = f"{_CODE}, texts as (select path || ':' || line_no as key, line as text from code_lines), {_SECRETS}, placed_secrets as materialized (select *, regexp_extract(key, '^(.*):', 1) as path, regexp_extract(key, ':([0-9]+)$', 1)::int as line_no from secrets)"
+_LINE_SECRETS = f"{_CODE}, {_CODE_TEXTS}, {_SECRETS}, placed_secrets as materialized (select *, key as path from secrets)"
 
 
 def _line_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = code_lines(spark, sf_dir).select(F.struct("path", "line_no").alias("key"), F.col("line").alias("text"))
-    return L.secrets(rows).select("key.path", "key.line_no", "rule", "severity", "secret", "placeholder")
+    return placed_secrets(L.whole_texts(code_lines(spark, sf_dir)))
 
 
 @query(f"{_LINE_SECRETS} select path, line_no, rule, {_REDACTED} as match from placed_secrets h anti join (select distinct rule, secret from placed_secrets where line_no % 3 <> 1) b using (rule, secret) where line_no % 3 <> 0 and not placeholder")
