@@ -39,10 +39,25 @@ def checkpointed(df: DataFrame, label: str = "table") -> DataFrame:
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if _scope.get():
         _scope.get()[0].append(path)
-    df.write.parquet(path)
+    with _exchanges_go(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: The setting by which the files of an execution's exchanges are deleted at its end; what it wrote doesn't need them any more.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _exchanges_go(spark: SparkSession):
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 @contextmanager
 def scratch_tables():
     """Tables that are written inside are deleted at its end, but for the one whose frame is given to keep().
