@@ -23,6 +23,8 @@ _LOWER[65:91] += 32
 #: Cells of a hot word, the inverse of the share that makes it hot, and groups that a language's candidates are dealt to before its
 #: first ones are chosen. Bytes of text that are sampled for hot words.
 CELLS, SAMPLE = 512, 32 << 20
+#: The score of a cut in decimals of up to 38 digits.
+SCORE = "(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
 
 
 @dataclass(frozen=True)
@@ -330,15 +332,15 @@ def collocations(docs: DataFrame, rule: PhraseRule = PhraseRule()) -> DataFrame:
         longest = compact.select("lang", F.explode(_grams(F.split("phrase", " "), rule.longest)).alias("phrase"), F.col("n").alias("a"))
         shorter = flows.where(F.col("words").between(2, rule.longest - 1)).select("lang", F.col("gram").alias("phrase"), F.col("n").alias("a"))
         found = materialise(longest.unionByName(shorter).withColumn("list", F.split("phrase", " ")), "candidates")
-        held = found.where(F.size("list") > 2).select("lang", "a", F.explode(F.concat(*[F.filter(_grams(F.col("list"), k), lambda g, k=k: F.size("list") > k) for k in range(2, max(3, rule.longest))])).alias("phrase"))
+        none = F.array().cast("array<string>")
+        held = found.where(F.size("list") > 2).select("lang", "a", F.explode(F.concat(*[F.when(F.size("list") > k, _grams(F.col("list"), k)).otherwise(none) for k in range(2, max(3, rule.longest))])).alias("phrase"))
         held = held.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
         free = found.join(held, ["lang", "phrase"], "left").where(F.coalesce(F.col("longer") * 100 < F.col("a") * rule.inside_percent, F.lit(True)))
         cut = free.select("lang", "phrase", "a", "list", F.explode(F.sequence(F.lit(1), F.size("list") - 1)).alias("k"))
         cut = cut.select("lang", "phrase", "a", "k", F.array_join(F.slice("list", F.lit(1), F.col("k")), " ").alias("left"), F.array_join(F.slice("list", F.col("k") + 1, F.size("list")), " ").alias("right"))
         count = flows.where("words > 0").select("lang", "gram", "n")
         cut = cut.join(count.select("lang", F.col("gram").alias("left"), F.col("n").alias("l")), ["lang", "left"]).join(count.select("lang", F.col("gram").alias("right"), F.col("n").alias("r")), ["lang", "right"])
-        score = F.expr("(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))")
-        least = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("m")).select("lang", "phrase", "a", "m.l", "m.r", "m.score")
+        least = cut.groupBy("lang", "phrase", "a").agg(F.min(F.struct(F.expr(SCORE).alias("score"), "k", "l", "r")).alias("m")).select("lang", "phrase", "a", "m.l", "m.r", "m.score")
         order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
         for part in ([F.pmod(F.xxhash64("phrase"), F.lit(CELLS))], []):
             least = least.withColumn("rank", F.row_number().over(Window.partitionBy("lang", *part).orderBy(*order)).cast("bigint")).where(F.col("rank") <= rule.top)

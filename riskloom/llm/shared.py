@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-from contextlib import contextmanager
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import shared_folder
+from ..durable import checkpointed, delete, scratch_tables, shared_folder
 from ..shipping import ship
 
 
@@ -20,48 +17,10 @@ def work_folder(spark: SparkSession) -> str:
     return shared_folder(spark)
 
 
-_scopes: list[list[str]] = []
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back: its lineage ends there, on storage that outlives an executor."""
-    spark = df.sparkSession
-    path = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    if _scopes:
-        _scopes[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@contextmanager
-def scratch():
-    """Tables that are materialised inside are deleted at its end, but for the one whose frame is given to keep().
-
-    What is kept belongs to the scope around, if there is one. Frames other than the kept one can't be read afterwards.
-    """
-    own: list[str] = []
-    kept: list[DataFrame] = []
-    _scopes.append(own)
-
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        kept.append(df := materialise(df, label))
-        own.remove(last := own[-1])
-        if len(_scopes) > 1:
-            _scopes[-2].append(last)
-        return df
-
-    try:
-        yield keep
-    finally:
-        _scopes.pop()
-        spark = kept[0].sparkSession if kept else SparkSession.getActiveSession()
-        for path in own if spark else ():
-            delete(spark, path)
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+#: Writes a frame as Parquet in the shared folder and reads it back: its lineage ends there, on storage that outlives an executor.
+materialise = checkpointed
+#: Tables that are materialised inside are deleted at its end, but for the one whose frame is given to keep().
+scratch = scratch_tables
 
 
 def drop_table(df: DataFrame) -> None:
