@@ -466,8 +466,10 @@ def test_kernel_and_languages_without_a_cap(spark):
     held = sorted(set.union(*slots))
     columns = np.full(1 << language_id.TABLE_BITS, -1, np.int32)
     columns[held] = np.arange(len(held))
-    found = language_id.presence(pa.array(texts), columns, len(held))
-    made = language_id.kernel(found, found)
+    bits, sizes = np.zeros((len(held), 1), np.uint8), np.sqrt([len(v) for v in slots])
+    for k, own in enumerate(slots):
+        bits[columns[sorted(own)], 0] |= 128 >> k
+    made, _ = language_id._kernels(pa.array(texts), columns, bits, sizes)
     assert np.allclose(made, [[len(a & b) / np.sqrt(len(a) * len(b)) for b in slots] for a in slots], atol=1e-6)
     padded = [" " + re.sub("[^a-z]", " ", t.lower()) + "   " for t in texts]
     assert [len(v) for v in slots] == [len({p[k : k + n] for n in range(1, 5) for k in range(len(p) - n + 1)}) for p in padded]
