@@ -72,6 +72,24 @@ def partner(text: Column, own: Column, pattern: str) -> Column:
     return F.try_element_at(F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda s: s != own), F.lit(1))
 
 
+#: Rules whose ids can be tried only with a partner: the pattern of the id, of the partner, and how many characters of the id aren't part of it.
+PAIRS = {"twilio-account-sid": ("AC[0-9a-fA-F]{32}", "[0-9a-fA-F]{32}", 2), "aws-access-key": ("(?:AKIA|ASIA)[A-Z0-9]{16}", "[A-Za-z0-9/+]{40}", 0)}
+
+
+def paired(texts: DataFrame) -> DataFrame:
+    """texts(text, ...) with rule, id and partner, a row for each distinct id; the partner is the first match in the text that isn't the id's own part,
+    or null. An id whose prefix also reads as hex digits is matched from its first letter, as in any text."""
+    kind = lambda rule, own, other, skip: F.transform(F.array_distinct(F.regexp_extract_all("text", F.lit(own), F.lit(0))), lambda i: F.struct(F.lit(rule).alias("rule"), i.alias("id"), partner(F.col("text"), F.substring(i, skip + 1, 1 << 20), other).alias("partner")))
+    found = F.concat(*[kind(rule, *said) for rule, said in PAIRS.items()])
+    columns = [c for c in texts.columns if c != "text"]
+    return texts.select(*columns, F.inline(found))
+
+
+def json_text(body: Column, *fields: str) -> Column:
+    """The first of these fields of a JSON object that is there and not empty, else an empty text."""
+    return F.coalesce(*[F.nullif(F.get_json_object(body, f"$.{f}"), F.lit("")) for f in fields], F.lit(""))
+
+
 def lateral_moves(secrets: DataFrame, services: dict[str, str]) -> DataFrame:
     """(move): what the live secrets of known services open, each once."""
     name = F.coalesce(*[F.when(F.col("rule") == r, F.lit(s)) for r, s in services.items()])

@@ -1,7 +1,7 @@
 import pytest
 from conftest import rows_of
 
-from riskloom.plans import dependency_queries, history_queries, source_queries, state_queries  # noqa: F401
+from riskloom.plans import dependency_queries, history_queries, report_queries, source_queries, state_queries  # noqa: F401
 from riskloom.plans.queries import QUERIES, SQL
 
 
