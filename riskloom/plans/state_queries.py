@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import checkpointed
-from ..functions import risk
+from ..functions import risk, titles
 from ..functions.fix_texts import FIXES, OTHER_FIX
 from ..functions.secret_patterns import SERVICES
 from ..operators import audit as A
@@ -275,11 +275,13 @@ def _document_sql(source: str, order: str, item: str, head: str, tail: str, betw
 select 1 as part, ord, case when ord = first then item else {quoted(between)} || item end as line from it, st union all select 0, '', {quoted(head)} union all select 2, '', {quoted(tail)}"""
 
 
+_TITLE = "case when kind = 'vulnerability' then regexp_extract(snippet, '^(.*)@', 1) || ' — ' || rule else case rule " + " ".join(f"when {quoted(r)} then {quoted(t)}" for r, t in titles.ALL_TITLES.items()) + " else rule end end"
+_CWE = "case when kind = 'code' then case rule " + " ".join(f"when {quoted(r)} then {quoted(c)}" for r, c in titles.WEAKNESSES.items()) + " end end"
 _DISTINCT = "(select distinct * from findings)"
 _LEVEL_NAME = "(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])"
 
 
-@query(f"{_ALL}, " + _document_sql(_DISTINCT, _ORD, f"""'{{"kind":' || {_Q('kind')} || ',"rule_id":' || {_Q('rule')} || ',"severity":"' || {_LEVEL_NAME}[severity + 1] || '","file":' || {_Q('path')} || ',"line":' || line_no || ',"match":' || {_Q('snippet')} || ',"fix":' || {_Q('fix')} || ',"real_risk":"' || {_LEVEL_NAME}[real_risk + 1] || '"}}'""", "[", "]"))
+@query(f"{_ALL}, " + _document_sql(_DISTINCT, _ORD, f"""'{{"kind":' || {_Q('kind')} || ',"rule_id":' || {_Q('rule')} || ',"title":' || {_Q(_TITLE)} || ',"severity":"' || {_LEVEL_NAME}[severity + 1] || '","file":' || {_Q('path')} || ',"line":' || line_no || ',"match":' || {_Q('snippet')} || ',"fix":' || {_Q('fix')} || ',"context":' || coalesce('{{"cwe":"' || {_CWE} || '","note":"' || {_CWE} || ' — pattern-based detection"}}', '{{}}') || ',"real_risk":"' || {_LEVEL_NAME}[real_risk + 1] || '"}}'""", "[", "]"))
 def findings_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.findings_json(findings(spark, sf_dir))
 
@@ -289,7 +291,7 @@ def baseline_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.baseline(findings(spark, sf_dir))
 
 
-@query(f"{_ALL}, " + _document_sql(_DISTINCT, _ORD, f"""'{{"ruleId":' || {_Q('rule')} || ',"level":"' || case when real_risk >= 3 then 'error' when real_risk = 2 then 'warning' else 'note' end || '","message":{{"text":' || {_Q("rule || case when fix <> '' then ' Fix: ' || fix else '' end")} || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || {_Q('path')} || '}}' || case when line_no > 0 then ',"region":{{"startLine":' || line_no || '}}' else '' end || '}}}}]}}'""", '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"riskloom","rules":[]}},"results":[', "]}]}"))
+@query(f"{_ALL}, " + _document_sql(_DISTINCT, _ORD, f"""'{{"ruleId":' || {_Q('rule')} || ',"level":"' || case when real_risk >= 3 then 'error' when real_risk = 2 then 'warning' else 'note' end || '","message":{{"text":' || {_Q(_TITLE + " || coalesce(' — ' || " + _CWE + " || ' — pattern-based detection', '') || case when fix <> '' then ' Fix: ' || fix else '' end")} || '}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":' || {_Q('path')} || '}}' || case when line_no > 0 then ',"region":{{"startLine":' || line_no || '}}' else '' end || '}}}}]}}'""", '{"$schema":"https://json.schemastore.org/sarif-2.1.0.json","version":"2.1.0","runs":[{"tool":{"driver":{"name":"riskloom","version":"1.0.0","rules":[]}},"results":[', "]}]}"))
 def sarif_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sarif(findings(spark, sf_dir))
 
@@ -299,7 +301,10 @@ def sbom_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.cyclonedx(P.components(_packages(spark, sf_dir)))
 
 
-@query(f"{_ALL}, " + _document_sql("(select distinct * from findings where real_risk >= 2)", _ORD, f"""'| ' || {_LEVEL_NAME}[real_risk + 1] || ' | ' || replace(rule, '|', '\\|') || ' | `' || path || case when line_no > 0 then ':' || line_no else '' end || '` | ' || replace(fix, '|', '\\|') || ' |'""", "| Risk | Finding | Location | Fix |\n|------|---------|----------|-----|", "", ""))
+@query(f"""{_ALL}, d as (select distinct * from findings), n as (select count_if(real_risk >= 2) as "real", count(*) as total from d)
+select 0 as part, '' as ord, '## riskloom security report' || chr(10) || chr(10) || case when total = 0 then 'No findings — clean scan.' else '**' || "real" || ' real risk(s)** · ' || (total - "real") || ' filtered as noise · ' || total || ' total' || chr(10) end as line from n
+union all select 0, '~', '| Risk | Finding | Location | Fix |' || chr(10) || '|------|---------|----------|-----|' from n where total > 0 union all select 2, '', chr(10) || '<sub>' || (total - "real") || ' finding(s) verified harmless and filtered out.</sub>' from n where total > "real"
+union all select 1, {_ORD}, '| ' || {_LEVEL_NAME}[real_risk + 1] || ' | ' || replace({_TITLE}, '|', '\\|') || ' | `' || path || case when line_no > 0 then ':' || line_no else '' end || '` | ' || replace(fix, '|', '\\|') || ' |' from d where real_risk >= 2""")
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.markdown(findings(spark, sf_dir))
 

@@ -102,8 +102,12 @@ def test_reports_are_documents(spark):
     found = json.loads(text(documents.findings_json(frame)))
     assert [(f["rule_id"], f["real_risk"]) for f in found] == [("github-pat", "CRITICAL"), ("py-eval-exec", "HIGH"), ("tf", "LOW")]
     results = json.loads(text(documents.sarif(frame)))["runs"][0]["results"]
-    assert [r["level"] for r in results] == ["error", "error", "note"] and "region" not in results[0]["locations"][0]["physicalLocation"] and results[0]["message"]["text"] == "github-pat Fix: Revoke | now."
+    assert [r["level"] for r in results] == ["error", "error", "note"] and "region" not in results[0]["locations"][0]["physicalLocation"] and results[0]["message"]["text"] == "GitHub Personal Access Token Fix: Revoke | now." and results[1]["message"]["text"] == "Code injection via eval()/exec() — CWE-95 — pattern-based detection"
+    assert [f["title"] for f in found] == ["GitHub Personal Access Token", "Code injection via eval()/exec()", "tf"] and found[1]["context"] == {"cwe": "CWE-95", "note": "CWE-95 — pattern-based detection"} and found[0]["context"] == {}
     assert [e["fingerprint"] for e in json.loads(text(documents.baseline(frame)))["entries"]] == ["f1", "f2", "f3"]
     assert json.loads(text(documents.findings_json(frame.where("false")))) == []
     table = [r["line"] for r in documents.markdown(frame).orderBy("part", "ord").collect()]
-    assert table[1] == "| CRITICAL | github-pat | `b|c.js` | Revoke \\| now. |" and len(table) == 4
+    assert table[0].endswith("**2 real risk(s)** · 1 filtered as noise · 3 total\n") and table[2] == "| CRITICAL | GitHub Personal Access Token | `b|c.js` | Revoke \\| now. |" and len(table) == 5 and "1 finding(s)" in table[4]
+    story = spark.createDataFrame([(0, "a line"), (3, "another")], "part int, line string")
+    assert [r["line"] for r in documents.markdown(frame, story).orderBy("part", "ord").collect()][1:4] == ["### Attack path", "- a line", "- another"]
+    assert [r["line"] for r in documents.markdown(frame.where("false"), story.where("false")).collect()] == ["## riskloom security report\n\nNo findings — clean scan."]
