@@ -142,14 +142,31 @@ def _band_rows(rule: PassageRule):
     return run
 
 
-def _member_rows(rule: PassageRule):
-    """(band, doc_id, no) of every paragraph and band."""
+#: Bits of the filter of bands that occur more than once; its size doesn't grow with them, what passes it is joined with them.
+FILTER_BITS = 24
+
+
+def _filter_of(shared: DataFrame) -> np.ndarray:
+    """A bit for the last FILTER_BITS of each band, put together in Spark, as words of 64."""
+    word = F.expr(f"shiftright(band & {(1 << FILTER_BITS) - 1}L, 6)").alias("word")
+    found = shared.select(word, F.expr("shiftleft(1L, cast(band & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
+    return out
+
+
+def _member_rows(rule: PassageRule, sent):
+    """(band, doc_id, no) of every paragraph and band that passes the filter."""
 
     def run(batches):
+        bits = sent.value
         for batch in batches:
             for part in text_slices(batch, "text"):
                 p = Paragraphs(as_text(part.column("text")), rule)
                 own, bands = p.bands()
+                slot = bands.view(np.uint64) & U((1 << FILTER_BITS) - 1)
+                held = ((bits[slot >> U(6)] >> (slot & U(63))) & U(1)).astype(bool)
+                own, bands = own[held], bands[held]
                 yield pa.RecordBatch.from_pydict({"band": bands, "doc_id": part.column("doc_id").take(pa.array(p.of_row[own])), "no": p.no[own]})
 
     return run
@@ -265,7 +282,8 @@ def _flags(rows: DataFrame, rule: PassageRule) -> DataFrame:
     kind = rows.schema["doc_id"].dataType.simpleString()
     counts = rows.select("text").mapInArrow(_band_rows(rule), "band bigint, times bigint")
     shared = materialise(counts.groupBy("band").agg(F.sum("times").alias("times")).where("times > 1").select("band"), "shared-bands")
-    members = rows.select("doc_id", "text").mapInArrow(_member_rows(rule), f"band bigint, doc_id {kind}, no bigint")
+    sent = rows.sparkSession.sparkContext.broadcast(_filter_of(shared))
+    members = rows.select("doc_id", "text").mapInArrow(_member_rows(rule, sent), f"band bigint, doc_id {kind}, no bigint")
     asked = materialise(members.join(shared, "band", "left_semi").select("doc_id", "no").distinct(), "asked")
     lists = materialise(asked.groupBy("doc_id").agg(F.collect_list("no").alias("asked")), "asked-lists")
     texts = having(rows, materialise(lists.select("doc_id"), "asked-ids"), "doc_id").join(lists, "doc_id")
