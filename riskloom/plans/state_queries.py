@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..durable import checkpointed
 from ..functions import risk, titles
+from ..functions import dotnet_patterns as DP
 from ..functions.fix_texts import FIXES, OTHER_FIX
 from ..functions.secret_patterns import SERVICES
 from ..operators import audit as A
@@ -253,18 +254,67 @@ def tainted_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", "line_no", "rule", "cwe", "user_input", "note", sure.alias("confidence"))
 
 
-@query()
+def _last_said(value: str, group: str) -> str:
+    return f"last_value({value} ignore nulls) over (partition by path, {group} order by line_no rows unbounded preceding)"
+
+
+_WS = "[\\t\\n\\x0b\\f\\r ]"
+_CS = lambda p: quoted(p.replace("\\s", _WS))
+_GUARD_OF = f"""case when regexp_matches(line, {_CS(DP.ANONYMOUS)}) then 'anonymous' when not regexp_matches(line, {_CS(DP.AUTHORIZE)}) then null
+  when regexp_matches(regexp_extract(line, {_CS(DP.ARGUMENTS)}, 1), {_CS(DP.ROLES)}) then 'role:' || regexp_extract(regexp_extract(line, {_CS(DP.ARGUMENTS)}, 1), {_CS(DP.ROLES)}, 1)
+  when regexp_matches(regexp_extract(line, {_CS(DP.ARGUMENTS)}, 1), {_CS(DP.POLICY)}) then 'policy:' || regexp_extract(regexp_extract(line, {_CS(DP.ARGUMENTS)}, 1), {_CS(DP.POLICY)}, 1) else 'auth' end"""
+_BARE = "regexp_replace(" * 4 + "{}" + ", '\\([^()]*\\)|<[^<>]*>', '', 'g')" * 4
+_CONTROLLERS = f"""cs as materialized (select path, line_no, line, {_GUARD_OF} as said, regexp_matches(line, {_CS(DP.METHOD)}) as is_method, regexp_matches(line, {_CS(DP.VERB)}) as is_verb, regexp_matches(line, {_CS(DP.CLASS)}) as is_class,
+  case when regexp_matches(line, {_CS(DP.ROUTE)}) then regexp_extract(line, {_CS(DP.ROUTE)}, 1) end as own_route from code_lines where ends_with(path, '.cs')),
+parts as (select *, coalesce(sum((is_method or is_verb or is_class)::int) over (partition by path order by line_no rows between unbounded preceding and 1 preceding), 0) as part,
+  list({{'m': is_method, 'g': said}}) over (partition by path order by line_no rows between 1 following and {DP.LINES_AHEAD} following) as below, array_to_string(list(line) over (partition by path order by line_no rows between current row and {DP.HEADER_LINES - 1} following), ' ') as header from cs),
+held as materialized (select *, coalesce({_last_said('own_route', 'part')}, '') as route, {_last_said('said', 'part')} as guard,
+  list_filter(below[1:coalesce(list_position(list_transform(below, lambda b: b.m), true) - 1, len(below))], lambda b: b.g is not null)[1].g as ahead from parts),
+class_lines as materialized (select path, line_no, regexp_extract(line, {_CS(DP.CLASS)}, 1) as class, route as prefix, guard, {_BARE.format(f"regexp_replace(string_split(header, '{{{{')[1], '^.*?' || {_CS(DP.CLASS)}, '')")} as rest from held where is_class and not is_verb),
+bases as materialized (select * exclude (rest), case when regexp_extract(rest, ':[^A-Za-z0-9_]*(\\w+)', 1) in ({', '.join(map(quoted, DP.FRAMEWORK_BASES))}) then '' else regexp_extract(rest, ':[^A-Za-z0-9_]*(\\w+)', 1) end as base from class_lines),
+verbs as (select h.path, h.line_no, h.line, h.route, h.guard, case when h.is_method then null else h.ahead end as ahead, c.class, c.prefix, c.guard as class_guard from held h asof left join bases c on h.path = c.path and h.line_no > c.line_no where h.is_verb),
+named as (select *, upper(regexp_extract(line, {_CS(DP.VERB)}, 1)) as method, trim(case when regexp_extract(line, {_CS(DP.VERB)}, 2) <> '' then regexp_extract(line, {_CS(DP.VERB)}, 2) else route end, chr(9) || chr(10) || chr(13) || ' ') as action from verbs),
+paths as (select *, case when starts_with(action, '/') then action else '/' || array_to_string(list_filter([trim(coalesce(prefix, ''), '/'), trim(action, '/')], lambda x: x <> ''), '/') end as full_path from named),
+owned as (select path, line_no, method, coalesce(class, '') as class, coalesce(case when ahead is not null and (guard is null or ahead = 'anonymous') then ahead else guard end, class_guard) as guard,
+  replace(regexp_replace(replace(replace(full_path, '[controller]', lower(regexp_replace(coalesce(class, ''), 'Controller$', ''))), '[action]', ''), {_CS(DP.CONSTRAINT)}, '{{\\1}}', 'g'), '//', '/') as route from paths),
+last_class as (select class, base, guard from bases qualify row_number() over (partition by class order by path desc, line_no desc) = 1),
+chain as (select class, base, null::varchar as inherited, 0 as depth from last_class union all select c.class, coalesce(l.base, ''), l.guard, depth + 1 from chain c left join last_class l on l.class = c.base where c.base <> '' and c.inherited is null and depth < {DP.MOST_BASES}),
+inherits as (select class, max(inherited) as inherited from chain group by class),
+above as (select line, list_filter([lag(line, 1) over w, lag(line, 2) over w, lag(line, 3) over w], lambda x: x is not null and trim(x, chr(9) || chr(13) || ' ') <> '')[1] as prior from cs window w as (partition by path order by line_no)),
+wide as (select coalesce((select bool_or(u and f) from (select bool_or(contains(line, {quoted(DP.GLOBAL_USER)})) as u, {" or ".join(f"bool_or(contains(line, {quoted(w)}))" for w in DP.GLOBAL_FILTERS)} as f from cs group by path)), false)
+  or coalesce((select bool_or(regexp_matches(line, {_CS(DP.MAP_ALL_REQUIRED)}) or (regexp_matches(line, {_CS(DP.REQUIRE_ALONE)}) and coalesce(regexp_matches(prior, {_CS(DP.MAP_ALL)}), false))) from above), false) as everywhere),
+controllers as materialized (select method, case when route = '' then '/' else route end as route, path, line_no, o.class, coalesce(guard, case when inherited <> 'anonymous' then 'auth' else inherited end, case when everywhere then 'auth' end) as said from owned o left join inherits i on i.class = o.class, wide),
+controller_routes as materialized (select method, route, path, line_no, class, case when said is null or said = 'anonymous' then '' else said end as guard, not (said is null or said = 'anonymous') as auth, method <> 'GET' or contains(route, '{{') as user_input from controllers)"""
+_RECURSIVE_ROUTES = _ROUTES.replace("with ", "with recursive ", 1)
+
+
+@query(f"{_RECURSIVE_ROUTES}, {_CONTROLLERS} select * from controller_routes")
 def controller_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attribute-routed routes; order-dependent by file, so SQL has no form of it."""
+    """Attribute-routed routes of C# controllers, with the guards of their classes and bases."""
     return N.controller_routes(code_lines(spark, sf_dir))
 
 
-@query()
+_HEAD, _TAIL = _RECURSIVE_ROUTES.split("spans as (", 1)
+_EVERY = f"""{_HEAD.replace("routes as materialized (", "plain_routes as materialized (", 1)} {_CONTROLLERS},
+guarded_routes as materialized (select method, route, framework, path, line_no, auth, user_input, rate_limited, '' as guard from plain_routes
+  union all select method, route, 'GraphQL', path, line_no, false, true, false, '' from ({SQL["graphql_routes"]}) union all select method, route, 'OpenAPI', path, line_no, false, false, false, '' from ({SQL["openapi_routes"]})
+  union all select method, route, 'ASP.NET Core', path, line_no, auth, user_input, false, guard from controller_routes),
+routes as materialized (select * exclude (guard) from guarded_routes), spans as ({_TAIL}"""
+
+
+@query(f"{_EVERY} select * from guarded_routes")
 def every_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Routes of all kinds, controllers among them; order-dependent by file, so SQL has no form of it."""
+    """Routes of all kinds, controllers and declared ones among them."""
     return R.every_route(code_lines(spark, sf_dir))
 
 
+@query(f"{_EVERY} select * from verdicts")
+def every_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exposure verdicts of routes of all kinds."""
+    rows = checkpointed(code_lines(spark, sf_dir))
+    return R.verdicts(R.targets(R.every_route(rows).drop("guard"), L.code_findings(rows)))
+
+
 _NAMES = "['" + "', '".join(reversed(risk.SEVERITIES)) + "']"
 _ORD = "(4 - real_risk) || chr(9) || path || chr(9) || lpad(line_no::varchar, 9, '0') || chr(9) || rule || chr(9) || fingerprint"
 _Q = lambda c: f"to_json({c})::varchar"
