@@ -20,6 +20,7 @@ from ..operators import packages as P
 from ..operators import routes as R
 from ..operators import taint as T
 from ..sources.derived import code_lines, quoted
+from .taint_sql import REACHED
 from .queries import SQL, _BASE, _CODE, _CONFIG, _REDACTED, _ROUTES, _SECRET_ALL, _SECRETS, _TEST, _CODE_TEXTS, _secret_rows, placed_secrets, query, table
 
 
@@ -245,9 +246,17 @@ def _vulnerabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.vulnerabilities(_packages(spark, sf_dir), adv, imported)
 
 
-@query()
+_TITLE = "case when kind = 'vulnerability' then regexp_extract(snippet, '^(.*)@', 1) || ' — ' || rule else case rule " + " ".join(f"when {quoted(r)} then {quoted(t)}" for r, t in titles.ALL_TITLES.items()) + " else rule end end"
+_CWE = "case when kind = 'code' then case rule " + " ".join(f"when {quoted(r)} then {quoted(c)}" for r, c in titles.WEAKNESSES.items()) + " end end"
+
+
+_TAINTED = f"""{_CODE.replace("with ", "with recursive ", 1)}, {REACHED},
+tainted as materialized (select c.*, (coalesce(tainted, false) and not (cwe = 'CWE-79' and coalesce(html_safe, false))) or rule = 'idor' as user_input, origin from code_findings c left join reached r on r.path = c.path and r.line_no = c.line_no)"""
+
+
+@query(f"""{_TAINTED} select path, line_no, rule, cwe, user_input, case when user_input and coalesce(origin, 0) > 0 and origin <> line_no then 'input enters at line ' || origin else '' end as note, case when {_TEST} then 0 when user_input then 2 else 1 end as confidence from (select *, '/' || lower(path) as low_path from tainted)""")
 def tainted_sinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Code findings with the user input that reaches them; order-dependent, so SQL has no form of it."""
+    """Code findings with the user input that reaches them."""
     rows = code_lines(spark, sf_dir)
     found, no = T.with_taint(L.code_findings(rows), T.taint(rows)), F.lit(False)
     sure = risk.confidence(F.lit("code"), F.col("rule"), F.col("path"), no, no, no, F.col("user_input"), F.lit(None).cast("boolean"))
@@ -294,6 +303,26 @@ def controller_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.controller_routes(code_lines(spark, sf_dir))
 
 
+@query(f"{_CODE.replace('with ', 'with recursive ', 1)}, {REACHED} select * from reached")
+def input_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the files that take part, whether input reaches it, only encoded input, and where it entered."""
+    return T.taint(code_lines(spark, sf_dir))
+
+
+@query(f"""{_ALL.replace("with ", "with recursive ", 1)}, {REACHED},
+j as (select f.*, '/' || lower(f.path) as low_path, kind = 'code' and ((coalesce(tainted, false) and not (coalesce({_CWE}, '') = 'CWE-79' and coalesce(html_safe, false))) or rule = 'idor') as user_input, origin from findings f left join reached r on r.path = f.path and r.line_no = f.line_no)
+select path, line_no, rule, kind, user_input, case when kind = 'code' and {_TEST} then 0 when kind = 'code' and user_input then 2 else confidence end as confidence, case when user_input and coalesce(origin, 0) > 0 and origin <> line_no then 'input enters at line ' || origin else '' end as note from j""")
+def confirmed_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of all scanners, those of code with the input that reaches them; where it does they are confirmed."""
+    rows = checkpointed(code_lines(spark, sf_dir))
+    every = findings(spark, sf_dir, rows=rows).withColumn("cwe", F.coalesce(titles.weakness(F.col("kind"), F.col("rule")), F.lit("")))
+    code = T.with_taint(every.where("kind = 'code'"), T.taint(rows))
+    no = F.lit(False)
+    sure = risk.confidence(F.lit("code"), F.col("rule"), F.col("path"), no, no, no, F.col("user_input"), F.lit(None).cast("boolean"))
+    others = every.where("kind <> 'code'").withColumns({"user_input": no, "note": F.lit("")})
+    return code.withColumn("confidence", sure).unionByName(others).select("path", "line_no", "rule", "kind", "user_input", "confidence", "note")
+
+
 _HEAD, _TAIL = _RECURSIVE_ROUTES.split("spans as (", 1)
 _EVERY = f"""{_HEAD.replace("routes as materialized (", "plain_routes as materialized (", 1)} {_CONTROLLERS},
 guarded_routes as materialized (select method, route, framework, path, line_no, auth, user_input, rate_limited, '' as guard from plain_routes
@@ -325,8 +354,6 @@ def _document_sql(source: str, order: str, item: str, head: str, tail: str, betw
 select 1 as part, ord, case when ord = first then item else {quoted(between)} || item end as line from it, st union all select 0, '', {quoted(head)} union all select 2, '', {quoted(tail)}"""
 
 
-_TITLE = "case when kind = 'vulnerability' then regexp_extract(snippet, '^(.*)@', 1) || ' — ' || rule else case rule " + " ".join(f"when {quoted(r)} then {quoted(t)}" for r, t in titles.ALL_TITLES.items()) + " else rule end end"
-_CWE = "case when kind = 'code' then case rule " + " ".join(f"when {quoted(r)} then {quoted(c)}" for r, c in titles.WEAKNESSES.items()) + " end end"
 _DISTINCT = "(select distinct * from findings)"
 _LEVEL_NAME = "(['INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'])"
 
