@@ -19,6 +19,7 @@ from ..operators import lines as L
 from ..operators import packages as P
 from ..operators import routes as R
 from ..operators import taint as T
+from ..sources import trees
 from ..sources.derived import code_lines, quoted
 from .taint_sql import REACHED
 from .queries import SQL, _BASE, _CODE, _CONFIG, _REDACTED, _ROUTES, _SECRET_ALL, _SECRETS, _TEST, _CODE_TEXTS, _secret_rows, placed_secrets, query, table
@@ -309,6 +310,44 @@ def input_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.taint(code_lines(spark, sf_dir))
 
 
+#: A policy file and a file of custom rules, one of them broken.
+POLICY = "# policy\nfail-on: high\ndisable: [idor, 'weak-hash']\nignore:\n  - tests\n  - \"*.rb\"\n"
+RULES = "rules:\n  - id: no-total\n    pattern: 'return total\\d+'\n    langs: [js]\n    severity: high\n    cwe: CWE-1\n  - id: broken\n    pattern: '('\n"
+_KEPT_CODE = _CODE.replace("as lang from code_lines)", "as lang from code_lines where not starts_with(path, 'tests/') and not ends_with(path, '.rb'))")
+
+
+@query(f"""{_KEPT_CODE}, c as (select path, line_no, rule, severity, cwe, snippet from code_findings where rule not in ('idor', 'weak-hash') union all select path, line_no, 'custom:no-total', 3, 'CWE-1', snippet from plain where lang = 'js' and regexp_matches(line, 'return total\\d+'))
+select *, severity >= 3 as fails from c""")
+def policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code findings under a policy: ignored paths, rules switched off, custom rules, and whether each reaches the level that fails a run."""
+    policy = trees.parse_policy(POLICY)
+    rows = code_lines(spark, sf_dir).where(~trees.ignored(F.col("path"), policy.ignore))
+    found = C.enabled(L.code_findings(rows, trees.parse_rules(RULES)), policy.disable)
+    return found.withColumn("fails", F.col("severity") >= risk.SEVERITIES.index(policy.fail_on.upper()))
+
+
+#: A code base for each supplier: input that goes through calls over files, is turned to numbers, encoded, assigned anew and lost at function ends.
+FLOWS = [
+    ("web/in_@K@.js", ["function start(req, res) {", "  const v = req.query.v;", "  const n = parseInt(v);", "  relay@K@(v);", "  count@K@(n);", "  const w = 'a' + v + 'b';", "  eval(w);", "}", "function next(a) {", "  eval(v);", "}"]),
+    ("web/mid_@K@.js", ["function relay@K@(p, q) {", "  if (p) { hop@K@(p); }", "  const safe = encodeURIComponent(p);", "  el.innerHTML = safe;", "  el.innerHTML = safe + p;", "}", "function count@K@(c) {", "  eval(c);", "}"]),
+    ("web/out_@K@.js", ["function hop@K@(z) {", "  db.query('select ' + z);", "  z = Number(z);", "  eval(z);", "}", "function lone@K@(y) {", "  eval(y);", "}"]),
+    ("py/view_@K@.py", ["def view(request):", "    q = request.args.get('q')", "    r = html.escape(q)", "    save_@K@(q, r)", "    q = 'fixed'", "    os.system(q)", "    os.system(r)"]),
+    ("py/store_@K@.py", ["def save_@K@(text, other):", "    os.system(other)", "    os.system(text)", "def twice(text):", "    os.system(text)"]),
+    ("cs/Item@K@.cs", ["public class Item@K@Controller : ControllerBase {", "[HttpGet(\"{id}\")]", "[Authorize]", "public IActionResult Get(string id, [FromQuery(Name = \"n\")] Dictionary<string, int> map, int n = 0) {", "  var name = id.Trim();", "  return Ok(svc.Fetch@K@(name, 1));", "}", "public int Plain(string id) {", "  Process.Start(id);", "}"]),
+    ("cs/Service@K@.cs", ["public class Service@K@ {", "  public Item Fetch@K@(string key, int kind) {", "    var count = int.Parse(key);", "    db.Run(count, kind);", "    return db.Run(\"x\" + key);", "  }", "}"]),
+]
+_FLOW_LINES = " union all ".join(f"select replace({quoted(path)}, '@K@', s_suppkey::varchar) as path, unnest(range(1, {len(own) + 1}))::int as line_no, unnest([{', '.join(map(quoted, own))}]) as text, s_suppkey as k from supplier" for path, own in FLOWS)
+
+
+@query(f"with recursive code_lines as materialized (select path, line_no, replace(text, '@K@', k::varchar) as line from ({_FLOW_LINES})), {REACHED} select * from reached")
+def input_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over code in which input goes from file to file."""
+    texts = [F.struct(F.lit(path).alias("head"), F.lit(n).alias("line_no"), F.lit(line).alias("text")) for path, own in FLOWS for n, line in enumerate(own, 1)]
+    k = F.col("s_suppkey").cast("string")
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(F.array(*texts))).select(F.replace("head", F.lit("@K@"), k).alias("path"), "line_no", F.replace("text", F.lit("@K@"), k).alias("line"))
+    return T.taint(rows)
+
+
 @query(f"""{_ALL.replace("with ", "with recursive ", 1)}, {REACHED},
 j as (select f.*, '/' || lower(f.path) as low_path, kind = 'code' and ((coalesce(tainted, false) and not (coalesce({_CWE}, '') = 'CWE-79' and coalesce(html_safe, false))) or rule = 'idor') as user_input, origin from findings f left join reached r on r.path = f.path and r.line_no = f.line_no)
 select path, line_no, rule, kind, user_input, case when kind = 'code' and {_TEST} then 0 when kind = 'code' and user_input then 2 else confidence end as confidence, case when user_input and coalesce(origin, 0) > 0 and origin <> line_no then 'input enters at line ' || origin else '' end as note from j""")
