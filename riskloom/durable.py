@@ -32,15 +32,15 @@ def shared_folder(spark: SparkSession) -> str:
 _scope: ContextVar[tuple[list[str], object] | None] = ContextVar("scope", default=None)
 
 
-def checkpointed(df: DataFrame, label: str = "table") -> DataFrame:
-    """df written, once, as a table in the folder of spark.checkpoint.dir and read from there. A scope around deletes it at its end."""
+def checkpointed(df: DataFrame, label: str = "table", codec: str | None = None) -> DataFrame:
+    """df written, once, as a table in the folder of spark.checkpoint.dir and read from there. A scope around deletes it at its end. codec: other than the session's."""
     spark = df.sparkSession
     ship(spark)
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if _scope.get():
         _scope.get()[0].append(path)
     with _exchanges_go(spark):
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
