@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, language_id, minhash_dedup, packing, substring_dedup
-from riskloom.llm.shared import having, materialise, read_table, scratch
+from riskloom.llm.shared import drop_table, having, materialise, read_table, scratch
 
 
 def _unused(name: str, docs: DataFrame) -> str:
@@ -23,7 +23,7 @@ def _unused(name: str, docs: DataFrame) -> str:
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text the learnt languages don't account for go, null texts and texts without a letter among them.
+    """Documents whose text the learnt languages don't account for go: null texts, texts without a letter, and texts of which the model knows too few n-grams.
 
     Rows with a null doc_id are judged like others; repeated rows all stay or all go. Without labelled rows every text
     with a letter stays. lang is read for learning only.
@@ -96,7 +96,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
+    docs, before = read_table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+        with scratch() as keep:
+            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            drop_table(before)
+        before = docs
     return docs

@@ -139,7 +139,7 @@ def near_groups(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule:
     shared = materialise(members.groupBy("band").count().where("count > 1").select("band"), "bands")
     members = materialise(members.join(shared, "band"), "members")
     drop_table(shared)
-    full = materialise(fetch(members.select("key").distinct()).dropDuplicates(["key"]), "sets")
+    full = materialise(fetch(members.select("key").distinct()).dropDuplicates(["key"]), "sets", "zstd")
     schema = "a binary, b binary"
     tested, links = [], spark.createDataFrame([], schema)
 

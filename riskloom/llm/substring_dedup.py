@@ -288,7 +288,7 @@ def _flags(rows: DataFrame, rule: PassageRule) -> DataFrame:
     lists = materialise(asked.groupBy("doc_id").agg(F.collect_list("no").alias("asked")), "asked-lists")
     texts = having(rows, materialise(lists.select("doc_id"), "asked-ids"), "doc_id").join(lists, "doc_id")
     made = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(_paragraph_rows(rule), f"doc_id {kind}, text_key bigint, no bigint, size bigint, key binary, n int, bands array<bigint>, sig binary, shingles binary")
-    units = materialise(made, "paragraphs")
+    units = materialise(made, "paragraphs", "zstd")
     here = F.struct("doc_id", "text_key", "no", "size")
     classes = materialise(units.groupBy("key", "n").agg(F.min(here).alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands")), "classes")
 
