@@ -111,24 +111,25 @@ def leaks(found: DataFrame, blobs: DataFrame, commits: DataFrame, trees: DataFra
     commit is the last of ordered(). A blob that no commit has (an object without a path) has no commit, and the place says only that.
     """
     with scratch_tables() as keep:
-        newest = commits.join(ordered(commits), ["repo", "commit"]).groupBy("repo").agg(F.max_by("tree", F.struct("place", "commit")).alias("tree"))
+        place = ordered(commits)
+        newest = commits.join(place, ["repo", "commit"]).groupBy("repo").agg(F.max_by("tree", F.struct("place", "commit")).alias("tree"))
         files = tree_files(newest, trees).select("repo", "blob").distinct()
         texts = readable(blobs).join(files, ["repo", "blob"], "left_semi").select("repo", F.col("content").alias("text"))
         first = found.groupBy("repo", F.col("secret").alias("needle")).agg(F.min(F.struct("blob", "rule", "severity")).alias("r")).select("repo", "needle", "r.*")
         gone = checkpointed(contain.standing_nowhere(first, texts, ["repo"]))
-        known = blob_commits(commits, trees).select("repo", "blob", "first_commit", F.col("first_author").alias("author"), F.col("first_time").alias("day"))
+        known = blob_commits(commits, trees, place).select("repo", "blob", "first_commit", F.col("first_author").alias("author"), F.col("first_time").alias("day"))
         out = gone.join(known, ["repo", "blob"], "left").select("repo", F.col("needle").alias("secret"), "rule", "severity", "blob", "first_commit", place_text(F.col("first_commit"), F.col("author"), F.col("day")).alias("place"), "day")
         return keep(out)
 
 
-def blob_commits(commits: DataFrame, trees: DataFrame) -> DataFrame:
+def blob_commits(commits: DataFrame, trees: DataFrame, place: DataFrame | None = None) -> DataFrame:
     """(repo, blob, first_commit, first_path, first_author, first_time, last_commit, paths): of each blob that a commit brings or takes away the first commit that brings it,
     the last one that touches it, and the number of its paths. First and last are by ordered(), then by commit and path.
 
     A merge counts for what none of its parents has at the path, so an object that came with a branch belongs to the branch's commit. paths are those
-    at which a commit brought it.
+    at which a commit brought it. place is ordered(commits), where it is known already.
     """
-    place = ordered(commits)
+    place = ordered(commits) if place is None else place
     made = changes(commits, trees)
     parents = _parents(commits).groupBy("repo", "commit").agg(F.count("*").alias("n_parents"))
     both = made.groupBy("repo", "commit", "path").agg(F.count("*").alias("n"), F.max("after").alias("after"), F.collect_set("before").alias("gone"))
