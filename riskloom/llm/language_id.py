@@ -22,7 +22,7 @@ LONGEST, TABLE_BITS = 4, 20
 class FitRule:
     """Bounds of the fit for each language, all of which are learnt: sampled texts, landmarks, n-grams, preferred length; the most landmarks
     of all languages together; ridge; what a text must reach, to be of a learnt language, of the share
-    of n-grams known that all but 2 % of the sampled texts reach."""
+    of n-grams known that all but 2 % of the sampled texts reach; the sampled texts besides landmarks without which nothing is said of that."""
 
     texts: int = 200
     landmarks: int = 40
@@ -32,6 +32,7 @@ class FitRule:
     ridge: float = 0.01
     seed: int = 11
     evidence: float = 0.35
+    aside: int = 20
 
 
 @dataclass
@@ -153,7 +154,8 @@ def fit(docs: DataFrame, rule: FitRule = FitRule()) -> Model:
     for at in range(0, len(held), 4096):
         weights[at : at + 4096] = np.unpackbits(bits[at : at + 4096], axis=1, count=len(landmark)) @ each
     others = np.setdiff1d(np.arange(len(texts)), landmark)
-    return Model(languages, columns, weights, rule.evidence * float(np.quantile(share[others if len(others) else np.arange(len(texts))], 0.02)))
+    known = rule.evidence * float(np.quantile(share[others], 0.02)) if len(others) >= rule.aside else 0.0
+    return Model(languages, columns, weights, known)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,7 +216,8 @@ def in_known_languages(docs: DataFrame, rule: FitRule = FitRule()) -> DataFrame:
 
     A row goes if its text is null or has no letter, or if the model holds too few of its n-grams: fewer than rule.evidence of the share
     that it holds of all but 2 % of the sampled texts, landmarks aside. So a text of a script or language that no row names goes, whatever
-    its ridge values. Where nothing can be learnt every text with a letter stays. Rows are judged each for itself,
+    its ridge values. Where nothing can be learnt, or fewer than rule.aside sampled texts
+    are no landmarks, every text with a letter stays. Rows are judged each for itself,
     whatever ids they share; null ids and repeated rows stay as they are; an empty table stays empty.
     """
     model = _learnt(docs, rule)
