@@ -128,10 +128,10 @@ def _sized(rule: NearRule, one, other):
     return F.least(one, other) * 100 >= F.greatest(one, other) * rule.percent
 
 
-def near_groups(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: NearRule) -> DataFrame:
+def near_groups(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule: NearRule, fetched: Callable[[], None] | None = None) -> DataFrame:
     """(key, component) of the keys of sets(key, n, bands) that have a similar enough partner; component is one key of the group.
 
-    fetch(keys) gives (key, sig, shingles) of the asked keys. A link counts only after the comparison of full sets.
+    fetch(keys) gives (key, sig, shingles) of the asked keys; fetched is called when they are written. A link counts only after the comparison of full sets.
     Every two sets that share a band and are similar enough are linked directly or through other links.
     """
     spark = sets.sparkSession
@@ -140,6 +140,8 @@ def near_groups(sets: DataFrame, fetch: Callable[[DataFrame], DataFrame], rule:
     members = materialise(members.join(shared, "band"), "members")
     drop_table(shared)
     full = materialise(fetch(members.select("key").distinct()).dropDuplicates(["key"]), "sets", "zstd")
+    if fetched:
+        fetched()
     schema = "a binary, b binary"
     tested, links = [], spark.createDataFrame([], schema)
 
@@ -271,6 +273,14 @@ def _forest(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.concatenate(taken)
 
 
+def _values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, at): the 64-bit values of all rows of a binary column, row i's at values[at[i]:at[i+1]]."""
+    column = column.combine_chunks().cast(pa.large_binary())
+    at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    size = int(at[-1] - at[0])
+    return np.frombuffer(column.buffers()[2], np.uint64, size // 8, int(at[0])) if size else np.zeros(0, np.uint64), (at - at[0]) // 8
+
+
 def _tile_links(rule: NearRule):
     """Links (a, b) of each tile between sets x outside the pivot's component and sets y: a forest of the components that meet."""
 
@@ -280,17 +290,16 @@ def _tile_links(rule: NearRule):
         x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         if not len(x) or not len(y):
             return none, none
-        new, gone = ([np.frombuffer(v, np.uint64) for v in tile.column(c).to_pylist()] for c in ("new", "gone"))
-        c = np.array([int.from_bytes(v[:8], "little") for v in tile.column("c").to_pylist()], np.uint64)
-        size = tile.column("size")[0].as_py()
-        more, lost = (np.array([len(v) for v in part]) for part in (new, gone))
+        new, gone, (c, c_at) = (_values(tile.column(k)) for k in ("new", "gone", "c"))
+        c, size = c[c_at[:-1]], tile.column("size")[0].as_py()
+        more, lost = np.diff(new[1]), np.diff(gone[1])
         sizes = (size - lost[x] + more[x])[:, None] + (size - lost[y] + more[y])[None, :]
         similar = lambda common: (100 + rule.percent) * common >= rule.percent * sizes
         apart = c[x][:, None] != c[y][None, :]
         most = size - np.maximum(lost[x][:, None], lost[y][None, :]) + np.minimum(more[x][:, None], more[y][None, :])
         if not (apart & similar(most)).any():
             return none, none
-        pick = lambda part, at: [part[k] for k in at]
+        pick = lambda part, rows: [part[0][part[1][k] : part[1][k + 1]] for k in rows]
         common = size - lost[x][:, None] - lost[y][None, :] + _shared(pick(gone, x), pick(gone, y)) + _shared(pick(new, x), pick(new, y))
         i, j = np.nonzero(apart & similar(common))
         taken = _forest(c[x[i]], c[y[j]])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,15 +98,23 @@ def runs_of(batches, columns: list[str]):
     for batch in batches:
         if not len(batch):
             continue
-        keys = list(zip(*(batch.column(c).to_pylist() for c in columns), strict=True))
+        own = [batch.column(c) for c in columns]
+        new = np.zeros(len(batch), bool)
+        for c in own:
+            if c.null_count:
+                values = c.to_pylist()
+                new[1:] |= np.array([a != b for a, b in zip(values[1:], values, strict=False)], bool)
+            else:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = [c[0].as_py() for c in own] != last
         at = 0
-        for k, key in enumerate(keys):
-            if key != last:
-                if k > at:
-                    held.append(batch.slice(at, k - at))
-                if held:
-                    yield pa.Table.from_batches(held)
-                held, at, last = [], k, key
+        for k in np.flatnonzero(new).tolist():
+            if k > at:
+                held.append(batch.slice(at, k - at))
+            if held:
+                yield pa.Table.from_batches(held)
+            held, at = [], k
+        last = [c[len(batch) - 1].as_py() for c in own]
         held.append(batch.slice(at))
     if held:
         yield pa.Table.from_batches(held)

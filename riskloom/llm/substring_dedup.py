@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .minhash_links import NearRule, band_keys, low_bytes, near_groups
-from .shared import as_text, binary_rows, binary_slices, having, materialise, ragged, scratch, text_slices
-from .textkernel import NOT_SPACE, U, Words, grams, least_places, mix
+from .shared import as_text, binary_rows, binary_slices, drop_table, having, materialise, ragged, scratch, text_slices
+from .textkernel import NOT_SPACE, U, Words, grams, last_least_places, mix
 
 
 @dataclass(frozen=True)
@@ -80,9 +80,10 @@ class Paragraphs:
         first = np.concatenate([[0], np.cumsum(places)])
         chosen = [np.zeros(0, np.int64)]
         if len(value) >= reach:
-            chosen.append(np.unique(least_places(value, reach, last=True)[ragged(first[:-1], np.maximum(places - reach + 1, 0))]))
+            found = last_least_places(value, reach)[ragged(first[:-1], np.maximum(places - reach + 1, 0))]
+            chosen.append(found[np.diff(found, prepend=-1) > 0])
         for wide in np.unique(places[(places > 0) & (places < reach)]).tolist():
-            chosen.append(least_places(value, wide, last=True)[first[:-1][places == wide]])
+            chosen.append(last_least_places(value, wide)[first[:-1][places == wide]])
         return np.sort(at[np.concatenate(chosen)])
 
     def signatures(self) -> np.ndarray:
@@ -100,10 +101,15 @@ class Paragraphs:
         """(paragraphs, bands): each band of each paragraph, but once where paragraphs of a text that overlap share it."""
         bands = band_keys(self.signatures(), self.rule.near).ravel()
         own = np.repeat(np.arange(len(self.start)), self.rule.near.bands)
-        order = np.lexsort((self.start[own], bands, self.of_row[own]))
-        bands, own = bands[order], own[order]
+        mixed = bands.view(U) + self.of_row[own].view(U) * _SALT  # equal where text and band are
+        order = np.argsort(mixed)
+        same = mixed[order[1:]] == mixed[order[:-1]]
+        again = np.sort(order[np.append(same, False) | np.append(False, same)])
+        again = again[np.lexsort((self.start[own[again]], bands[again], self.of_row[own[again]]))]
+        a, b = again[:-1], again[1:]
+        twice = (self.of_row[own[a]] == self.of_row[own[b]]) & (bands[a] == bands[b]) & (self.start[own[b]] < self.start[own[a]] + self.size[own[a]])
         first = np.ones(len(own), bool)
-        first[1:] = (bands[1:] != bands[:-1]) | (self.start[own[1:]] >= self.start[own[:-1]] + self.size[own[:-1]])
+        first[b[twice]] = False
         return own[first], bands[first]
 
     def sets(self) -> tuple[np.ndarray, np.ndarray]:
@@ -285,22 +291,27 @@ def _flags(rows: DataFrame, rule: PassageRule) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(_filter_of(shared))
     members = rows.select("doc_id", "text").mapInArrow(_member_rows(rule, sent), f"band bigint, doc_id {kind}, no bigint")
     asked = materialise(members.join(shared, "band", "left_semi").select("doc_id", "no").distinct(), "asked")
+    drop_table(shared)
     lists = materialise(asked.groupBy("doc_id").agg(F.collect_list("no").alias("asked")), "asked-lists")
+    drop_table(asked)
     texts = having(rows, materialise(lists.select("doc_id"), "asked-ids"), "doc_id").join(lists, "doc_id")
     made = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(_paragraph_rows(rule), f"doc_id {kind}, text_key bigint, no bigint, size bigint, key binary, n int, bands array<bigint>, sig binary, shingles binary")
     units = materialise(made, "paragraphs", "zstd")
+    drop_table(lists)
+    places = materialise(units.select("doc_id", "text_key", "no", "size", "key"), "places")
     here = F.struct("doc_id", "text_key", "no", "size")
     classes = materialise(units.groupBy("key", "n").agg(F.min(here).alias("first"), F.count("*").alias("times"), F.first("bands").alias("bands")), "classes")
 
     def fetch(keys: DataFrame) -> DataFrame:
         return units.select("key", "sig", "shingles").join(keys, "key", "left_semi")
 
-    groups = near_groups(classes.select("key", "n", "bands"), fetch, rule.near)
+    # beyond their sets, paragraphs are needed by place and key only
+    groups = near_groups(classes.select("key", "n", "bands"), fetch, rule.near, lambda: drop_table(units))
     named = classes.select("key", "first", "times").join(groups, "key", "left").where("component is not null or times > 1")
     named = materialise(named.select("key", "first", F.coalesce("component", "key").alias("component")), "named")
     firsts = materialise(named.groupBy("component").agg(F.min("first").alias("first")), "firsts")
     clusters = materialise(named.select("key", "component").join(firsts, "component"), "clusters")
-    found = units.select("doc_id", "text_key", "no", "size", "key").distinct().join(clusters, "key").withColumn("start", F.floor(F.col("no") / 2).cast("bigint"))
+    found = places.join(clusters, "key").drop("key").repartition("doc_id", "text_key", "component").distinct().withColumn("start", F.floor(F.col("no") / 2).cast("bigint"))
     in_text = Window.partitionBy("doc_id", "text_key", "component").orderBy("start", "no").rowsBetween(Window.unboundedPreceding, -1)
     found = found.withColumn("apart", F.coalesce((F.col("start") >= F.max(F.col("start") + F.col("size")).over(in_text)).cast("int"), F.lit(0)))
     place = F.sum("apart").over(in_text.rowsBetween(Window.unboundedPreceding, Window.currentRow))

@@ -105,18 +105,36 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return chain([h[i : len(h) - n + 1 + i] for i in range(n)])
 
 
-def least_places(value: np.ndarray, reach: int, last: bool = False) -> np.ndarray:
-    """Of each `reach` following values the place of the least; of equal ones the first, or the last."""
+def least_places(value: np.ndarray, reach: int) -> np.ndarray:
+    """Of each `reach` following values the place of the least; of equal ones the first."""
     place, wide = np.arange(len(value)), 1
     while wide < reach:
         step = min(wide, reach - wide)
         a, b = value[:-step], value[step:]
-        later = b <= a if last else b < a
+        later = b < a
         value, place = np.where(later, b, a), np.where(later, place[step:], place[:-step])
         wide += step
     return place
 
 
+#: Low bits of a value that give way to its place, and values that are taken at once.
+_PLACE_BITS = 22
+
+
+def last_least_places(value: np.ndarray, reach: int) -> np.ndarray:
+    """Of each `reach` following 64-bit values the place of the one with the least leading 42 bits; of equal ones the last."""
+    most, out = np.int64((1 << _PLACE_BITS) - 1), [np.zeros(0, np.int64)]
+    for at in range(0, len(value) - reach + 1, int(most) - reach):
+        part = value[at : at + int(most)]
+        least, wide = (part & ~U(most)) | np.arange(most, most - len(part), -1, np.int64).view(U), 1
+        while wide < reach:
+            step = min(wide, reach - wide)
+            least = np.minimum(least[:-step], least[step:])
+            wide += step
+        out.append((most - (least[: int(most) - reach] & U(most)).view(np.int64)) + at)
+    return np.concatenate(out)
+
+
 def shingle_set(h: np.ndarray, n: int) -> np.ndarray:
     """Sorted distinct n-word shingles; with fewer words the whole sequence as one; none without words."""
     if not len(h):

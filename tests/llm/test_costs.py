@@ -1,12 +1,14 @@
 """What is done once only, and how much is written, beside results that stay the same."""
 
+from pathlib import Path
 from types import SimpleNamespace
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from riskloom.llm import tokenpieces
+from riskloom.llm import minhash_links, shared, substring_dedup, textkernel, tokenpieces
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Ein Wort, zwei Worte; ein Wort!", "Wort ein. Worte, über Größe\nein Wort,", "", " ", "a  b Wort", "日本 Wort, über!", "x<|endoftext|> Wort\tein", "Wort\n\nein,"]
@@ -28,3 +30,57 @@ def test_pre_token_is_encoded_once_however_pieces_hold_it(path, monkeypatch):
             assert ids.tolist() == whole.encode(text, add_special_tokens=False).ids
             assert at.tolist() == [0, len(ids)]
     assert len(asked) == len(set(asked)) > 5
+
+
+def test_least_places_are_those_of_a_plain_search(monkeypatch):
+    monkeypatch.setattr(textkernel, "_PLACE_BITS", 6)  # so that values are taken in several parts
+    values = np.random.default_rng(3).integers(0, 6, 500).astype(np.uint64) << np.uint64(50)
+    for reach in (1, 2, 7, 25):
+        found = textkernel.last_least_places(values, reach)
+        windows = [values[k : k + reach].tolist() for k in range(len(values) - reach + 1)]
+        assert found.tolist() == [k + max(i for i, v in enumerate(w) if v == min(w)) for k, w in enumerate(windows)]
+
+
+def test_a_band_counts_once_where_paragraphs_of_a_text_overlap():
+    texts = ["one two three " * 40, " ".join(f"w{k}" for k in range(60)), " ".join(f"w{k}" for k in range(60)) + "\n" + "a b c d " * 30] * 2
+    p = substring_dedup.Paragraphs(pa.array(texts), substring_dedup.PassageRule())
+    bands = minhash_links.band_keys(p.signatures(), p.rule.near)
+    seen, expected = {}, []
+    for k in range(len(p.start)):
+        for band in bands[k].tolist():
+            last = seen.get((p.of_row[k], band))
+            if last is None or p.start[k] >= p.start[last] + p.size[last]:
+                expected.append((k, band))
+            seen[p.of_row[k], band] = k
+    own, found = p.bands()
+    assert sorted(zip(own.tolist(), found.tolist(), strict=True)) == sorted(expected)
+    assert len(expected) < bands.size
+
+
+def test_runs_hold_the_rows_of_one_key_each():
+    rows = [(1, b"a"), (1, b"a"), (1, b"b"), (2, b"b"), (2, None), (2, None), (None, b"b"), (3, b"b"), (3, b"b")]
+    make = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["x", "y"])
+    expected = [[r for r in rows if r == key] for key in dict.fromkeys(rows)]
+    for step in (1, 2, 4, 9):
+        batches = [make(rows[k : k + step]) for k in range(0, len(rows), step)] + [make([])]
+        assert [list(zip(t["x"].to_pylist(), t["y"].to_pylist(), strict=True)) for t in shared.runs_of(batches, ["x", "y"])] == expected
+
+
+def test_paragraphs_with_their_shingles_go_when_the_sets_are_written(spark, monkeypatch):
+    words = [f"w{k}" for k in range(4000)]
+    passage = " ".join(words[:80])
+    docs = spark.createDataFrame([(k, " ".join(words[100 + 60 * k : 160 + 60 * k]) + " " + passage) for k in range(12)], "doc_id long, text string")
+    tables, written = [], minhash_links._groups
+
+    def groups(links):
+        tables.append({f.name.rsplit("-", 1)[0] for f in Path(shared.work_folder(spark).removeprefix("file:")).iterdir()})
+        return written(links)
+
+    before = {f.name.rsplit("-", 1)[0] for f in Path(shared.work_folder(spark).removeprefix("file:")).iterdir()}
+    assert "paragraphs" not in before
+    monkeypatch.setattr(minhash_links, "_groups", groups)
+    found = {r["doc_id"]: r["kept_text"].split() for r in substring_dedup.repeated_passages(docs).collect()}
+    assert sorted(found) == list(range(1, 12))
+    for k, kept in found.items():  # a window that is near alike may take a few words beside the passage
+        assert kept == words[100 + 60 * k : 160 + 60 * k][: len(kept)] and len(kept) > 55
+    assert tables and all("sets" in t and not t & {"paragraphs", "shared-bands", "asked-lists"} for t in tables)
