@@ -103,8 +103,10 @@ class Paragraphs:
         own = np.repeat(np.arange(len(self.start)), self.rule.near.bands)
         mixed = bands.view(U) + self.of_row[own].view(U) * _SALT  # equal where text and band are
         order = np.argsort(mixed)
-        same = mixed[order[1:]] == mixed[order[:-1]]
-        again = np.sort(order[np.append(same, False) | np.append(False, same)])
+        same = np.zeros(len(own), bool)
+        same[1:] = mixed[order[1:]] == mixed[order[:-1]]
+        same[:-1] |= same[1:]
+        again = np.sort(order[same])
         again = again[np.lexsort((self.start[own[again]], bands[again], self.of_row[own[again]]))]
         a, b = again[:-1], again[1:]
         twice = (self.of_row[own[a]] == self.of_row[own[b]]) & (bands[a] == bands[b]) & (self.start[own[b]] < self.start[own[a]] + self.size[own[a]])

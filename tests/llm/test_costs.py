@@ -57,6 +57,12 @@ def test_a_band_counts_once_where_paragraphs_of_a_text_overlap():
     assert len(expected) < bands.size
 
 
+def test_texts_without_paragraphs_have_no_bands():
+    for texts in ([], [""], ["", "a few words"]):
+        own, found = substring_dedup.Paragraphs(pa.array(texts, pa.string()), substring_dedup.PassageRule()).bands()
+        assert len(own) == len(found) == 0
+
+
 def test_runs_hold_the_rows_of_one_key_each():
     rows = [(1, b"a"), (1, b"a"), (1, b"b"), (2, b"b"), (2, None), (2, None), (None, b"b"), (3, b"b"), (3, b"b")]
     make = lambda part: pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part], pa.binary())], ["x", "y"])
