@@ -23,6 +23,8 @@ _LOWER[65:91] += 32
 #: Cells of a hot word, the inverse of the share that makes it hot, and groups that a language's candidates are dealt to before its
 #: first ones are chosen. Bytes of text that are sampled for hot words.
 CELLS, SAMPLE = 512, 32 << 20
+#: Bytes of text whose runs are counted at once, and of lists that are added up at once: a worker holds some 40 times as much beside a batch.
+BLOCK, TABLE = 2_000_000, 3_000_000
 #: The score of a cut in decimals of up to 38 digits.
 SCORE = "(cast(a as decimal(19,0)) * cast(a as decimal(19,0)) * cast(1000000 as decimal(7,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
 
@@ -223,7 +225,7 @@ def _hot(docs: DataFrame, rule: PhraseRule) -> Hot:
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, "text", 6_000_000):
+            for part in text_slices(batch, "text", BLOCK):
                 words, spoken, parts, speech, count = _starts_of(as_text(part.column("text")), part.column("lang").fill_null("und"), 2)
                 total = np.bincount(speech, weights=count, minlength=len(spoken))
                 for k, key in ((1, speech * (len(words) + 1) + parts[0]), (2, np.arange(len(speech)))):
@@ -245,6 +247,27 @@ def _hot(docs: DataFrame, rule: PhraseRule) -> Hot:
     return Hot(pick(1), pick(2))
 
 
+def _list_rows(rule: PhraseRule, hot: Hot):
+    """The lists of what follows each word, block by block."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, "text", BLOCK):
+                yield adjacency(as_text(part.column("text")), part.column("lang").fill_null("und"), rule.longest, hot)
+
+    return run
+
+
+def _count_rows(rule: PhraseRule, hot: Hot):
+    """The numbers of phrases from sorted lists, some keys at a time."""
+
+    def run(batches):
+        for table in _whole_keys(batches, TABLE):
+            yield from _flows_of(table, rule, hot)
+
+    return run
+
+
 def _flows(docs: DataFrame, rule: PhraseRule) -> DataFrame:
     """(lang, words, gram, n): the number of occurrences of all phrases of up to rule.longest words that reach rule.least, and at words 0 all words.
 
@@ -254,18 +277,8 @@ def _flows(docs: DataFrame, rule: PhraseRule) -> DataFrame:
     """
     docs = docs.select("text", F.col("lang").cast("string").alias("lang"))
     hot = _hot(docs, rule)
-
-    def lists(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text", 6_000_000):
-                yield adjacency(as_text(part.column("text")), part.column("lang").fill_null("und"), rule.longest, hot)
-
-    def counted(batches):
-        for table in _whole_keys(batches, 12_000_000):
-            yield from _flows_of(table, rule, hot)
-
-    rows = docs.mapInArrow(lists, "lang string, word string, cell int, rest string, counts binary").repartition("lang", "word", "cell").sortWithinPartitions("lang", "word", "cell")
-    rows = rows.mapInArrow(counted, "lang string, words int, gram string, n bigint").groupBy("lang", "words", "gram").agg(F.sum("n").alias("n"))
+    rows = docs.mapInArrow(_list_rows(rule, hot), "lang string, word string, cell int, rest string, counts binary").repartition("lang", "word", "cell").sortWithinPartitions("lang", "word", "cell")
+    rows = rows.mapInArrow(_count_rows(rule, hot), "lang string, words int, gram string, n bigint").groupBy("lang", "words", "gram").agg(F.sum("n").alias("n"))
     return rows.where((F.col("words") == 0) | (F.col("n") >= rule.least))
 
 

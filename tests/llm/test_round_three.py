@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -60,6 +61,28 @@ def test_phrases_like_brute_force(spark, phrase_rows, monkeypatch, longest, leas
     assert made == _phrases(phrase_rows, rule)
 
 
+def test_phrases_are_counted_in_blocks_of_bounded_memory():
+    rng = np.random.default_rng(5)
+    words = np.array([f"w{k}" for k in range(20000)])
+    text = [" ".join(words[(rng.random(1500) ** 3 * 20000).astype(int)]) for _ in range(1200)]
+    batch = pa.RecordBatch.from_pydict({"text": text, "lang": ["en"] * len(text)})
+    rule, hot = phrase_graph.PhraseRule(), phrase_graph.Hot(set(), set())
+    tracemalloc.start()
+    lists = pa.Table.from_batches(list(phrase_graph._list_rows(rule, hot)([batch])))
+    most = [tracemalloc.get_traced_memory()[1]]
+    lists = lists.sort_by([(c, "ascending") for c in ("lang", "word", "cell")])
+    tracemalloc.reset_peak()
+    found = pa.Table.from_batches(list(phrase_graph._count_rows(rule, hot)(lists.to_batches(max_chunksize=2000))))
+    most.append(tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert max(most) < 150 << 20  # blocks of 6 MB of text and 12 MB of lists took some 250 MB each
+    number = collections.Counter()
+    for size, gram, n in zip(*(found.column(c).to_pylist() for c in ("words", "gram", "n")), strict=True):
+        number[size, gram] += n
+    runs = collections.Counter((size, " ".join(w[i : i + size])) for w in map(str.split, text) for size in (1, 2, 3) for i in range(len(w) - size + 1))
+    assert number == {(0, ""): 1500 * 1200} | {k: n for k, n in runs.items() if n >= rule.least}
+
+
 def test_phrases_of_nothing(spark):
     frame = spark.createDataFrame([(None, None), ("a b c", "en")], "text string, lang string")
     assert phrase_graph.collocations(frame).count() == 0 and phrase_graph.collocations(frame.where("false")).count() == 0
