@@ -105,20 +105,41 @@ def _signature_check(rule: NearRule):
     return run
 
 
+#: Values of pairs of sets that are compared at once, and those of a pair from which on it is compared for itself.
+COMPARED, LONG_PAIR = 1 << 18, 512
+
+
+def _common(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], lo: int, hi: int) -> np.ndarray:
+    """How many values the sets i of x and of y have in common, for each i from lo to hi; fewer than 2^20. No set holds a value twice."""
+    values = np.concatenate([v[at[lo] : at[hi]] for v, at in (x, y)])
+    if not len(values):
+        return np.zeros(hi - lo, np.int64)
+    own = np.concatenate([np.repeat(np.arange(hi - lo, dtype=np.uint64), np.diff(at[lo : hi + 1])) for _, at in (x, y)])
+    if values.max() >= np.uint64(1 << 44):
+        values = np.unique(values, return_inverse=True)[1].astype(np.uint64)
+    both = np.sort((own << np.uint64(44)) | values)
+    return np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(44)).astype(np.int64), minlength=hi - lo)
+
+
 def _set_check(rule: NearRule):
     def run(batches):
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
-                x, y = x.as_buffer(), y.as_buffer()
-                both = (x.size + y.size) // 8
-                if both < 512:
-                    common = len(set(memoryview(x).cast("B").cast("Q")).intersection(memoryview(y).cast("B").cast("Q")))
-                else:
-                    merged = np.sort(np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)]), kind="stable")
-                    common = int((merged[1:] == merged[:-1]).sum())
-                ok.append(100 * common >= rule.percent * (both - common))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+            if not len(batch):
+                continue
+            x, y = (_values(pa.chunked_array([batch.column(c)])) for c in ("set_a", "set_b"))
+            size = np.diff(x[1]) + np.diff(y[1])
+            common, ends, at = np.zeros(len(batch), np.int64), np.cumsum(size), 0
+            while at < len(batch):
+                if size[at] >= LONG_PAIR:
+                    merged = np.sort(np.concatenate([v[own[at] : own[at + 1]] for v, own in (x, y)]), kind="stable")
+                    common[at] = (merged[1:] == merged[:-1]).sum()
+                    at += 1
+                    continue
+                long = np.flatnonzero(size[at : at + COMPARED] >= LONG_PAIR)
+                stop = min(int(np.searchsorted(ends, ends[at] - size[at] + COMPARED, side="right")), at + int(long[0]) if len(long) else at + COMPARED, len(batch))
+                common[at:stop] = _common(x, y, at, stop)
+                at = stop
+            yield batch.filter(pa.array(100 * common >= rule.percent * (size - common))).select(["a", "b"])
 
     return run
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .minhash_links import NearRule, band_keys, low_bytes, near_groups
-from .shared import as_text, binary_rows, binary_slices, drop_table, having, materialise, ragged, scratch, text_slices
+from .shared import as_text, binary_rows, binary_slices, drop_table, having, materialise, ragged, runs_of, scratch, text_slices
 from .textkernel import NOT_SPACE, U, Words, grams, last_least_places, mix
 
 
@@ -138,48 +138,72 @@ class Paragraphs:
         return binary_rows(key)
 
 
-def _band_rows(rule: PassageRule):
-    """How often each band occurs in a slice of texts."""
-
-    def run(batches):
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                bands, times = np.unique(Paragraphs(as_text(part.column("text")), rule).bands()[1], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"band": bands, "times": times.astype(np.int64)})
-
-    return run
-
+#: Cells that bands are dealt to by their leading bits; bands that a worker deals at once; bytes of bands in which repeats are sought at once.
+CELLS, BLOCK, TABLE = 4096, 1 << 18, 4 << 20
 
-#: Bits of the filter of bands that occur more than once; its size doesn't grow with them, what passes it is joined with them.
-FILTER_BITS = 24
 
+def _dealt(bands: np.ndarray, row: np.ndarray, no: np.ndarray, ids: pa.Array) -> pa.RecordBatch:
+    """(cell, bands, ids, nos): the bands of a block by cell, with the doc_id and no of their paragraphs.
 
-def _filter_of(shared: DataFrame) -> np.ndarray:
-    """A bit for the last FILTER_BITS of each band, put together in Spark, as words of 64."""
-    word = F.expr(f"shiftright(band & {(1 << FILTER_BITS) - 1}L, 6)").alias("word")
-    found = shared.select(word, F.expr("shiftleft(1L, cast(band & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-    return out
+    A band that the block holds several times is one entry of its own cell, however many they are; all of them go to another
+    cell as well, which changes from block to block, where they find each other.
+    """
+    order = np.argsort(bands.view(U))
+    bands, row, no = bands[order], row[order], no[order]
+    fresh = np.concatenate([[True], bands[1:] != bands[:-1]])
+    once, again = np.flatnonzero(fresh), np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+    cell = (((bands.view(U) >> U(32)) * U(CELLS)) >> U(32)).astype(np.int64)
+    cell = np.concatenate([cell[once], (cell[again] + 1 + int(bands[0]) % CELLS) % CELLS]).astype(np.uint16)
+    order = np.argsort(cell, kind="stable")
+    cell, pick = cell[order], np.concatenate([once, again])[order]
+    begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+    until = np.append(begin, len(pick))
+    return pa.RecordBatch.from_pydict({
+        "cell": cell[begin].astype(np.int32), "bands": binary_slices(bands[pick], until),
+        "ids": pa.ListArray.from_arrays(pa.array(until.astype(np.int32)), ids.take(pa.array(row[pick]))), "nos": binary_slices(no[pick].astype(np.uint32), until),
+    })
 
 
-def _member_rows(rule: PassageRule, sent):
-    """(band, doc_id, no) of every paragraph and band that passes the filter."""
+def _band_rows(rule: PassageRule):
+    """The bands of all paragraphs, dealt to cells."""
 
     def run(batches):
-        bits = sent.value
         for batch in batches:
+            held, size, at = [], 0, 0
             for part in text_slices(batch, "text"):
                 p = Paragraphs(as_text(part.column("text")), rule)
                 own, bands = p.bands()
-                slot = bands.view(np.uint64) & U((1 << FILTER_BITS) - 1)
-                held = ((bits[slot >> U(6)] >> (slot & U(63))) & U(1)).astype(bool)
-                own, bands = own[held], bands[held]
-                yield pa.RecordBatch.from_pydict({"band": bands, "doc_id": part.column("doc_id").take(pa.array(p.of_row[own])), "no": p.no[own]})
+                held.append((bands, at + p.of_row[own], p.no[own]))
+                at, size = at + len(part), size + len(bands)
+                if size and (size >= BLOCK or at == len(batch)):
+                    yield _dealt(*(np.concatenate(c) for c in zip(*held, strict=True)), batch.column("doc_id"))
+                    held, size = [], 0
 
     return run
 
 
+def _shared_rows(batches):
+    """(doc_id, no) of the paragraphs with a band that its cell holds more than once, from rows in the order of cells."""
+
+    def found(tables: list[pa.Table]):
+        table = pa.concat_tables(tables).combine_chunks()
+        (bands, nos), ids = (np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in (("bands", np.uint64), ("nos", np.uint32))), table.column("ids").combine_chunks().flatten()
+        order = np.argsort(bands)
+        same = bands[order[1:]] == bands[order[:-1]]
+        shared = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        return pa.RecordBatch.from_pydict({"doc_id": ids.take(pa.array(shared)), "no": nos[shared].astype(np.int64)})
+
+    held, size = [], 0
+    for table in runs_of(batches, ["cell"]):
+        held.append(table)
+        size += table.column("bands").nbytes
+        if size >= TABLE:
+            yield found(held)
+            held, size = [], 0
+    if held:
+        yield found(held)
+
+
 def _paragraph_rows(rule: PassageRule):
     """The asked paragraphs of each text: key, number of shingles, bands, signature and shingles."""
 
@@ -288,14 +312,9 @@ def _cut_rows(columns: list[str]):
 def _flags(rows: DataFrame, rule: PassageRule) -> DataFrame:
     """(doc_id, text_key, no, size, first) of the paragraphs that are not the first occurrence of their cluster."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    counts = rows.select("text").mapInArrow(_band_rows(rule), "band bigint, times bigint")
-    shared = materialise(counts.groupBy("band").agg(F.sum("times").alias("times")).where("times > 1").select("band"), "shared-bands")
-    sent = rows.sparkSession.sparkContext.broadcast(_filter_of(shared))
-    members = rows.select("doc_id", "text").mapInArrow(_member_rows(rule, sent), f"band bigint, doc_id {kind}, no bigint")
-    asked = materialise(members.join(shared, "band", "left_semi").select("doc_id", "no").distinct(), "asked")
-    drop_table(shared)
-    lists = materialise(asked.groupBy("doc_id").agg(F.collect_list("no").alias("asked")), "asked-lists")
-    drop_table(asked)
+    dealt = rows.select("doc_id", "text").mapInArrow(_band_rows(rule), f"cell int, bands binary, ids array<{kind}>, nos binary").repartition("cell").sortWithinPartitions("cell")
+    shared = dealt.mapInArrow(_shared_rows, f"doc_id {kind}, no bigint").repartition("doc_id").distinct()
+    lists = materialise(shared.groupBy("doc_id").agg(F.collect_list("no").alias("asked")), "asked-lists")
     texts = having(rows, materialise(lists.select("doc_id"), "asked-ids"), "doc_id").join(lists, "doc_id")
     made = texts.select("doc_id", "text_key", "text", "asked").mapInArrow(_paragraph_rows(rule), f"doc_id {kind}, text_key bigint, no bigint, size bigint, key binary, n int, bands array<bigint>, sig binary, shingles binary")
     units = materialise(made, "paragraphs", "zstd")

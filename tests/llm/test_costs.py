@@ -90,3 +90,58 @@ def test_paragraphs_with_their_shingles_go_when_the_sets_are_written(spark, monk
     for k, kept in found.items():  # a window that is near alike may take a few words beside the passage
         assert kept == words[100 + 60 * k : 160 + 60 * k][: len(kept)] and len(kept) > 55
     assert tables and all("sets" in t and not t & {"paragraphs", "shared-bands", "asked-lists"} for t in tables)
+
+
+def _times(texts):
+    """doc_id and no of all paragraphs with a band that occurs more than once."""
+    seen = {}
+    for k, text in enumerate(texts):
+        p = substring_dedup.Paragraphs(pa.array([text]), substring_dedup.PassageRule())
+        own, bands = p.bands()
+        for o, band in zip(own.tolist(), bands.tolist(), strict=True):
+            seen.setdefault(band, []).append((k, int(p.no[o])))
+    return {place for places in seen.values() if len(places) > 1 for place in places}
+
+
+@pytest.mark.parametrize("block,table", [(1, 1), (300, 2000), (1 << 18, 4 << 20)])
+def test_texts_are_read_once_for_shared_bands(monkeypatch, block, table):
+    rng = np.random.default_rng(6)
+    common, made = " ".join(f"c{k}" for k in range(30)), []
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 10**6, 90)) + ("\n" + common if k % 2 else "") for k in range(60)] + ["", "few words"]
+    texts += texts[:5] + [texts[0] + "\n" + texts[0]]
+    expected = _times(texts)
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    monkeypatch.setattr(substring_dedup, "TABLE", table)
+    whole = substring_dedup.Paragraphs
+    monkeypatch.setattr(substring_dedup, "Paragraphs", lambda text, rule: made.append(len(text)) or whole(text, rule))
+    frame = pa.RecordBatch.from_pydict({"doc_id": [f"d{k}" for k in range(len(texts))], "text": texts})
+    dealt = pa.Table.from_batches(list(substring_dedup._band_rows(substring_dedup.PassageRule())([frame.slice(0, 40), frame.slice(40)])))
+    assert sum(made) == len(texts)  # they were read a second time for the members of bands
+    dealt = dealt.sort_by("cell").combine_chunks()
+    found = pa.Table.from_batches(list(substring_dedup._shared_rows(dealt.to_batches(max_chunksize=7))))
+    assert {(int(d[1:]), n) for d, n in zip(found["doc_id"].to_pylist(), found["no"].to_pylist(), strict=True)} == expected
+    assert len(expected) > 60
+
+
+def test_a_frequent_band_is_one_entry_of_its_cell_for_each_block():
+    bands, n = np.full(5000, 77 << 40, np.int64), np.arange(5000)
+    block = substring_dedup._dealt(bands, n, n, pa.array(n))
+    assert sorted(len(ids) for ids in block["ids"].to_pylist()) == [1, 5000]
+    found = pa.Table.from_batches(list(substring_dedup._shared_rows([block])))
+    assert set(found["doc_id"].to_pylist()) == set(n.tolist())
+
+
+@pytest.mark.parametrize("bits,most,compared", [(44, 30, 1 << 18), (64, 30, 100), (44, 600, 700), (64, 600, 1 << 18)])
+def test_sets_are_compared_like_sets_of_python(monkeypatch, bits, most, compared):
+    monkeypatch.setattr(minhash_links, "COMPARED", compared)
+    rng = np.random.default_rng(bits + most)
+    pairs = []
+    for _ in range(300):
+        whole = rng.integers(0, 2**63, int(rng.integers(1, most))).astype(np.uint64) * np.uint64(2) >> np.uint64(64 - bits)
+        pairs.append([np.unique(whole[rng.random(len(whole)) < rng.choice([0.85, 0.95, 1])]) for _ in range(2)])
+    batch = pa.RecordBatch.from_pydict({"a": pa.array([b"%d" % k for k in range(300)], pa.binary()), "b": pa.array([b"x"] * 300, pa.binary()), **{f"set_{c}": pa.array([p[k].tobytes() for p in pairs], pa.binary()) for k, c in enumerate("ab")}})
+    rule = minhash_links.NearRule()
+    sets = [(set(x.tolist()), set(y.tolist())) for x, y in pairs]
+    expected = [b"%d" % k for k, (x, y) in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)]
+    assert [k for out in minhash_links._set_check(rule)([batch.slice(0, 120), batch.slice(120)]) for k in out["a"].to_pylist()] == expected
+    assert 20 < len(expected) < 280
