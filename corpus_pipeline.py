@@ -8,6 +8,9 @@ An empty table stays empty in every stage.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,23 +87,42 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
+#: Rows that a task hands to Python at once, at most: a batch of texts is held by the JVM and by its worker, beside all that is made from it.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def _in_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
+    """The stage with batches of at most BATCH_ROWS; the session keeps the setting, as the stage's frame is computed later."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
+            spark.conf.set(BATCH, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language_stage),
-    ("minhash_dedup", minhash_stage),
-    ("substring_dedup", substring_stage),
-    ("decontamination", decontamination_stage),
-    ("packing", packing_stage),
+    ("language_id", _in_batches(language_stage)),
+    ("minhash_dedup", _in_batches(minhash_stage)),
+    ("substring_dedup", _in_batches(substring_stage)),
+    ("decontamination", _in_batches(decontamination_stage)),
+    ("packing", _in_batches(packing_stage)),
 ]
 #: SQL has no form of the language, packing and tokenizer stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, before = read_table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        with scratch() as keep:
-            docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
-        if before is not None:
-            drop_table(before)
-        before = docs
+    docs, before, rows = read_table(spark, sf_dir, "documents"), None, spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES:
+            with scratch() as keep:
+                docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+            if before is not None:
+                drop_table(before)
+            before = docs
+    finally:
+        spark.conf.set(BATCH, rows)
     return docs

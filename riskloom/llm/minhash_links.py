@@ -126,7 +126,7 @@ def _set_check(rule: NearRule):
         for batch in batches:
             if not len(batch):
                 continue
-            x, y = (_values(pa.chunked_array([batch.column(c)])) for c in ("set_a", "set_b"))
+            x, y = (_values(batch.column(c)) for c in ("set_a", "set_b"))
             size = np.diff(x[1]) + np.diff(y[1])
             common, ends, at = np.zeros(len(batch), np.int64), np.cumsum(size), 0
             while at < len(batch):
@@ -139,7 +139,7 @@ def _set_check(rule: NearRule):
                 stop = min(int(np.searchsorted(ends, ends[at] - size[at] + COMPARED, side="right")), at + int(long[0]) if len(long) else at + COMPARED, len(batch))
                 common[at:stop] = _common(x, y, at, stop)
                 at = stop
-            yield batch.filter(pa.array(100 * common >= rule.percent * (size - common))).select(["a", "b"])
+            yield batch.select(["a", "b"]).filter(pa.array(100 * common >= rule.percent * (size - common)))
 
     return run
 
@@ -294,9 +294,9 @@ def _forest(one: np.ndarray, other: np.ndarray) -> np.ndarray:
     return np.concatenate(taken)
 
 
-def _values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+def _values(column: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, at): the 64-bit values of all rows of a binary column, row i's at values[at[i]:at[i+1]]."""
-    column = column.combine_chunks().cast(pa.large_binary())
+    column = (column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column).cast(pa.large_binary())
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     size = int(at[-1] - at[0])
     return np.frombuffer(column.buffers()[2], np.uint64, size // 8, int(at[0])) if size else np.zeros(0, np.uint64), (at - at[0]) // 8

@@ -139,7 +139,7 @@ class Paragraphs:
 
 
 #: Cells that bands are dealt to by their leading bits; bands that a worker deals at once; bytes of bands in which repeats are sought at once.
-CELLS, BLOCK, TABLE = 4096, 1 << 18, 4 << 20
+CELLS, BLOCK, TABLE = 2048, 1 << 17, 4 << 20
 
 
 def _dealt(bands: np.ndarray, row: np.ndarray, no: np.ndarray, ids: pa.Array) -> pa.RecordBatch:

@@ -145,3 +145,19 @@ def test_sets_are_compared_like_sets_of_python(monkeypatch, bits, most, compared
     expected = [b"%d" % k for k, (x, y) in enumerate(sets) if 100 * len(x & y) >= 80 * len(x | y)]
     assert [k for out in minhash_links._set_check(rule)([batch.slice(0, 120), batch.slice(120)]) for k in out["a"].to_pylist()] == expected
     assert 20 < len(expected) < 280
+
+
+def test_stages_of_the_pipeline_take_texts_in_small_batches(spark):
+    import corpus_pipeline
+
+    def sizes(spark, docs, sf_dir):
+        return docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long")
+
+    before = spark.conf.get(corpus_pipeline.BATCH)
+    try:
+        for own, most in (("10000", 2000), ("0", 2000), ("700", 700)):
+            spark.conf.set(corpus_pipeline.BATCH, own)
+            found = corpus_pipeline._in_batches(sizes)(spark, spark.range(0, 5000, 1, 1), "").collect()
+            assert sum(r["n"] for r in found) == 5000 and max(r["n"] for r in found) == most
+    finally:
+        spark.conf.set(corpus_pipeline.BATCH, before)
