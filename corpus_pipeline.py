@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.llm import decontaminate, language_id, minhash_dedup, packing, substring_dedup
-from riskloom.llm.shared import drop_table, having, materialise, read_table, scratch
+from riskloom.llm.shared import drop_table, having, in_few_files, read_table, scratch
+from riskloom.llm.shared import materialise_few as materialise
 
 
 def _unused(name: str, docs: DataFrame) -> str:
@@ -92,13 +93,13 @@ BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
 
 
 def _in_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]):
-    """The stage with batches of at most BATCH_ROWS; the session keeps the setting, as the stage's frame is computed later."""
+    """The stage with batches of at most BATCH_ROWS, and its frame in few files; the session keeps the setting, as the frame is computed later."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         if not 0 < int(spark.conf.get(BATCH)) <= BATCH_ROWS:
             spark.conf.set(BATCH, str(BATCH_ROWS))
-        return stage(spark, docs, sf_dir)
+        return in_few_files(stage(spark, docs, sf_dir))
 
     return run
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from .shared import drop_table, materialise
+from .shared import drop_table
+from .shared import materialise_few as materialise
 
 #: Edges that a task joins at once, before a round of stars; memory of a task is bounded by it at every size of the table.
 BLOCK = 1 << 16

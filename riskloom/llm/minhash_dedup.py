@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .minhash_links import NearRule, near_groups, set_columns
-from .shared import as_text, drop_table, having, materialise, scratch, text_slices
+from .shared import as_text, drop_table, having, leave_tokenizers, scratch, text_slices
+from .shared import materialise_few as materialise
 from .textkernel import NOT_SPACE, Words, shingle_set
 
 #: Five words and 0.8, the rule unless a contract names another.
@@ -19,6 +20,7 @@ DEFAULT = NearRule()
 
 def _document_sets(rule: NearRule, with_bands: bool):
     def run(batches):
+        leave_tokenizers()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 w = Words(as_text(part.column("text")), NOT_SPACE)

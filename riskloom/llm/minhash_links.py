@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import drop_table, materialise, ragged, runs_of
+from .shared import drop_table, ragged, runs_of
+from .shared import materialise_few as materialise
 from .textkernel import mix
 
 

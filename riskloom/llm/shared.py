@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +29,20 @@ materialise = checkpointed
 scratch = scratch_tables
 
 
+def in_few_files(df: DataFrame) -> DataFrame:
+    """df with the partitions that one task after another would take put together, so that a table of many small ones is few files.
+
+    At least sixteen tasks stay for each core, and no task gets much more than eight partitions.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(16 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
+def materialise_few(df: DataFrame, label: str = "table", codec: str | None = None) -> DataFrame:
+    """materialise, in_few_files."""
+    return materialise(in_few_files(df), label, codec)
+
+
 def drop_table(df: DataFrame) -> None:
     """Deletes the files of a materialised table that nothing reads any more."""
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
@@ -79,6 +98,22 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+#: What the tokenizing operators keep in a worker: module and name.
+_KEPT = (("tokenpieces", "_loaded"), ("token_counts", "_workers"), ("chunk_bpe", "_tools"))
+
+
+def leave_tokenizers() -> None:
+    """Gives back the memory of the tokenizers, and the pieces they know, that tasks of other operators left in this worker; they load them again."""
+    kept = [d for module, name in _KEPT if (d := getattr(sys.modules.get(f"{__package__}.{module}"), name, None))]
+    for d in kept:
+        d.clear()
+    if kept:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # glibc only
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 1_000_000):
     """Cuts a batch into runs of rows with about most_bytes of text, or one row that is longer."""
     text = batch.column(column)

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .minhash_links import NearRule, band_keys, low_bytes, near_groups
-from .shared import as_text, binary_rows, binary_slices, drop_table, having, materialise, ragged, runs_of, scratch, text_slices
+from .shared import as_text, binary_rows, binary_slices, drop_table, having, leave_tokenizers, ragged, runs_of, scratch, text_slices
+from .shared import materialise_few as materialise
 from .textkernel import NOT_SPACE, U, Words, grams, last_least_places, mix
 
 
@@ -168,6 +169,7 @@ def _band_rows(rule: PassageRule):
     """The bands of all paragraphs, dealt to cells."""
 
     def run(batches):
+        leave_tokenizers()
         for batch in batches:
             held, size, at = [], 0, 0
             for part in text_slices(batch, "text"):
@@ -208,6 +210,7 @@ def _paragraph_rows(rule: PassageRule):
     """The asked paragraphs of each text: key, number of shingles, bands, signature and shingles."""
 
     def run(batches):
+        leave_tokenizers()
         for batch in batches:
             for part in text_slices(batch, "text"):
                 p = Paragraphs(as_text(part.column("text")), rule, part.column("asked").to_pylist())

@@ -8,7 +8,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 
-from riskloom.llm import minhash_links, shared, substring_dedup, textkernel, tokenpieces
+from riskloom.llm import minhash_dedup, minhash_links, shared, substring_dedup, textkernel, tokenpieces
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXTS = ["Ein Wort, zwei Worte; ein Wort!", "Wort ein. Worte, über Größe\nein Wort,", "", " ", "a  b Wort", "日本 Wort, über!", "x<|endoftext|> Wort\tein", "Wort\n\nein,"]
@@ -161,3 +161,29 @@ def test_stages_of_the_pipeline_take_texts_in_small_batches(spark):
             assert sum(r["n"] for r in found) == 5000 and max(r["n"] for r in found) == most
     finally:
         spark.conf.set(corpus_pipeline.BATCH, before)
+
+
+@pytest.mark.parametrize("partitions", ["4", "400"])
+def test_a_scratch_table_of_many_partitions_is_few_files_without_checksums(spark, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        with shared.scratch():
+            table = shared.materialise_few(spark.range(0, 3000, 1, 300), "many")
+            folder = Path(table.inputFiles()[0].removeprefix("file:")).parent
+            names = [f.name for f in folder.iterdir()]
+            assert [n for n in names if not n.startswith("part-")] == []  # each would be a process more
+            assert len(names) == max(16 * spark.sparkContext.defaultParallelism, int(partitions) // 8)
+            assert sorted(r["id"] for r in table.collect()) == list(range(3000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert not folder.exists()
+
+
+def test_tokenizers_go_from_a_worker_that_reads_sets(monkeypatch):
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text_key": [1], "text": ["a few words that make a set"]})
+    for run in (minhash_dedup._document_sets(minhash_dedup.DEFAULT, True), substring_dedup._band_rows(substring_dedup.PassageRule())):
+        held = {WORD: tokenpieces.load(WORD)}
+        monkeypatch.setattr(tokenpieces, "_loaded", held)
+        list(run([batch]))
+        assert not held
