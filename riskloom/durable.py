@@ -64,6 +64,19 @@ def _exchanges_go(spark: SparkSession):
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession):
+    """Joins that are planned inside aren't broadcasts: sizes are taken from files, and of rows that compress well or are derived from
+    few those are far under what the driver would have to hold. Joins with a broadcast hint are left as they are."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 @contextmanager
 def scratch_tables():
     """Tables that are written inside are deleted at its end, but for the one whose frame is given to keep().
