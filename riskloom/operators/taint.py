@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..durable import checkpointed
+from ..durable import checkpointed, scratch_tables, shuffled_joins
 from ..functions import taint_patterns as T
 from ..functions.code_patterns import SOURCES
 from ..shipping import ship
+from .groups import dealt, starts, whole
 
 _A = re.ASCII
 _source, _assign, _call, _seed = (re.compile(p.replace(r"\s", "[\\t\\n\\f\\r ]") if p is SOURCES else p, _A) for p in (SOURCES, T.ASSIGN, T.CALL, T.SEED_CALL))
@@ -115,27 +117,88 @@ def _ending(path: str) -> str:
     return m[0] if m else ""
 
 
-def _definitions(key, file: pd.DataFrame) -> pd.DataFrame:
-    path, names, direct, seeds = key[0], set(), False, set()
-    end = _ending(path)
-    for line in file["line"]:
-        direct |= bool(_source.search(line)) or (end == ".cs" and bool(_cs_action.search(line)))
-        seeds |= {m[1] for m in [_seed.search(line)] if m}
-        names |= {m[1] for m in [_definition[end].search(line) if end in _definition else None, _cs_name.search(line) if end == ".cs" else None] if m}
-    rows = [(path, n, "defines") for n in sorted(names)] + [(path, n, "calls") for n in sorted(seeds)] + [(path, "", "source")] * direct
-    return pd.DataFrame(rows, columns=["path", "name", "what"])
+def _values(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
 
 
-def _called(key, file: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-    file = file.sort_values("line_no")
-    return pd.DataFrame({"name": sorted(follow(file["line"].tolist(), _ending(key[0]), set(names["name"]))[1])}, dtype=object)
+def _definitions(end: str, lines: list[str]) -> set[tuple[str, str]]:
+    """(name, what) that a file's lines define or call whatever reaches them, and whether they read input."""
+    found = {("", "file")}
+    own = _definition.get(end)
+    for line in lines:
+        if _source.search(line) or (end == ".cs" and _cs_action.search(line)):
+            found.add(("", "source"))
+        m = _seed.search(line)
+        if m:
+            found.add((m[1], "calls"))
+        m = own.search(line) if own else None
+        if m:
+            found.add((m[1], "defines"))
+        m = _cs_name.search(line) if end == ".cs" else None
+        if m:
+            found.add((m[1], "defines"))
+    return found
+
+
+def _files(batches):
+    """Batches of whole files, and of each file its first line's row, its path's ending, its lines and the names that reach it; names come first."""
+    for batch in whole(batches, "path"):
+        at, names, lines = starts(batch.column("path")).tolist(), _values(batch.column("name")), _values(batch.column("line"))
+        paths = batch.column("path").take(pa.array(at[:-1], pa.int64())).to_pylist()
+        files = []
+        for path, a, b in zip(paths, at[:-1], at[1:], strict=True):
+            first = a
+            while first < b and names[first] is not None:
+                first += 1
+            files.append((first, _ending(path), lines[first:b], set(names[a:first])))
+        yield batch, files
+
+
+def _named(batch: pa.RecordBatch, rows: list[int], found: list[tuple]) -> pa.RecordBatch:
+    """(path, name, what), the path from the batch's rows."""
+    name, what = zip(*found, strict=True) if found else ((), ())
+    return pa.RecordBatch.from_pydict({"path": batch.column("path").take(pa.array(rows, pa.int64())), "name": pa.array(name, pa.string()), "what": pa.array(what, pa.string())})
+
 
+def _about(batches):
+    """What files define and call; of those that read input also the names called with it where no caller's input reaches the file."""
+    for batch, files in _files(batches):
+        rows, found = [], []
+        for first, end, lines, _ in files:
+            own = _definitions(end, lines)
+            if ("", "source") in own:
+                own |= {(name, "reaches") for name in follow(lines, end, set())[1]}
+            found += own
+            rows += [first] * len(own)
+        yield _named(batch, rows, found)
 
-def _judged(key, file: pd.DataFrame, names: pd.DataFrame) -> pd.DataFrame:
-    file = file.sort_values("line_no")
-    rows, _ = follow(file["line"].tolist(), _ending(key[0]), set(names["name"]))
-    numbers = file["line_no"].tolist()
-    return pd.DataFrame([(key[0], n, t, s, numbers[o - 1] if o else 0) for n, (t, s, o) in zip(numbers, rows, strict=True)], columns=["path", "line_no", "tainted", "html_safe", "origin"])
+
+def _called(batches):
+    for batch, files in _files(batches):
+        rows, found = [], []
+        for first, end, lines, names in files:
+            if lines:
+                own = follow(lines, end, names)[1]
+                found += [(name, "reaches") for name in own]
+                rows += [first] * len(own)
+        yield _named(batch, rows, found)
+
+
+def _judged(batches):
+    for batch, files in _files(batches):
+        rows, out = [], []
+        numbers = _values(batch.column("line_no").fill_null(0))
+        for first, end, lines, names in files:
+            out += [(t, s, numbers[first + o - 1] if o else 0) for t, s, o in follow(lines, end, names)[0]]
+            rows += range(first, first + len(lines))
+        if rows:
+            rows = pa.array(rows, pa.int64())
+            tainted, safe, origin = zip(*out, strict=True)
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path").take(rows), "line_no": batch.column("line_no").take(rows), "tainted": pa.array(tainted), "html_safe": pa.array(safe), "origin": pa.array(origin, pa.int32())})
+
+
+#: Lines that a task follows.
+LINES_A_TASK = 100_000
 
 
 def taint(lines: DataFrame, most_rounds: int = 50) -> DataFrame:
@@ -143,25 +206,45 @@ def taint(lines: DataFrame, most_rounds: int = 50) -> DataFrame:
 
     A file takes part if it reads input or defines a function that is called with input. Names defined once in the
     code base carry input into their first parameter (in C# all of them). Rounds of joins go on until no name is new;
-    a file's names travel with its rows, so nothing is gathered on the driver.
+    a file's names travel with its rows, so nothing is gathered on the driver. A task takes files as a stream, one held at a
+    time; a round follows the files alone that a new name reaches, as what others call is known.
     """
-    files = lines.select("path", "line_no", "line")
-    ship(lines.sparkSession)
-    about = checkpointed(files.groupBy("path").applyInPandas(_definitions, "path string, name string, what string"))
-    unique = about.where("what = 'defines'").groupBy("name").agg(F.count("*").alias("n"), F.first("path").alias("path")).where("n = 1").where(~F.col("name").isin(T.KEYWORDS)).select("name", "path")
-    names = checkpointed(unique.join(about.where("what = 'calls'").select("name").distinct(), "name", "left_semi"))
-    reading = about.where("what = 'source'").select("path").distinct()
-    for _ in range(most_rounds):
-        part = files.join(reading.union(names.select("path")).distinct(), "path", "left_semi")
-        found = part.groupBy("path").cogroup(names.groupBy("path")).applyInPandas(_called, "name string").distinct()
-        more = checkpointed(unique.join(found, "name", "left_semi").join(names, "name", "left_anti"))
-        if more.isEmpty():
-            break
-        names = checkpointed(names.unionByName(more))
-    else:
-        raise RuntimeError("names that carry input did not settle")
-    part = files.join(reading.union(names.select("path")).distinct(), "path", "left_semi")
-    return part.groupBy("path").cogroup(names.groupBy("path")).applyInPandas(_judged, "path string, line_no int, tainted boolean, html_safe boolean, origin int")
+    spark = lines.sparkSession
+    with shuffled_joins(spark), scratch_tables() as keep:
+        files = lines.where("path is not null").select("path", F.col("line_no").cast("int").alias("line_no"), "line")
+        count = files.count()
+        ship(spark)
+
+        def streamed(part: DataFrame, names: DataFrame | None, share: float, run: Callable, schema: str) -> DataFrame:
+            rows = part.withColumn("name", F.lit(None).cast("string"))
+            if names is not None:
+                rows = rows.unionByName(names.select("path", F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line"), "name"))
+            return dealt(rows, "path", int(count * share), LINES_A_TASK, "line_no").mapInArrow(run, schema)
+
+        named = "path string, name string, what string"
+        about = checkpointed(streamed(files, None, 1, _about, named))
+        n_files = about.where("what = 'file'").count()
+        unique = about.where("what = 'defines'").groupBy("name").agg(F.count("*").alias("n"), F.first("path").alias("path")).where("n = 1").where(~F.col("name").isin(T.KEYWORDS)).select("name", "path")
+        unique = checkpointed(unique)
+        names = checkpointed(unique.join(about.where("what = 'calls'").select("name").distinct(), "name", "left_semi"))
+        reading = about.where("what = 'source'").select("path")
+        new, found = names, about.where("what = 'reaches'").join(names.select("path"), "path", "left_anti").select("name")
+        for _ in range(most_rounds):
+            changed = checkpointed(new.select("path").distinct())
+            n_changed = changed.count()
+            if n_changed:
+                asked = names.join(changed, "path", "left_semi")
+                own = streamed(files.join(changed, "path", "left_semi"), asked, n_changed / n_files, _called, named).select("name")
+                found = own if found is None else found.unionByName(own)
+            new = checkpointed(unique.join(found.distinct(), "name", "left_semi").join(names, "name", "left_anti"))
+            if new.isEmpty():
+                break
+            names, found = checkpointed(names.unionByName(new)), None
+        else:
+            raise RuntimeError("names that carry input did not settle")
+        part = checkpointed(reading.union(names.select("path")).distinct())
+        share = part.count() / max(n_files, 1)
+        return keep(streamed(files.join(part, "path", "left_semi"), names, share, _judged, "path string, line_no int, tainted boolean, html_safe boolean, origin int"))
 
 
 def with_taint(findings: DataFrame, reached: DataFrame) -> DataFrame:

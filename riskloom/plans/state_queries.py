@@ -336,6 +336,7 @@ FLOWS = [
     ("cs/Item@K@.cs", ["public class Item@K@Controller : ControllerBase {", "[HttpGet(\"{id}\")]", "[Authorize]", "public IActionResult Get(string id, [FromQuery(Name = \"n\")] Dictionary<string, int> map, int n = 0) {", "  var name = id.Trim();", "  return Ok(svc.Fetch@K@(name, 1));", "}", "public int Plain(string id) {", "  Process.Start(id);", "}"]),
     ("cs/Service@K@.cs", ["public class Service@K@ {", "  public Item Fetch@K@(string key, int kind) {", "    var count = int.Parse(key);", "    db.Run(count, kind);", "    return db.Run(\"x\" + key);", "  }", "}"]),
 ]
+CODE_BASES_A_TASK = 2000
 _FLOW_LINES = " union all ".join(f"select replace({quoted(path)}, '@K@', s_suppkey::varchar) as path, unnest(range(1, {len(own) + 1}))::int as line_no, unnest([{', '.join(map(quoted, own))}]) as text, s_suppkey as k from supplier" for path, own in FLOWS)
 
 
@@ -344,7 +345,9 @@ def input_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same over code in which input goes from file to file."""
     texts = [F.struct(F.lit(path).alias("head"), F.lit(n).alias("line_no"), F.lit(line).alias("text")) for path, own in FLOWS for n, line in enumerate(own, 1)]
     k = F.col("s_suppkey").cast("string")
-    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.inline(F.array(*texts))).select(F.replace("head", F.lit("@K@"), k).alias("path"), "line_no", F.replace("text", F.lit("@K@"), k).alias("line"))
+    own = table(spark, sf_dir, "supplier").select("s_suppkey")
+    own = own.repartition(max(spark.sparkContext.defaultParallelism, own.count() // CODE_BASES_A_TASK))  # few bytes, but each becomes seven files
+    rows = own.select("s_suppkey", F.inline(F.array(*texts))).select(F.replace("head", F.lit("@K@"), k).alias("path"), "line_no", F.replace("text", F.lit("@K@"), k).alias("line"))
     return T.taint(rows)
 
 

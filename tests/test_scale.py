@@ -7,7 +7,7 @@ import pytest
 from test_history import COMMIT, DAY
 
 from riskloom.durable import shuffled_joins
-from riskloom.operators import groups, history, repository
+from riskloom.operators import groups, history, repository, taint
 
 TREES = "repo int, tree string, name string, kind string, object string"
 HISTORY = ("repo", "blob", "first_commit", "first_path", "first_author", "first_time", "last_commit", "paths")
@@ -92,3 +92,38 @@ def test_groups_of_a_stream_are_whole():
         for own, _ in made:
             at = groups.starts(pa.array(own)).tolist()
             assert [own[a] for a in at[:-1]] == sorted(set(own)) and at[-1] == len(own)
+
+
+def _plans(spark) -> list[str]:
+    found = spark._jsparkSession.sharedState().statusStore().executionsList()
+    return [found.apply(k).physicalPlanDescription() for k in range(found.size())]
+
+
+def test_input_through_many_files_equals_a_fixpoint_by_file(spark):
+    draw = random.Random(4)
+    files = {}
+    for k in range(60):
+        lines = ["const q = req.query.q;", f"f{draw.randrange(120)}(q);", f"f{draw.randrange(120)}(req.query.r);"] if k % 9 == 0 else []
+        for j in range(draw.randrange(1, 3)):
+            lines += [f"function f{draw.choice([2 * k + j, 2 * k + j, 2 * k + j, 7])}(a, b) {{", draw.choice(["  const c = parseInt(a);", "  const c = a + b;", "  const c = encodeURI(a);"]), f"  f{draw.randrange(120)}(c);", f"  f{draw.randrange(120)}(a);", "  eval(c);", "}"]
+        files[f"src/m{k:02}.js"] = lines
+    kinds = {path: taint._definitions(".js", lines) for path, lines in files.items()}
+    defined = [(n, path) for path, own in kinds.items() for n, what in own if what == "defines"]
+    unique = {n: path for n, path in defined if sum(n == m for m, _ in defined) == 1}
+    carried: dict[str, set] = {}
+    for n in {n for own in kinds.values() for n, what in own if what == "calls"} & set(unique):
+        carried.setdefault(unique[n], set()).add(n)
+    while True:
+        part = {path for path, own in kinds.items() if ("", "source") in own} | set(carried)
+        called = set().union(*(taint.follow(files[path], ".js", carried.get(path, set()))[1] for path in part))
+        new = [n for n in called & set(unique) if n not in carried.get(unique[n], set())]
+        if not new:
+            break
+        for n in new:
+            carried.setdefault(unique[n], set()).add(n)
+    want = {(path, k, *row) for path in part for k, row in enumerate(taint.follow(files[path], ".js", carried.get(path, set()))[0], 1)}
+    frame = spark.createDataFrame([(path, k, line) for path, lines in files.items() for k, line in enumerate(lines, 1)], "path string, line_no int, line string").repartition(3)
+    before = len(_plans(spark))
+    made = taint.taint(frame).collect()
+    assert len(carried) > 5 and {tuple(r) for r in made} == want and len(made) == len(want)
+    assert not [p for p in _plans(spark)[before:] if "InPandas" in p]  # a call for each file would cost more than its lines
