@@ -8,6 +8,8 @@ from test_history import COMMIT, DAY
 
 from riskloom.durable import shuffled_joins
 from riskloom.operators import groups, history, repository, taint
+from riskloom.plans import history_queries  # noqa: F401  registers its queries
+from riskloom.plans.queries import QUERIES
 
 TREES = "repo int, tree string, name string, kind string, object string"
 HISTORY = ("repo", "blob", "first_commit", "first_path", "first_author", "first_time", "last_commit", "paths")
@@ -67,6 +69,13 @@ def test_joins_of_histories_are_no_broadcasts_by_size(spark):
     assert "Broadcast" in plan()
 
 
+@pytest.mark.parametrize("name", ["blob_commits", "history_leaks"])
+def test_queries_of_histories_broadcast_nothing(spark, sf_dir, name):
+    before = len(_plans(spark))
+    assert QUERIES[name](spark, sf_dir).count()
+    assert not [p for p in _plans(spark)[before:] if "BroadcastExchange" in p]
+
+
 def test_secrets_of_blobs_are_searched_once(spark):
     commits, trees = _repositories(spark, 3)
     blobs = trees.where("kind = 'blob'").selectExpr("repo", "object as blob", "10L as size", "'none' as content").distinct()
